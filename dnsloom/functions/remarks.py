@@ -15,8 +15,10 @@ NORMAL = "Normal query"
 
 
 def fixed_decimals(value: Column, places: int) -> Column:
-    """`value` with `places` decimals, exact ties to the even digit."""
-    return F.format_string(f"%.{places}f", F.bround(value, places))
+    """`value` with `places` decimals: exact ties to the even digit, sign kept at zero."""
+    rounded = F.bround(value, places)
+    text = F.format_string(f"%.{places}f", rounded)
+    return F.when((value < 0) & (rounded == 0), F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def z_score(entropy: Column, mean: Column, stdev: Column) -> Column:

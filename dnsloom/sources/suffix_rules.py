@@ -76,16 +76,23 @@ def _rule_table(lines: DataFrame) -> DataFrame:
     )
 
 
-def _finish(table: DataFrame) -> SuffixRules:
-    staged = stage(table.coalesce(1), "suffix-rules")
-    depth = staged.df.agg(F.max(F.size(F.split("name", r"\.")))).first()[0] or 0
-    return SuffixRules(staged.df, staged.rows, depth)
-
-
 def seed_suffix_rules(spark: SparkSession, rules: list[str] | None = None) -> SuffixRules:
     """The seed above, or other rules given as text."""
-    values = F.array(*[F.lit(r) for r in (SEED_RULES if rules is None else rules)])
-    return _finish(_rule_table(spark.range(1).select(F.explode(values).alias("rule"))))
+    kinds: dict[str, set[str]] = {}
+    for rule in SEED_RULES if rules is None else rules:
+        kinds.setdefault(rule.lower().removeprefix("*.").lstrip("!"), set()).add(rule[0])
+    rows = [
+        F.struct(
+            F.lit(name).alias("name"),
+            F.lit(bool(marks - {"*", "!"})).alias("normal"),
+            F.lit("*" in marks).alias("wildcard"),
+            F.lit("!" in marks).alias("exception"),
+        )
+        for name, marks in kinds.items()
+    ]
+    table = spark.range(1).select(F.inline(F.array(*rows)))
+    depth = max(name.count(".") + 1 for name in kinds)
+    return SuffixRules(table, len(kinds), depth)
 
 
 def _punycode(name: str) -> str:
@@ -93,6 +100,12 @@ def _punycode(name: str) -> str:
     return ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in labels)
 
 
+def _finish(table: DataFrame) -> SuffixRules:
+    staged = stage(table.coalesce(1), "suffix-rules")
+    depth = staged.df.agg(F.max(F.size(F.split("name", r"\.")))).first()[0] or 0
+    return SuffixRules(staged.df, staged.rows, depth)
+
+
 def read_suffix_rules(spark: SparkSession, path: str) -> SuffixRules:
     """Rules of the ICANN section of a public suffix list file.
 

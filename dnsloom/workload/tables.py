@@ -5,11 +5,14 @@ One SQL text serves Spark and DuckDB; only the marked pieces differ.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnsloom.operators.intel import domains_seen
 from dnsloom.operators.records import build_records
+from dnsloom.operators.staging import stage
 from dnsloom.schema import RAW_SCHEMA
 from dnsloom.settings import DetectionSettings, IntelSettings
 from dnsloom.sources.suffix_rules import seed_suffix_rules
@@ -120,7 +123,11 @@ def _run(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
 
 
 class Workload:
-    """The derived tables of one data folder; every one is a lazy DataFrame."""
+    """The derived tables of one data folder.
+
+    The log is derived by a join, so jobs that pass over it several times read a stored copy,
+    as they would read a real log.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -137,20 +144,25 @@ class Workload:
         )
         return log.select(*[F.col(f.name).cast(f.dataType) for f in RAW_SCHEMA])
 
+    @cached_property
+    def stored_log(self) -> DataFrame:
+        return stage(self.dns_log(), "dns-log").df
+
     def records(self) -> DataFrame:
-        return build_records(self.dns_log(), self.rules, self.settings)
+        return build_records(self.stored_log, self.rules, self.settings)
 
     def feed_lines(self) -> DataFrame:
         return _run(self.spark, FEED_SQL, pages=self.table("pages"))
 
+    @cached_property
     def seen(self) -> DataFrame:
-        return domains_seen(self.records())
+        return stage(domains_seen(self.records()), "seen").df
 
     def host_responses(self) -> DataFrame:
-        return _run(self.spark, HOST_RESPONSES_SQL, seen=self.seen())
+        return _run(self.spark, HOST_RESPONSES_SQL, seen=self.seen)
 
     def vendor_responses(self) -> DataFrame:
-        return _run(self.spark, VENDOR_RESPONSES_SQL, seen=self.seen())
+        return _run(self.spark, VENDOR_RESPONSES_SQL, seen=self.seen)
 
     def cache(self) -> DataFrame:
-        return _run(self.spark, CACHE_SQL, seen=self.seen())
+        return _run(self.spark, CACHE_SQL, seen=self.seen)
