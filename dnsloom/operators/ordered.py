@@ -15,7 +15,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from dnsloom.operators.staging import stage
+from dnsloom.operators.staging import Staged, stage
 from dnsloom.settings import ScaleSettings
 
 CHUNK = "__chunk"
@@ -64,35 +64,41 @@ def _cut_points(values: Sequence[float]) -> list[float]:
     return [-math.inf, *sorted(set(values)), math.inf]
 
 
+def long_groups(df: DataFrame, keys: Sequence[str], scale: ScaleSettings) -> Staged:
+    """Keys with more than `scale.group_rows` rows, at most rows / group_rows of them."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    return stage(sizes.where(F.col("__size") > scale.group_rows), "long-groups")
+
+
 def ordered_groups(
     df: DataFrame,
     keys: Sequence[str],
     scale: ScaleSettings,
+    *,
+    long_keys: Staged | None = None,
     measured_on: DataFrame | None = None,
 ) -> OrderedGroups:
     """`df` with a chunk number, -1 in groups of at most `scale.group_rows` rows.
 
-    df needs ts_us and seq. Long groups are found by a count per key; there are at most
-    rows / group_rows of them, so their list is broadcast. Only when there are any, cut
-    points are taken from quantiles of their ts_us, and from quantiles of seq inside
-    instants that alone fill a chunk. The quantiles only place the cuts: every row lands in
-    one chunk, and chunks follow (ts_us, seq) order wherever they fall.
+    df needs ts_us and seq. The list of long groups is short by its making and is broadcast.
+    Only when there are any, cut points are taken from quantiles of their ts_us, and from
+    quantiles of seq inside instants that alone fill a chunk. The quantiles only place the
+    cuts: every row lands in one chunk, and chunks follow (ts_us, seq) order wherever they fall.
 
-    measured_on: a cheaper table with the same keys and similar times, to find long groups
-        and cut points on.
+    long_keys: the result of `long_groups`, if known already.
+    measured_on: a cheaper table with the same keys and similar times, to take cuts from.
     """
     source = measured_on if measured_on is not None else df
-    sizes = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    long_groups = stage(sizes.where(F.col("__size") > scale.group_rows), "long-groups")
-    if long_groups.rows == 0:
+    long_keys = long_keys or long_groups(source, keys, scale)
+    if long_keys.rows == 0:
         return OrderedGroups(df.withColumn(CHUNK, F.lit(-1).cast("long")), tuple(keys), scale, False)
 
-    total = long_groups.df.agg(F.sum("__size")).first()[0]
+    total = long_keys.df.agg(F.sum("__size")).first()[0]
     parts = min(scale.max_chunks, math.ceil(total / scale.group_rows))
     shares = [i / parts for i in range(1, parts)]
     precision = 1 / (4 * parts)
-    long_keys = F.broadcast(long_groups.df.select(*keys))
-    rows = source.join(long_keys, list(keys), "left_semi").select("ts_us", "seq")
+    names = F.broadcast(long_keys.df.select(*keys))
+    rows = source.join(names, list(keys), "left_semi").select("ts_us", "seq")
 
     cuts = rows.approxQuantile("ts_us", shares, precision)
     crowded = sorted({int(v) for v in cuts if cuts.count(v) > 1})
@@ -102,7 +108,7 @@ def ordered_groups(
         at_once = rows.where(F.col("ts_us").isin(crowded))
         seq_cuts = _cut_points(at_once.approxQuantile("seq", shares, precision))
 
-    marked = df.join(long_keys.withColumn("__long", F.lit(True)), list(keys), "left")
+    marked = df.join(names.withColumn("__long", F.lit(True)), list(keys), "left")
     for column, splits in (("ts_us", time_cuts), ("seq", seq_cuts)):
         marked = Bucketizer(splits=splits, inputCol=column, outputCol=f"__{column}_part").transform(marked)
     seq_part = F.when(F.col("ts_us").isin(crowded), F.col("__seq_part")).otherwise(F.lit(0.0))

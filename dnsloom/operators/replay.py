@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from dnsloom.functions import remarks
 from dnsloom.operators.lookup import lookup_join
-from dnsloom.operators.ordered import ordered_groups
+from dnsloom.operators.ordered import long_groups, ordered_groups
 from dnsloom.operators.signals import client_address, finish_remark, has_subdomain, is_query
 from dnsloom.operators.staging import Staged
 from dnsloom.settings import DetectionSettings, ScaleSettings
@@ -90,7 +90,7 @@ def _moments_of_chunks(window: WindowSpec, keys: tuple[str, ...]) -> Moments:
     return Moments(
         n,
         origin + total / F.nullif(n, F.lit(0)),
-        F.greatest(squares - total * total / F.nullif(n, F.lit(0)), F.lit(0.0)),
+        F.when(n > 0, F.greatest(squares - total * total / n, F.lit(0.0))),
         F.min("c_low").over(window),
         F.max("c_high").over(window),
     )
@@ -204,7 +204,12 @@ def sliding_unique(
         )
         rows = rows.unionByName(old)
 
-    names = ordered_groups(rows, ["registrable_domain", "subdomain"], scale)
+    # A name has no more rows than its domain: without a long domain there is no long name.
+    pair = ["registrable_domain", "subdomain"]
+    long_domains = long_groups(rows, pair[:1], scale)
+    busy = rows.join(F.broadcast(long_domains.df), pair[:1], "left_semi")
+    long_names = long_groups(busy, pair, scale) if long_domains.rows else long_domains
+    names = ordered_groups(rows, pair, scale, long_keys=long_names)
     order = names.window()
     stretches = names.df.withColumns(
         {"__prev": F.lag("ts_us").over(order), "__next": F.lead("ts_us").over(order)}
@@ -245,7 +250,9 @@ def sliding_unique(
         "registrable_domain", F.inline(F.array_compact(F.array(sighting, F.when(ends, end))))
     )
 
-    domains = ordered_groups(events, ["registrable_domain"], scale, measured_on=rows)
+    domains = ordered_groups(
+        events, pair[:1], scale, long_keys=long_domains, measured_on=rows
+    )
     running = domains.window().rowsBetween(Window.unboundedPreceding, 0)
     counted = domains.df.withColumn("unique_count", F.sum("__delta").over(running))
     if domains.split:

@@ -1,8 +1,9 @@
-"""Small intermediate tables written to the cluster's shared folder.
+"""Intermediate tables written to the cluster's shared folder.
 
-A lookup table (one row per host, domain or bucket) is computed once, written as
-Parquet under `spark.checkpoint.dir` and read back. That cuts its lineage, survives the
-loss of executors, and gives a row count that can be checked before a broadcast.
+A lookup table (one row per host, domain or bucket), or parsed records that several passes
+read, is computed once, written as Parquet under `spark.checkpoint.dir` and read back. That
+cuts its lineage, survives the loss of executors, and gives a row count that can be checked
+before a broadcast.
 """
 
 from __future__ import annotations

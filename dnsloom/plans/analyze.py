@@ -11,6 +11,7 @@ from dnsloom.operators import exports
 from dnsloom.operators.intel import annotate_intel, domains_seen, utc_text, verdicts
 from dnsloom.operators.records import build_records
 from dnsloom.operators.signals import detection_signals
+from dnsloom.operators.staging import stage
 from dnsloom.plans.delivery import deliver
 from dnsloom.settings import (
     AlertSettings,
@@ -69,8 +70,12 @@ def analyze(
     intel: IntelTables | None = None,
     scale: ScaleSettings | None = None,
 ) -> DataFrame:
-    """Finished records of a raw DNS log: parsed, scored, enriched when asked, graded."""
-    records = build_records(raw, rules, settings, scale)
+    """Finished records of a raw DNS log: parsed, scored, enriched when asked, graded.
+
+    Names are parsed and scored once, into a stored table; the aggregates and the lookups
+    then each read the few columns they need.
+    """
+    records = stage(build_records(raw, rules, settings, scale), "records").df
     finished = detection_signals(records, settings, scale)
     if intel is not None:
         finished = annotate_intel(finished, intel.verdicts(records), scale)

@@ -121,6 +121,6 @@ def read_suffix_rules(spark: SparkSession, path: str) -> SuffixRules:
         .where((F.col("rule") != "") & ~F.col("rule").startswith("//"))
         .where(~F.col("rule").startswith("="))
     )
-    ascii_form = F.udf(_punycode, "string")
+    ascii_form = F.udf(_punycode, "string", useArrow=False)
     foreign = lines.where(F.col("rule").rlike(r"[^\x00-\x7f]"))
     return _finish(_rule_table(lines.unionByName(foreign.select(ascii_form("rule").alias("rule")))))

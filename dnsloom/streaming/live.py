@@ -144,7 +144,9 @@ class LiveDetection:
             parsed,
             self.settings,
             self.scale,
-            prior_clients=None if batch == 0 else clients.drop("seen_us", "batch"),
+            prior_clients=None
+            if batch == 0
+            else Staged(clients.drop("seen_us", "batch"), clients.count()),
             prior_sightings=None if batch == 0 else sightings.drop("batch"),
         )
         if self.intel is not None:

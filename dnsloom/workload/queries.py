@@ -100,52 +100,52 @@ def dns_records(w: Workload) -> DataFrame:
         "severity",
         *INTEL_COLUMNS,
     )
-    return _flat(w.records(), *signal_columns)
+    return _flat(w.parsed(), *signal_columns)
 
 
 def base_remark(w: Workload) -> DataFrame:
     remark = remarks.base_remark(F.col("entropy"), F.col("flags"), w.settings)
-    return w.records().select("seq", remark.alias("remark"))
+    return w.parsed().select("seq", remark.alias("remark"))
 
 
 def host_baselines(w: Workload) -> DataFrame:
-    baselines = signals.host_baselines(w.records(), w.settings.min_baseline_samples)
+    baselines = signals.host_baselines(w.records, w.settings.min_baseline_samples)
     return baselines.select("source_ip", r9("mean"), r9("stdev"), "sample_count")
 
 
 def subdomain_bursts(w: Workload) -> DataFrame:
     return signals.subdomain_bursts(
-        w.records(), w.settings.burst_window_us, w.settings.burst_unique_subdomain_threshold
+        w.records, w.settings.burst_window_us, w.settings.burst_unique_subdomain_threshold
     )
 
 
 def nxdomain_ratios(w: Workload) -> DataFrame:
-    ratios = signals.nxdomain_ratios(w.records(), w.settings.min_nxdomain_samples)
+    ratios = signals.nxdomain_ratios(w.records, w.settings.min_nxdomain_samples)
     return ratios.select("client", r9("ratio"), "sample_count")
 
 
 def entropy_zscores(w: Workload) -> DataFrame:
-    scored = signals.with_baseline(w.records(), w.settings, SCALE)
+    scored = signals.with_baseline(w.records, w.settings, SCALE)
     return scored.select("seq", "source_ip", r9("entropy"), r9("entropy_z_score"))
 
 
 def burst_records(w: Workload) -> DataFrame:
-    flagged = signals.with_bursts(w.records(), w.settings, SCALE)
+    flagged = signals.with_bursts(w.records, w.settings, SCALE)
     return flagged.select("seq", "subdomain_burst", "subdomain_burst_unique_count")
 
 
 def nxdomain_records(w: Workload) -> DataFrame:
-    scored = signals.with_baseline(w.records(), w.settings, SCALE)
+    scored = signals.with_baseline(w.records, w.settings, SCALE)
     return scored.select("seq", "destination_ip", r9("host_nxdomain_ratio"))
 
 
 def detection_signals(w: Workload) -> DataFrame:
-    found = signals.detection_signals(w.records(), w.settings)
+    found = signals.detection_signals(w.records, w.settings)
     return _flat(found, "severity", *INTEL_COLUMNS)
 
 
 def severity(w: Workload) -> DataFrame:
-    graded = exports.with_severity(signals.detection_signals(w.records(), w.settings))
+    graded = exports.with_severity(signals.detection_signals(w.records, w.settings))
     return graded.select("seq", "severity", "remark")
 
 
@@ -170,22 +170,22 @@ def analyze_all(w: Workload) -> DataFrame:
 
 
 def live_baseline(w: Workload) -> DataFrame:
-    rows = replay.live_baseline(w.records(), w.settings, SCALE).where(signals.is_query())
+    rows = replay.live_baseline(w.records, w.settings, SCALE).where(signals.is_query())
     return rows.select("seq", r9("entropy"), r9("entropy_z_score"))
 
 
 def live_burst(w: Workload) -> DataFrame:
-    sightings = replay.burst_sightings(w.records())
+    sightings = replay.burst_sightings(w.records)
     return replay.sliding_unique(sightings, w.settings.burst_window_us, SCALE)
 
 
 def live_nxdomain(w: Workload) -> DataFrame:
-    rows = replay.live_baseline(w.records(), w.settings, SCALE).where(~signals.is_query())
+    rows = replay.live_baseline(w.records, w.settings, SCALE).where(~signals.is_query())
     return rows.select("seq", "destination_ip", r9("host_nxdomain_ratio"))
 
 
 def live_detection(w: Workload) -> DataFrame:
-    found = exports.with_severity(replay.live_detection(w.records(), w.settings))
+    found = exports.with_severity(replay.live_detection(w.records, w.settings))
     return _flat(found, *INTEL_COLUMNS)
 
 
@@ -194,7 +194,7 @@ def _stream(w: Workload, enriched: bool, parts: int = 3) -> LiveDetection:
 
     Every restart takes up the state that the run before left in the stream's folder.
     """
-    verdicts = stage(intel_tables(w).verdicts(w.records()), "verdicts") if enriched else None
+    verdicts = stage(intel_tables(w).verdicts(w.records), "verdicts") if enriched else None
     live = LiveDetection(w.spark, new_path(w.spark, "stream"), w.rules, w.settings, intel=verdicts)
     folder = new_path(w.spark, "arriving")
     log = w.stored_log
@@ -236,15 +236,15 @@ def intel_vendor_report(w: Workload) -> DataFrame:
 
 
 def intel_verdicts(w: Workload) -> DataFrame:
-    return intel_tables(w, cached=False).verdicts(w.records())
+    return intel_tables(w, cached=False).verdicts(w.records)
 
 
 def intel_cache(w: Workload) -> DataFrame:
-    return intel_tables(w).verdicts(w.records())
+    return intel_tables(w).verdicts(w.records)
 
 
 def intel_annotated(w: Workload) -> DataFrame:
-    records = w.records()
+    records = w.records
     found = signals.detection_signals(records, w.settings)
     rows = intel.annotate_intel(found, intel_tables(w).verdicts(records))
     return rows.select("seq", "registrable_domain", "threat_intel.*", "remark")

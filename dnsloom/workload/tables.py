@@ -146,17 +146,24 @@ class Workload:
 
     @cached_property
     def stored_log(self) -> DataFrame:
-        return stage(self.dns_log(), "dns-log").df
+        """The log as files, one or more per core."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return stage(self.dns_log().repartition(cores, "seq"), "dns-log").df
 
-    def records(self) -> DataFrame:
+    def parsed(self) -> DataFrame:
         return build_records(self.stored_log, self.rules, self.settings)
 
+    @cached_property
+    def records(self) -> DataFrame:
+        """Parsed records, stored: the input of every operator that passes over them."""
+        return stage(self.parsed(), "records").df
+
     def feed_lines(self) -> DataFrame:
         return _run(self.spark, FEED_SQL, pages=self.table("pages"))
 
     @cached_property
     def seen(self) -> DataFrame:
-        return stage(domains_seen(self.records()), "seen").df
+        return stage(domains_seen(self.records), "seen").df
 
     def host_responses(self) -> DataFrame:
         return _run(self.spark, HOST_RESPONSES_SQL, seen=self.seen)
