@@ -57,37 +57,23 @@ def pack_header(fields: dict[str, Column]) -> Column:
     return word
 
 
-def _code_name(code: Column, names: dict[int, str]) -> Column:
-    table = F.array(*[F.lit(names[i]) for i in sorted(names)])
-    unknown = F.concat(F.lit("UNKNOWN("), code.cast("string"), F.lit(")"))
-    return F.coalesce(F.get(table, code), unknown)
+def _named(column: str, names: dict[int, str]) -> str:
+    """SQL text: name of a code, UNKNOWN(code) where it has none."""
+    table = ", ".join(f"'{names[code]}'" for code in sorted(names))
+    return f"coalesce(get(array({table}), {column}), concat('UNKNOWN(', {column}, ')'))"
 
 
-def opcode_name(code: Column) -> Column:
-    return _code_name(code, OPCODE_NAMES)
+def flag_names() -> Column:
+    """Struct of the seven flags as text, from the columns named as in `HEADER_BITS`."""
 
+    def truth(bit: str) -> str:
+        return f"'{bit}', CASE WHEN {bit} != 0 THEN 'TRUE' ELSE 'FALSE' END"
 
-def rcode_name(code: Column) -> Column:
-    return _code_name(code, RCODE_NAMES)
-
-
-def flag_names(
-    qr: Column, opcode: Column, aa: Column, tc: Column, rd: Column, ra: Column, rcode: Column
-) -> Column:
-    """Struct of the seven flags as text."""
-
-    def truth(bit: Column) -> Column:
-        return F.when(bit != 0, F.lit("TRUE")).otherwise(F.lit("FALSE"))
-
-    return F.struct(
-        F.when(qr != 0, F.lit("RESPONSE")).otherwise(F.lit("QUERY")).alias("qr"),
-        opcode_name(opcode).alias("opcode"),
-        truth(aa).alias("aa"),
-        truth(tc).alias("tc"),
-        truth(rd).alias("rd"),
-        truth(ra).alias("ra"),
-        rcode_name(rcode).alias("rcode"),
-    )
+    return F.expr(f"""named_struct(
+        'qr', CASE WHEN qr != 0 THEN 'RESPONSE' ELSE 'QUERY' END,
+        'opcode', {_named("opcode", OPCODE_NAMES)},
+        {truth("aa")}, {truth("tc")}, {truth("rd")}, {truth("ra")},
+        'rcode', {_named("rcode", RCODE_NAMES)})""")
 
 
 def flags_text(flags: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dnsloom.functions.remarks import join_notes
 from dnsloom.operators.lookup import lookup_join
-from dnsloom.operators.staging import Staged
+from dnsloom.operators.staging import Staged, stage
 from dnsloom.schema import VERDICT_TYPE
 from dnsloom.settings import IntelSettings, ScaleSettings
 from dnsloom.sources.feeds import host_lookup_hits, vendor_report_hits
@@ -123,17 +123,15 @@ def annotate_intel(
     records: DataFrame, table: DataFrame | Staged, scale: ScaleSettings | None = None
 ) -> DataFrame:
     """Records with the verdict of their registrable domain; a hit adds a note."""
-    df = table.df if isinstance(table, Staged) else table
+    table = table if isinstance(table, Staged) else stage(table, "verdicts")
     verdict = F.struct(*[F.col(c) for c in VERDICT_TYPE.fieldNames()]).cast(VERDICT_TYPE)
-    packed = df.select("domain", verdict.alias("__verdict"))
-    packed = Staged(packed, table.rows) if isinstance(table, Staged) else packed
+    packed = Staged(table.df.select("domain", verdict.alias("__verdict")))
     joined = lookup_join(
         records,
         packed,
         {"domain": F.nullif("registrable_domain", F.lit(""))},
         spread=F.col("seq"),
         scale=scale or ScaleSettings(),
-        label="verdicts",
     )
     found = F.col("__verdict")
     note = F.concat(

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dnsloom.settings import ScaleSettings
 from dnsloom.sources.suffix_rules import SuffixRules
 
 
-def _last_labels(name: Column, count: Column | int) -> Column:
-    count = F.lit(count) if isinstance(count, int) else count
-    return F.call_function("substring_index", name, F.lit("."), -count)
-
-
 def split_names(
     df: DataFrame,
     rules: SuffixRules,
@@ -31,47 +26,47 @@ def split_names(
     are '' and the whole name is the scoring label.
     """
     scale = scale or ScaleSettings()
-    clean = F.rtrim(F.col(name), F.lit("."))
-    if normalize_case:
-        clean = F.lower(clean)
+    clean = f"trim(TRAILING '.' FROM `{name}`)"
     # A name may carry URL-like punctuation; the suffix is searched in its host part.
-    unusual = clean.rlike(r"[/?#@:]")
-    host_part = F.regexp_extract(clean, r"^(?:[^/?#]*@)?([^/?#:@]*)", 1)
-    work = df.withColumn("__clean", clean).withColumn(
-        "__host", F.when(unusual, F.rtrim(host_part, F.lit("."))).otherwise(F.col("__clean"))
+    host = """CASE WHEN __clean RLIKE '[/?#@:]'
+        THEN trim(TRAILING '.' FROM regexp_extract(__clean, '^(?:[^/?#]*@)?([^/?#:@]*)', 1))
+        ELSE __clean END"""
+    work = (
+        df.selectExpr("*", f"{f'lower({clean})' if normalize_case else clean} AS __clean")
+        .selectExpr("*", f"{host} AS __host")
+        .selectExpr("*", "length(__host) - length(replace(__host, '.', '')) + 1 AS __labels")
     )
-    host = F.col("__host")
-    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
-    work = work.withColumn("__labels", labels)
 
     table = F.broadcast(rules.df) if rules.rows <= scale.broadcast_rows else rules.df
-    normal, wild, exempt = [], [], []
+    matched, exempt = [], []
     for k in range(1, rules.depth + 1):
-        rule = table.alias(f"__rule{k}")
-        tail = F.when(F.col("__labels") >= k, F.lower(_last_labels(host, k)))
-        work = work.join(rule, tail == F.col(f"__rule{k}.name"), "left")
-        normal.append(F.when(F.col(f"__rule{k}.normal"), F.lit(k)))
-        wild.append(
-            F.when(F.col(f"__rule{k}.wildcard") & (F.col("__labels") > k), F.lit(k + 1))
-        )
-        exempt.append(F.when(F.col(f"__rule{k}.exception"), F.lit(k - 1)))
-    deepest = F.greatest(*normal, *wild) if rules.depth else F.lit(None).cast("int")
-    suffix_labels = F.coalesce(*exempt, deepest)
+        rule = f"__rule{k}"
+        tail = f"CASE WHEN __labels >= {k} THEN lower(substring_index(__host, '.', -{k})) END"
+        work = work.join(table.alias(rule), F.expr(f"{tail} = {rule}.name"), "left")
+        matched.append(f"CASE WHEN {rule}.normal THEN {k} END")
+        matched.append(f"CASE WHEN {rule}.wildcard AND __labels > {k} THEN {k + 1} END")
+        exempt.append(f"CASE WHEN {rule}.exception THEN {k - 1} END")
+    suffix = f"coalesce({', '.join(exempt)}, greatest({', '.join(matched)}))"
 
-    kept = [F.col(c) for c in df.columns]
-    work = work.select(*kept, "__clean", "__host", "__labels", suffix_labels.alias("__suffix"))
-    owned = F.when(F.col("__labels") > F.col("__suffix"), _last_labels(host, F.col("__suffix") + 1))
-    work = work.withColumn("__owned", F.when(~owned.startswith("."), owned))
-    owned = F.col("__owned")
-    label = F.call_function("substring_index", owned, F.lit("."), F.lit(1))
-    sub = F.substring(host, F.lit(1), F.greatest(F.length(host) - F.length(owned) - 1, F.lit(0)))
-    known = owned.isNotNull()
-    return work.select(
-        *kept,
-        F.coalesce(owned, F.lit("")).alias("registrable_domain"),
-        F.when(known, sub).otherwise(F.lit("")).alias("subdomain"),
-        F.when(known & (sub != ""), F.concat(sub, F.lit("."), label))
-        .when(known, label)
-        .otherwise(F.col("__clean"))
-        .alias("scoring_label"),
+    kept = [f"`{c}`" for c in df.columns]
+    owned = "CASE WHEN __labels > __suffix THEN substring_index(__host, '.', -(__suffix + 1)) END"
+    return (
+        work.selectExpr(*kept, "__clean", "__host", "__labels", f"{suffix} AS __suffix")
+        .selectExpr(*kept, "__clean", "__host", f"{owned} AS __owned")
+        .selectExpr(
+            *kept,
+            "__clean",
+            # an empty label in front of the suffix is no domain
+            "CASE WHEN NOT startswith(__owned, '.') THEN __owned END AS __owned",
+            "substring(__host, 1, greatest(length(__host) - length(__owned) - 1, 0)) AS __sub",
+            "substring_index(__owned, '.', 1) AS __label",
+        )
+        .selectExpr(
+            *kept,
+            "coalesce(__owned, '') AS registrable_domain",
+            "CASE WHEN __owned IS NOT NULL THEN __sub ELSE '' END AS subdomain",
+            """CASE WHEN __owned IS NULL THEN __clean
+                    WHEN __sub != '' THEN concat(__sub, '.', __label)
+                    ELSE __label END AS scoring_label""",
+        )
     )

@@ -64,10 +64,14 @@ def _cut_points(values: Sequence[float]) -> list[float]:
     return [-math.inf, *sorted(set(values)), math.inf]
 
 
-def long_groups(df: DataFrame, keys: Sequence[str], scale: ScaleSettings) -> Staged:
-    """Keys with more than `scale.group_rows` rows, at most rows / group_rows of them."""
+def long_groups(df: DataFrame, keys: Sequence[str], scale: ScaleSettings) -> Staged | None:
+    """Keys with more than `scale.group_rows` rows, at most rows / group_rows of them.
+
+    None when there are none, which is the usual case and costs one aggregate.
+    """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    return stage(sizes.where(F.col("__size") > scale.group_rows), "long-groups")
+    found = sizes.where(F.col("__size") > scale.group_rows)
+    return None if found.isEmpty() else stage(found, "long-groups")
 
 
 def ordered_groups(
@@ -75,7 +79,7 @@ def ordered_groups(
     keys: Sequence[str],
     scale: ScaleSettings,
     *,
-    long_keys: Staged | None = None,
+    long_keys: Staged | None,
     measured_on: DataFrame | None = None,
 ) -> OrderedGroups:
     """`df` with a chunk number, -1 in groups of at most `scale.group_rows` rows.
@@ -85,12 +89,11 @@ def ordered_groups(
     quantiles of seq inside instants that alone fill a chunk. The quantiles only place the
     cuts: every row lands in one chunk, and chunks follow (ts_us, seq) order wherever they fall.
 
-    long_keys: the result of `long_groups`, if known already.
+    long_keys: the result of `long_groups` for these keys.
     measured_on: a cheaper table with the same keys and similar times, to take cuts from.
     """
     source = measured_on if measured_on is not None else df
-    long_keys = long_keys or long_groups(source, keys, scale)
-    if long_keys.rows == 0:
+    if long_keys is None:
         return OrderedGroups(df.withColumn(CHUNK, F.lit(-1).cast("long")), tuple(keys), scale, False)
 
     total = long_keys.df.agg(F.sum("__size")).first()[0]

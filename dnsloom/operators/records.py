@@ -9,10 +9,26 @@ from dnsloom.functions.entropy import shannon_entropy
 from dnsloom.functions.flags import flag_names
 from dnsloom.functions.remarks import base_remark
 from dnsloom.operators.names import split_names
-from dnsloom.schema import RECORD_COLUMNS, RECORD_SCHEMA, VERDICT_TYPE
+from dnsloom.schema import RECORD_COLUMNS, RECORD_SCHEMA
 from dnsloom.settings import DetectionSettings, ScaleSettings
 from dnsloom.sources.suffix_rules import SuffixRules
 
+# Columns that are not parsed here: the time in seconds, and what later steps fill in.
+_FROM_RAW = {
+    "timestamp": "ts_us / 1000000 AS timestamp",
+    "subdomain_burst": "false AS subdomain_burst",
+    **{
+        name: f"CAST(NULL AS {RECORD_SCHEMA[name].dataType.simpleString()}) AS {name}"
+        for name in (
+            "entropy_z_score",
+            "subdomain_burst_unique_count",
+            "host_nxdomain_ratio",
+            "threat_intel",
+            "severity",
+        )
+    },
+}
+
 
 def build_records(
     raw: DataFrame,
@@ -22,23 +38,9 @@ def build_records(
 ) -> DataFrame:
     """One record per row of `raw` (RAW_SCHEMA), its remark from this row alone."""
     settings = settings or DetectionSettings()
-    flags = flag_names(*[F.col(c) for c in ("qr", "opcode", "aa", "tc", "rd", "ra", "rcode")])
     parts = split_names(raw, rules, normalize_case=settings.normalize_case, scale=scale)
     records = parts.withColumns(
-        {
-            "entropy": shannon_entropy(F.col("scoring_label")),
-            "flags": flags,
-            "timestamp": F.col("ts_us") / F.lit(1_000_000),
-        }
+        {"entropy": shannon_entropy("scoring_label"), "flags": flag_names()}
     )
-    defaults = {
-        "entropy_z_score": F.lit(None).cast("double"),
-        "subdomain_burst": F.lit(False),
-        "subdomain_burst_unique_count": F.lit(None).cast("long"),
-        "host_nxdomain_ratio": F.lit(None).cast("double"),
-        "threat_intel": F.lit(None).cast(VERDICT_TYPE),
-        "severity": F.lit(None).cast("string"),
-        "remark": base_remark(F.col("entropy"), F.col("flags"), settings),
-    }
-    records = records.withColumns(defaults)
-    return records.select(*[F.col(c).cast(RECORD_SCHEMA[c].dataType) for c in RECORD_COLUMNS])
+    remark = base_remark(F.col("entropy"), F.col("flags"), settings)
+    return records.withColumn("remark", remark).selectExpr(*[_FROM_RAW.get(c, c) for c in RECORD_COLUMNS])

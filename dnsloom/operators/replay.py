@@ -109,7 +109,7 @@ def with_history(
     """
     keys = ("__side", "__client")
     keyed = records.withColumns({"__side": is_query(), "__client": client_address()})
-    groups = ordered_groups(keyed, keys, scale)
+    groups = ordered_groups(keyed, keys, scale, long_keys=long_groups(keyed, keys, scale))
     query_entropy = F.when(is_query(), F.col("entropy"))
     response = F.when(~is_query(), F.lit(1)).otherwise(F.lit(0))
     nxdomain = F.when(~is_query() & (F.col("flags.rcode") == "NXDOMAIN"), 1).otherwise(0)
@@ -207,8 +207,10 @@ def sliding_unique(
     # A name has no more rows than its domain: without a long domain there is no long name.
     pair = ["registrable_domain", "subdomain"]
     long_domains = long_groups(rows, pair[:1], scale)
-    busy = rows.join(F.broadcast(long_domains.df), pair[:1], "left_semi")
-    long_names = long_groups(busy, pair, scale) if long_domains.rows else long_domains
+    long_names = None
+    if long_domains is not None:
+        busy = rows.join(F.broadcast(long_domains.df), pair[:1], "left_semi")
+        long_names = long_groups(busy, pair, scale)
     names = ordered_groups(rows, pair, scale, long_keys=long_names)
     order = names.window()
     stretches = names.df.withColumns(

@@ -11,14 +11,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
 class Staged:
+    """A stored table; its row count is read from the file footers when first asked for."""
+
     df: DataFrame
-    rows: int
+
+    @cached_property
+    def rows(self) -> int:
+        return self.df.count()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     all its machines see.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not context.master.startswith("local"):
@@ -43,9 +49,8 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def stage(df: DataFrame, label: str) -> Staged:
-    """Write `df` to the shared folder and return it re-read, with its row count."""
+    """Write `df` to the shared folder and return it re-read."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    return Staged(table, table.count())
+    return Staged(spark.read.schema(df.schema).parquet(path))

@@ -78,5 +78,5 @@ class ScaleSettings:
 
     broadcast_rows: int = 1_000_000
     hot_rows: int = 5_000_000
-    group_rows: int = 5_000_000
+    group_rows: int = 2_000_000
     max_chunks: int = 8192

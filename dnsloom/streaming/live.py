@@ -146,7 +146,7 @@ class LiveDetection:
             self.scale,
             prior_clients=None
             if batch == 0
-            else Staged(clients.drop("seen_us", "batch"), clients.count()),
+            else Staged(clients.drop("seen_us", "batch")),
             prior_sightings=None if batch == 0 else sightings.drop("batch"),
         )
         if self.intel is not None:
@@ -176,4 +176,5 @@ class LiveDetection:
 
     def output(self) -> DataFrame:
         """All records written so far; input of any end-of-run export."""
-        return self.spark.read.schema(RECORD_SCHEMA).parquet(self.records_path)
+        written = self.spark.read.schema(RECORD_SCHEMA).parquet(self.records_path)
+        return written.select(*RECORD_SCHEMA.fieldNames())

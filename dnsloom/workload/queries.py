@@ -13,7 +13,7 @@ from dnsloom.functions.flags import HEADER_BITS, flag_names, flags_text, pack_he
 from dnsloom.operators import exports, intel, replay, signals
 from dnsloom.operators.names import split_names
 from dnsloom.operators.staging import new_path, stage
-from dnsloom.plans.analyze import IntelTables, analyze
+from dnsloom.plans.analyze import analyze
 from dnsloom.schema import RECORD_SCHEMA
 from dnsloom.settings import AlertSettings, ScaleSettings
 from dnsloom.sources import captures, feeds
@@ -72,23 +72,23 @@ def _captures(w: Workload, mixed: bool) -> str:
 
 def header_bits(w: Workload) -> DataFrame:
     word = pack_header({k: F.col(k) for k in HEADER_BITS}).alias("word")
-    return w.dns_log().select("seq", word).select("seq", "word", *unpack_header(F.col("word")).values())
+    return w.stored_log.select("seq", word).select("seq", "word", *unpack_header(F.col("word")).values())
 
 
 def flags_decoded(w: Workload) -> DataFrame:
-    flags = w.dns_log().select("seq", flag_names(*[F.col(k) for k in HEADER_BITS]).alias("flags"))
+    flags = w.stored_log.select("seq", flag_names().alias("flags"))
     named = [F.col(f"flags.{k}").alias(f"flags_{k}") for k in HEADER_BITS]
     return flags.select("seq", *named, flags_text(F.col("flags")).alias("flags_text"))
 
 
 def entropy(w: Workload) -> DataFrame:
-    parts = split_names(w.dns_log(), w.rules)
-    score = F.round(shannon_entropy(F.col("scoring_label")), 9).alias("entropy")
+    parts = split_names(w.stored_log, w.rules)
+    score = F.round(shannon_entropy("scoring_label"), 9).alias("entropy")
     return parts.select("seq", "scoring_label", score)
 
 
 def domain_parts(w: Workload) -> DataFrame:
-    return split_names(w.dns_log().select("seq", "query"), w.rules)
+    return split_names(w.stored_log.select("seq", "query"), w.rules)
 
 
 def dns_records(w: Workload) -> DataFrame:
@@ -149,24 +149,8 @@ def severity(w: Workload) -> DataFrame:
     return graded.select("seq", "severity", "remark")
 
 
-def intel_tables(w: Workload, cached: bool = True) -> IntelTables:
-    return IntelTables(
-        now=NOW,
-        host_responses=w.host_responses(),
-        feed=feeds.feed_domains(w.feed_lines(), w.rules),
-        vendor_responses=w.vendor_responses(),
-        cache=w.cache() if cached else None,
-        settings=INTEL_SETTINGS,
-    )
-
-
-def finished(w: Workload) -> DataFrame:
-    """Finished records with enrichment, stored once: the input of every export."""
-    return stage(analyze(w.stored_log, w.rules, w.settings, intel_tables(w)), "finished").df
-
-
 def analyze_all(w: Workload) -> DataFrame:
-    return _flat(analyze(w.stored_log, w.rules, w.settings, intel_tables(w)))
+    return _flat(analyze(w.stored_log, w.rules, w.settings, w.intel()))
 
 
 def live_baseline(w: Workload) -> DataFrame:
@@ -194,7 +178,7 @@ def _stream(w: Workload, enriched: bool, parts: int = 3) -> LiveDetection:
 
     Every restart takes up the state that the run before left in the stream's folder.
     """
-    verdicts = stage(intel_tables(w).verdicts(w.records), "verdicts") if enriched else None
+    verdicts = stage(w.intel().verdicts(w.records), "verdicts") if enriched else None
     live = LiveDetection(w.spark, new_path(w.spark, "stream"), w.rules, w.settings, intel=verdicts)
     folder = new_path(w.spark, "arriving")
     log = w.stored_log
@@ -236,22 +220,22 @@ def intel_vendor_report(w: Workload) -> DataFrame:
 
 
 def intel_verdicts(w: Workload) -> DataFrame:
-    return intel_tables(w, cached=False).verdicts(w.records)
+    return w.intel(cached=False).verdicts(w.records)
 
 
 def intel_cache(w: Workload) -> DataFrame:
-    return intel_tables(w).verdicts(w.records)
+    return w.intel().verdicts(w.records)
 
 
 def intel_annotated(w: Workload) -> DataFrame:
     records = w.records
     found = signals.detection_signals(records, w.settings)
-    rows = intel.annotate_intel(found, intel_tables(w).verdicts(records))
+    rows = intel.annotate_intel(found, w.intel().verdicts(records))
     return rows.select("seq", "registrable_domain", "threat_intel.*", "remark")
 
 
 def _unsettled(w: Workload) -> DataFrame:
-    given = intel_tables(w)
+    given = w.intel()
     return intel.unsettled_domains(
         w.seen,
         NOW,
@@ -271,37 +255,37 @@ def lookup_schedule(w: Workload) -> DataFrame:
 
 
 def alerts(w: Workload) -> DataFrame:
-    return exports.alerts(finished(w), AlertSettings())
+    return exports.alerts(w.finished, AlertSettings())
 
 
 def cef_lines(w: Workload) -> DataFrame:
-    return exports.cef_lines(finished(w))
+    return exports.cef_lines(w.finished)
 
 
 def csv_flat(w: Workload) -> DataFrame:
-    return _flat(finished(w))
+    return _flat(w.finished)
 
 
 def json_records(w: Workload) -> DataFrame:
     """Written as JSON lines and read back."""
     path = new_path(w.spark, "json")
-    exports.write_json(finished(w), path)
+    exports.write_json(w.finished, path)
     back = w.spark.read.schema(RECORD_SCHEMA).json(path)
     flat = [_flat_column(c) for c in (*exports.FLAT_COLUMNS, "threat_intel_checked_at")]
     return back.select("seq", *flat)
 
 
 def report_blocks(w: Workload) -> DataFrame:
-    return exports.report_blocks(finished(w))
+    return exports.report_blocks(w.finished)
 
 
 def stix_indicators(w: Workload) -> DataFrame:
-    indicators = exports.stix_indicators(finished(w), intel.utc_text(NOW))
+    indicators = exports.stix_indicators(w.finished, intel.utc_text(NOW))
     return indicators.withColumn("indicator_types", F.element_at("indicator_types", 1))
 
 
 def stix_bundle(w: Workload) -> DataFrame:
-    return exports.stix_bundle(finished(w), intel.utc_text(NOW), BUNDLE_UUID)
+    return exports.stix_bundle(w.finished, intel.utc_text(NOW), BUNDLE_UUID)
 
 
 QUERIES: dict[str, Callable[[Workload], DataFrame]] = {

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from dnsloom.operators.intel import domains_seen
 from dnsloom.operators.records import build_records
 from dnsloom.operators.staging import stage
+from dnsloom.plans.analyze import IntelTables, analyze
 from dnsloom.schema import RAW_SCHEMA
 from dnsloom.settings import DetectionSettings, IntelSettings
+from dnsloom.sources.feeds import feed_domains
 from dnsloom.sources.suffix_rules import seed_suffix_rules
 
 # Chosen so that every branch has rows on the given tables.
@@ -158,6 +160,22 @@ class Workload:
         """Parsed records, stored: the input of every operator that passes over them."""
         return stage(self.parsed(), "records").df
 
+    @cached_property
+    def finished(self) -> DataFrame:
+        """Finished records with enrichment, stored: the input of every export."""
+        done = analyze(self.stored_log, self.rules, self.settings, self.intel())
+        return stage(done, "finished").df
+
+    def intel(self, cached: bool = True) -> IntelTables:
+        return IntelTables(
+            now=NOW,
+            host_responses=self.host_responses(),
+            feed=feed_domains(self.feed_lines(), self.rules),
+            vendor_responses=self.vendor_responses(),
+            cache=self.cache() if cached else None,
+            settings=INTEL_SETTINGS,
+        )
+
     def feed_lines(self) -> DataFrame:
         return _run(self.spark, FEED_SQL, pages=self.table("pages"))
 

@@ -1,0 +1,169 @@
+from __future__ import annotations
+
+import struct
+from types import SimpleNamespace
+
+import pytest
+from conftest import RAW_DEFAULTS, raw_rows
+from pyspark.sql import functions as F
+
+from dnsloom.schema import RAW_SCHEMA
+from dnsloom.sources import captures
+from dnsloom.workload import capture_writer as writer
+
+CONTENT = [f.name for f in RAW_SCHEMA if f.name != "seq"]
+
+
+def message(**fields):
+    return SimpleNamespace(**{**RAW_DEFAULTS, **fields})
+
+
+def save(path, frames, *, order="<", magic=0xA1B2C3D4, link=1, units=1):
+    """frames: (ts_us, bytes); units: file ticks per microsecond."""
+    data = struct.pack(order + "IHHiIII", magic, 2, 4, 0, 0, 262144, link)
+    for ts_us, frame in frames:
+        head = (ts_us // 1_000_000, ts_us % 1_000_000 * units, len(frame), len(frame))
+        data += struct.pack(order + "IIII", *head) + frame
+    path.write_bytes(data)
+    return data
+
+
+def scan(spark, path, **options):
+    return captures.scan_captures(spark, str(path), **options)
+
+
+def test_rows_come_back_from_many_small_ranges(spark, tmp_path):
+    rows = raw_rows(
+        spark,
+        [
+            {
+                "ts_us": 1_700_000_000_000_000 + i * 1_000_003,
+                "query": "Unknown" if i % 50 == 0 else f"h{'x' * (i % 40)}.Example.com.",
+                "qdcount": 0 if i % 50 == 0 else 1,
+                "qr": i % 2,
+                "rcode": i % 16,
+                "opcode": i % 7,
+                "tc": i % 3 % 2,
+                "arcount": i % 5,
+            }
+            for i in range(2000)
+        ],
+    )
+    writer.write_captures(rows, str(tmp_path), files=2)
+    got = captures.captured_messages(scan(spark, tmp_path, split_bytes=4096))
+    assert got.schema == RAW_SCHEMA
+    assert got.select(CONTENT).exceptAll(rows.select(CONTENT)).count() == 0
+    assert got.count() == 2000 == got.select("seq").distinct().count()
+    # within a file, seq follows the order of the packets
+    ordered = got.withColumn("file", F.shiftright("seq", 40)).orderBy("seq").collect()
+    for a, b in zip(ordered, ordered[1:], strict=False):
+        assert a.file < b.file or a.ts_us < b.ts_us
+
+
+def test_wrong_guesses_are_found_and_walked_again(spark, tmp_path):
+    """Packets that carry whole fake packet chains mislead the guess, not the result."""
+    fake = b"".join(writer.packet(1_600_000_000_000_000, bytes(40)) for _ in range(200))
+    frames = []
+    for i in range(30):
+        frames.append((1_700_000_000_000_000 + i, writer.frame(message(query=f"q{i}.com."))))
+        frames.append((1_700_000_000_000_000 + i, bytes(12) + b"\x12\x34" + fake))
+    save(tmp_path / "a.pcap", frames)
+    rows = scan(spark, tmp_path, split_bytes=8192).collect()
+    assert sorted(r.query for r in rows) == sorted(f"q{i}.com." for i in range(30))
+
+
+def test_kinds_of_frames(spark, tmp_path):
+    plain = message(query="a.example.com.")
+    base = writer.frame(plain)
+    vlan = base[:12] + b"\x81\x00\x00\x05" + base[12:]
+    options = bytearray(base)
+    options[14] = 0x46
+    options[34:34] = b"\x01\x01\x01\x01"
+    options[16:18] = struct.pack(">H", len(options) - 14)
+    fragment = bytearray(base)
+    fragment[20:22] = b"\x00\x10"
+    pointer = writer.frame(message(query="b."))[:-7] + b"\xc0\x12\x03abc\x00\x00\x01\x00\x01"
+    pointer = bytearray(pointer)
+    pointer[16:18] = struct.pack(">H", len(pointer) - 14)
+    root = writer.frame(message(query="."))
+    short = writer.frame(plain)[:48]
+    binary = writer.frame(message(query="zz.com.")).replace(b"zz", b"\xff\xfe")
+    frames = [
+        base,
+        vlan,
+        bytes(options),
+        bytes(fragment),
+        writer.frame(plain, ipv6=True),
+        writer.frame(plain, tcp=True),
+        writer.frame(plain, port=9953),
+        writer.frame(message(query="m.local."), port=5353),
+        root,
+        short,
+        binary,
+        bytes(12) + b"\x08\x06" + bytes(30),
+    ]
+    save(tmp_path / "kinds.pcap", [(1_000_000 + i, f) for i, f in enumerate(frames)])
+    everything = scan(spark, tmp_path)
+    rows = {r.ts_us - 1_000_000: r for r in everything.collect()}
+    assert sorted(rows) == [0, 1, 2, 4, 7, 8, 10]
+    assert {rows[i].query for i in (0, 1, 2)} == {"a.example.com."}
+    assert rows[0].source_ip == "10.0.0.1" and rows[0].destination_ip == "8.8.8.8"
+    assert rows[4].skipped and rows[4].source_ip is None and rows[4].query is None
+    assert (rows[7].query, rows[8].query) == ("m.local.", ".")
+    assert rows[10].query == "��.com."
+    assert tuple(captures.skip_summary(everything).first()) == (6, 1)
+    assert captures.captured_messages(everything).count() == 6
+
+
+@pytest.mark.parametrize(
+    "shape",
+    [
+        {"order": ">"},
+        {"magic": 0xA1B23C4D, "units": 1000},
+        {"order": ">", "magic": 0xA1B23C4D, "units": 1000},
+        {"link": 101},
+        {"link": 113},
+        {"link": 0},
+    ],
+)
+def test_file_forms(spark, tmp_path, shape):
+    frame = writer.frame(message(query="x.example.org.", qr=1, rcode=3))
+    cut = {101: frame[14:], 113: bytes(14) + frame[12:], 0: b"\x02\0\0\0" + frame[14:]}
+    frame = cut.get(shape.get("link"), frame)
+    save(tmp_path / "f.pcap", [(1_700_000_000_123_456, frame)], **shape)
+    row = scan(spark, tmp_path).first()
+    assert (row.ts_us, row.query, row.rcode) == (1_700_000_000_123_456, "x.example.org.", 3)
+
+
+def test_pcapng(spark, tmp_path):
+    def block(kind, body):
+        body += bytes(-len(body) % 4)
+        size = struct.pack("<I", len(body) + 12)
+        return struct.pack("<I", kind) + size + body + size
+
+    frame = writer.frame(message(query="ng.example.com."))
+    nanoseconds = struct.pack("<HHB3xHH", 9, 1, 9, 0, 0)
+    ticks = 1_700_000_000_123_456_789
+
+    def packet(interface, stamp):
+        head = struct.pack("<IIIII", interface, stamp >> 32, stamp & 0xFFFFFFFF, len(frame), len(frame))
+        return block(6, head + frame)
+
+    data = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
+    data += block(1, struct.pack("<HHI", 1, 0, 0)) + block(1, struct.pack("<HHI", 1, 0, 0) + nanoseconds)
+    data += packet(0, ticks // 1000) + block(5, bytes(12)) + packet(1, ticks)
+    (tmp_path / "f.pcapng").write_bytes(data)
+    rows = scan(spark, tmp_path, split_bytes=64).collect()
+    assert [(r.ts_us, r.query) for r in rows] == [(ticks // 1000, "ng.example.com.")] * 2
+
+
+def test_broken_files(spark, tmp_path):
+    frame = writer.frame(message(query="x.example.org."))
+    data = save(tmp_path / "cut.pcap", [(1_000_000, frame), (2_000_000, frame)])
+    (tmp_path / "cut.pcap").write_bytes(data[:-5])
+    assert [r.ts_us for r in scan(spark, tmp_path).collect()] == [1_000_000]
+    (tmp_path / "bad.pcap").write_bytes(b"not a capture at all, but long enough")
+    with pytest.raises(Exception, match="not a capture file"):
+        scan(spark, tmp_path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        scan(spark, tmp_path / "missing")

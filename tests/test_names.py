@@ -6,7 +6,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from dnsloom.functions.entropy import shannon_entropy
 from dnsloom.operators.names import split_names
@@ -129,7 +128,7 @@ def test_whole_public_list_against_a_model(spark):
 
 def entropies(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, s STRING")
-    rows = df.select("i", shannon_entropy(F.col("s")).alias("e")).collect()
+    rows = df.select("i", shannon_entropy("s").alias("e")).collect()
     return [r.e for r in sorted(rows, key=lambda r: r.i)]
 
 

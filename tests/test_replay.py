@@ -9,7 +9,7 @@ from conftest import by_seq, record_rows
 from test_signals import BUSY, TINY, comparable, random_records
 
 from dnsloom.operators import replay
-from dnsloom.operators.ordered import CHUNK, ordered_groups
+from dnsloom.operators.ordered import CHUNK, long_groups, ordered_groups
 from dnsloom.settings import DetectionSettings, ScaleSettings
 
 PLAIN = ScaleSettings()
@@ -110,7 +110,10 @@ def test_no_chunk_holds_much_more_than_its_share(spark):
     """One key, one instant: both are cut."""
     rows = [{"ts_us": 7 if i % 3 else i, "source_ip": "10.0.0.1"} for i in range(3000)]
     df = record_rows(spark, rows).select("seq", "ts_us", "source_ip")
-    groups = ordered_groups(df, ["source_ip"], ScaleSettings(group_rows=100))
+    scale = ScaleSettings(group_rows=100)
+    groups = ordered_groups(
+        df, ["source_ip"], scale, long_keys=long_groups(df, ["source_ip"], scale)
+    )
     assert groups.split
     sizes = [r["count"] for r in groups.df.groupBy("source_ip", CHUNK).count().collect()]
     assert sum(sizes) == 3000 and max(sizes) <= 300
