@@ -120,9 +120,15 @@ def verdicts(
 
 
 def annotate_intel(
-    records: DataFrame, table: DataFrame | Staged, scale: ScaleSettings | None = None
+    records: DataFrame,
+    table: DataFrame | Staged,
+    scale: ScaleSettings | None = None,
+    counted_on: DataFrame | None = None,
 ) -> DataFrame:
-    """Records with the verdict of their registrable domain; a hit adds a note."""
+    """Records with the verdict of their registrable domain; a hit adds a note.
+
+    counted_on: the same records in a form that is cheaper to count domains on.
+    """
     table = table if isinstance(table, Staged) else stage(table, "verdicts")
     verdict = F.struct(*[F.col(c) for c in VERDICT_TYPE.fieldNames()]).cast(VERDICT_TYPE)
     packed = Staged(table.df.select("domain", verdict.alias("__verdict")))
@@ -132,6 +138,7 @@ def annotate_intel(
         {"domain": F.nullif("registrable_domain", F.lit(""))},
         spread=F.col("seq"),
         scale=scale or ScaleSettings(),
+        counted_on=counted_on,
     )
     found = F.col("__verdict")
     note = F.concat(

@@ -25,13 +25,15 @@ def lookup_join(
     spread: Column,
     scale: ScaleSettings,
     weight: str | None = None,
+    counted_on: DataFrame | None = None,
     label: str = "lookup",
 ) -> DataFrame:
     """`left` with the columns of `table` added; NULL where no key matches.
 
     on: table key column -> expression over `left`; a NULL expression matches nothing.
     weight: column of `table` that holds the number of matching rows in `left`; counted
-        here when not given and needed.
+        here when not given and needed, on `counted_on` if that is a cheaper table on which
+        `on` works as well.
     spread: well-distributed expression over `left` (a row number).
 
     The table is staged and counted first. Up to `scale.broadcast_rows` rows it is
@@ -53,7 +55,8 @@ def lookup_join(
     if weight is not None:
         hot_keys = renamed.where(F.col(weight) >= scale.hot_rows)
     else:
-        sizes = left.groupBy(*[expr.alias(names[key]) for key, expr in on.items()]).count()
+        counted = left if counted_on is None else counted_on
+        sizes = counted.groupBy(*[expr.alias(names[key]) for key, expr in on.items()]).count()
         busy = stage(sizes.where(F.col("count") >= scale.hot_rows), f"{label}-hot").df
         hot_keys = renamed.join(F.broadcast(busy), list(names.values()), "left_semi")
     cold_keys = renamed.join(

@@ -147,6 +147,7 @@ def with_history(
             {"side": F.col("__side"), "client": F.col("__client")},
             spread=F.col("seq"),
             scale=scale,
+            counted_on=keyed,
             label="prior-clients",
         )
         rows = _add_history(rows, "p_")

@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -48,9 +51,33 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/dnsloom-{label}-{uuid.uuid4().hex}"
 
 
+_scratch_paths: ContextVar[list[str] | None] = ContextVar("scratch_paths", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end.
+
+    Results are lazy and read the staged tables, so they have to be written inside as well.
+    """
+    paths: list[str] = []
+    token = _scratch_paths.set(paths)
+    try:
+        yield
+    finally:
+        _scratch_paths.reset(token)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in paths:
+            target = hadoop.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stage(df: DataFrame, label: str) -> Staged:
     """Write `df` to the shared folder and return it re-read."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    paths = _scratch_paths.get()
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return Staged(spark.read.schema(df.schema).parquet(path))

@@ -78,7 +78,7 @@ def analyze(
     records = stage(build_records(raw, rules, settings, scale), "records").df
     finished = detection_signals(records, settings, scale)
     if intel is not None:
-        finished = annotate_intel(finished, intel.verdicts(records), scale)
+        finished = annotate_intel(finished, intel.verdicts(records), scale, counted_on=records)
     return exports.with_severity(finished)
 
 

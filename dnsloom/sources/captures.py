@@ -1,7 +1,7 @@
 """Capture files (pcap, pcapng) as DNS log rows.
 
-Files are cut into byte ranges so that one large capture is read by many tasks. A pcap has
-no sync marks: each range guesses its first packet by a chain of plausible headers and
+Files are cut into byte ranges so that one large capture is read by many tasks. There
+are no sync marks: each range guesses its first packet by a chain of plausible headers and
 reports where its last packet ends. The guesses of a file hold if every range starts where
 the one before ended, which is checked; a file where they do not is walked header by header
 from its start instead. Decoding then runs on ranges that are known to be right.
@@ -13,6 +13,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,6 +38,10 @@ _PCAP_MAGIC = {
     b"\xa1\xb2\x3c\x4d": (">", 1_000_000_000),
 }
 _PCAPNG_MAGIC = b"\x0a\x0d\x0d\x0a"
+# Pcapng block types that set up (section, interface), and those that hold a
+# packet, with the layout of their interface number.
+_SETUP_BLOCKS = (0x0A0D0D0A, 1)
+_PACKET_BLOCKS = {2: "Hxx", 6: "I"}
 # Link types -> (bytes before the network header, offset of the ether type).
 _LINK_HEADER = {0: (4, None), 1: (14, 12), 12: (0, None), 14: (0, None), 101: (0, None), 113: (16, 14), 276: (20, 0)}
 _IPV6_EXTENSIONS = (0, 43, 60)
@@ -70,135 +75,176 @@ class _Window:
 
 @dataclass(frozen=True)
 class _Format:
+    """Byte order of a capture, and for a pcap its clock and link type.
+
+    In a pcapng (units 0) both belong to interfaces, which `setup` blocks define.
+    """
+
     order: str
-    units: int
-    link: int
+    units: int = 0
+    link: int = 0
 
+    @property
+    def first(self) -> int:
+        return 24 if self.units else 0
 
-def _pcap_format(window: _Window) -> _Format | None:
-    """Header of a pcap; None for a pcapng."""
+
+def _format(window: _Window) -> _Format:
     head = window.read(0, 24)
+    if len(head) == 24 and head[:4] in _PCAP_MAGIC:
+        order, units = _PCAP_MAGIC[head[:4]]
+        return _Format(order, units, struct.unpack(order + "I", head[20:24])[0] & 0xFFFF)
     if head[:4] == _PCAPNG_MAGIC:
-        return None
-    if head[:4] not in _PCAP_MAGIC or len(head) < 24:
-        raise ValueError("not a capture file")
-    order, units = _PCAP_MAGIC[head[:4]]
-    return _Format(order, units, struct.unpack(order + "I", head[20:24])[0] & 0xFFFF)
+        return _Format(_section_order(head))
+    raise ValueError("not a capture file")
+
 
+def _section_order(head: bytes) -> str:
+    return "<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
 
-def _next_packet(window: _Window, form: _Format, offset: int) -> int | None:
-    """Offset after the packet at `offset`; None if no whole, plausible packet is there."""
-    head = window.read(offset, 16)
-    if len(head) < 16:
+
+def _next(window: _Window, form: _Format, offset: int) -> tuple[int, _Format] | None:
+    """Offset after the packet or block at `offset`, and the format that holds there.
+
+    None if nothing whole and plausible is there.
+    """
+    head = window.read(offset, 16 if form.units else 12)
+    if form.units:
+        if len(head) < 16:
+            return None
+        _, fraction, kept, full = struct.unpack(form.order + "IIII", head)
+        end = offset + 16 + kept
+        if fraction >= form.units or kept > _MAX_PACKET or kept > full or end > window.size:
+            return None
+        return end, form
+    if len(head) < 12:
         return None
-    _, fraction, kept, full = struct.unpack(form.order + "IIII", head)
-    end = offset + 16 + kept
-    if fraction >= form.units or kept > _MAX_PACKET or kept > full or end > window.size:
+    if head[:4] == _PCAPNG_MAGIC:
+        form = _Format(_section_order(head))
+    size = struct.unpack(form.order + "I", head[4:8])[0]
+    end = offset + size
+    if size < 12 or size % 4 or end > window.size or window.read(end - 4, 4) != head[4:8]:
         return None
-    return end
+    return end, form
 
 
 def _first_packet(window: _Window, form: _Format, start: int, stop: int) -> int | None:
     """First offset in [start, stop) that begins a chain of plausible packets."""
-    for offset in range(start, min(stop, window.size - 15)):
-        at: int | None = offset
+    step = 1 if form.units else 4
+    for offset in range(start, min(stop, window.size - 11), step):
+        at, shape = offset, form
         for _ in range(_CHAIN):
-            at = _next_packet(window, form, at)
-            if at is None or at == window.size:
+            found = _next(window, shape, at)
+            if found is None:
                 break
-        if at is not None:
+            at, shape = found
+            if at == window.size:
+                break
+        if found is not None:
             return offset
     return None
 
 
-def _walk(window: _Window, form: _Format, offset: int, stop: int) -> int:
-    """End of the last packet that begins before `stop`; the file's end if it breaks off."""
+def _walk(
+    window: _Window, form: _Format, offset: int, stop: int
+) -> tuple[int, list[int], _Format]:
+    """End of the last packet that begins before `stop`, the file's end if it breaks off;
+    offsets of the pcapng setup blocks on the way; the format that holds at the end."""
+    setup = []
     while offset < stop:
-        after = _next_packet(window, form, offset)
-        if after is None:
-            return window.size
+        found = _next(window, form, offset)
+        if found is None:
+            return window.size, setup, form
+        after, form = found
+        if not form.units and _block_kind(window, form, offset) in _SETUP_BLOCKS:
+            setup.append(offset)
         offset = after
-    return offset
+    return offset, setup, form
+
+
+def _block_kind(window: _Window, form: _Format, offset: int) -> int:
+    return struct.unpack(form.order + "I", window.read(offset, 4))[0]
 
 
-def _probe_ranges(batches) -> Iterator:
+def _probe_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """first/last packet bounds of each byte range, guessed where it is not the first."""
     for pdf in batches:
-        firsts, lasts = [], []
-        for path, start, stop in zip(pdf["path"], pdf["start"], pdf["stop"], strict=True):
+        rows = []
+        for path, file_no, start, stop in pdf.itertuples(index=False):
             window = _Window(path, block=1 << 20)
-            form = _pcap_format(window)
-            if form is None:  # pcapng: one range, owned by the first
-                first = 0 if start == 0 else None
-                last = window.size if start == 0 else None
-            else:
-                first = 24 if start == 0 else _first_packet(window, form, start, stop)
-                last = None if first is None else _walk(window, form, first, stop)
-            firsts.append(first)
-            lasts.append(last)
-        yield pdf.assign(first=firsts, last=lasts).astype({"first": "Int64", "last": "Int64"})
-
-
-def _walk_file(batches) -> Iterator:
+            form = _format(window)
+            first = form.first if start == 0 else _first_packet(window, form, start, stop)
+            last, setup = None, []
+            if first is not None:
+                last, setup, _ = _walk(window, form, first, stop)
+            rows.append((path, file_no, start, stop, first, last, setup))
+        names = ["path", "file_no", "start", "stop", "first", "last", "setup"]
+        yield pd.DataFrame(rows, columns=names).astype({"first": "Int64", "last": "Int64"})
+
+
+def _walk_file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Exact bounds of all ranges of one file, walked from its start."""
     for pdf in batches:
-        out = []
-        for path, step in zip(pdf["path"], pdf["step"], strict=True):
+        rows = []
+        for path, file_no, step in pdf.itertuples(index=False):
             window = _Window(path, block=1 << 20)
-            form = _pcap_format(window)
-            offset = 24
+            form = _format(window)
+            offset = form.first
             for start in range(0, window.size, step):
-                last = _walk(window, form, offset, start + step)
+                last, setup, form = _walk(window, form, offset, start + step)
                 if last > offset:
-                    out.append((path, offset, last))
+                    rows.append((path, file_no, offset, last, setup))
                 offset = last
-        yield pdf.iloc[:0][["path"]].assign(first=[], last=[]) if not out else _frame(out)
-
+        yield pd.DataFrame(rows, columns=["path", "file_no", "first", "last", "setup"])
 
-def _frame(rows):
-    import pandas as pd
 
-    return pd.DataFrame(rows, columns=["path", "first", "last"])
+def _packets(
+    window: _Window, first: int, last: int, setup: list[int]
+) -> Iterator[tuple[int, int, int, bytes]]:
+    """(offset, ts_us, link type, frame) of the packets in a range.
 
-
-def _packets(window: _Window, first: int, last: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(offset, ts_us, link type, frame) of the packets in a range."""
-    form = _pcap_format(window)
-    if form is None:
-        yield from _pcapng_packets(window)
-        return
+    setup: offsets of the pcapng setup blocks in earlier ranges, in order.
+    """
+    form = _format(window)
+    interfaces: list[tuple[int, int]] = []
+    for offset in setup:
+        form = _set_up(window, form, offset, interfaces)
     offset = first
     while offset < last:
-        after = _next_packet(window, form, offset)
-        if after is None:
+        found = _next(window, form, offset)
+        if found is None:
             return
-        seconds, fraction = struct.unpack(form.order + "II", window.read(offset, 8))
-        ts_us = seconds * 1_000_000 + fraction * 1_000_000 // form.units
-        yield offset, ts_us, form.link, window.read(offset + 16, after - offset - 16)
+        after, form = found
+        if form.units:
+            seconds, fraction = struct.unpack(form.order + "II", window.read(offset, 8))
+            ts_us = seconds * 1_000_000 + fraction * 1_000_000 // form.units
+            yield offset, ts_us, form.link, window.read(offset + 16, after - offset - 16)
+        else:
+            kind = _block_kind(window, form, offset)
+            if kind in _SETUP_BLOCKS:
+                form = _set_up(window, form, offset, interfaces)
+            elif kind in _PACKET_BLOCKS:
+                body = window.read(offset + 8, after - offset - 12)
+                which = struct.unpack(form.order + _PACKET_BLOCKS[kind], body[:4])[0]
+                high, low, kept = struct.unpack(form.order + "III", body[4:16])
+                link, units = interfaces[which]
+                ts_us = (high << 32 | low) * 1_000_000 // units
+                yield offset, ts_us, link, body[20 : 20 + kept]
         offset = after
 
 
-def _pcapng_packets(window: _Window) -> Iterator[tuple[int, int, int, bytes]]:
-    order, links, offset = "<", [], 0
-    while True:
-        head = window.read(offset, 12)
-        if len(head) < 12:
-            return
-        if head[:4] == _PCAPNG_MAGIC:
-            order = "<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
-            links = []
-        kind, size = struct.unpack(order + "II", head[:8])
-        body = window.read(offset + 8, size - 12)
-        if size < 12 or len(body) < size - 12:
-            return
-        if kind == 1:
-            links.append((struct.unpack(order + "H", body[:2])[0], _ticks(body[8:], order)))
-        elif kind == 6:
-            which, high, low, kept = struct.unpack(order + "IIII", body[:16])
-            link, units = links[which]
-            ts_us = ((high << 32) | low) * 1_000_000 // units
-            yield offset, ts_us, link, body[20 : 20 + kept]
-        offset += size
+def _set_up(
+    window: _Window, form: _Format, offset: int, interfaces: list[tuple[int, int]]
+) -> _Format:
+    """Apply a setup block: a new section forgets the interfaces, an interface is added."""
+    after, form = _next(window, form, offset)
+    body = window.read(offset + 8, after - offset - 12)
+    if _block_kind(window, form, offset) == 1:
+        link = struct.unpack(form.order + "H", body[:2])[0]
+        interfaces.append((link, _ticks(body[8:], form.order)))
+    else:
+        interfaces.clear()
+    return form
 
 
 def _ticks(options: bytes, order: str) -> int:
@@ -295,7 +341,8 @@ def _decode_ranges(ports: tuple[int, ...]):
         for batch in batches:
             for job in batch.to_pylist():
                 window = _Window(job["path"])
-                for offset, ts_us, link, frame in _packets(window, job["first"], job["last"]):
+                bounds = (job["first"], job["last"], job["setup"])
+                for offset, ts_us, link, frame in _packets(window, *bounds):
                     values = _decode(frame, link, ports)
                     if values is not None:
                         rows.append((offset, ts_us, *values, job["file_no"]))
@@ -315,22 +362,22 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _bounds(files: DataFrame, split_bytes: int) -> DataFrame:
-    """path, file_no, first, last: packet-aligned ranges that cover every file."""
+    """path, file_no, first, last, setup: packet-aligned ranges that cover every file."""
     step = F.lit(split_bytes)
     last_split = F.floor((F.greatest("length", F.lit(1)) - 1) / step)
     splits = files.select("path", "file_no", F.explode(F.sequence(F.lit(0), last_split)).alias("n"))
     splits = splits.select(
         "path", "file_no", (F.col("n") * step).alias("start"), ((F.col("n") + 1) * step).alias("stop")
     )
+    found = "first BIGINT, last BIGINT, setup ARRAY<BIGINT>"
     probed = stage(
         splits.repartition("path", "start").mapInPandas(
-            _probe_ranges,
-            "path STRING, file_no BIGINT, start BIGINT, stop BIGINT, first BIGINT, last BIGINT",
+            _probe_ranges, f"path STRING, file_no BIGINT, start BIGINT, stop BIGINT, {found}"
         ),
         "capture-ranges",
     ).df
-    earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.max("last").over(earlier)
+    by_start = Window.partitionBy("path").orderBy("start")
+    reached = F.max("last").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     wrong = F.when(F.col("first").isNull(), reached < F.col("stop")).otherwise(
         F.col("first") != reached
     )
@@ -339,14 +386,29 @@ def _bounds(files: DataFrame, split_bytes: int) -> DataFrame:
         checked.where("wrong").select("path", "file_no", F.lit(split_bytes).alias("step")).distinct(),
         "capture-rewalk",
     )
-    good = checked.where(F.col("first").isNotNull()).select("path", "file_no", "first", "last")
-    if broken.rows == 0:
-        return good
-    walked = broken.df.repartition("path").mapInPandas(
-        _walk_file, "path STRING, first BIGINT, last BIGINT"
+    ranges = checked.where(F.col("first").isNotNull()).select(
+        "path", "file_no", "first", "last", "setup"
+    )
+    if broken.rows:
+        walked = broken.df.repartition("path").mapInPandas(
+            _walk_file, f"path STRING, file_no BIGINT, {found}"
+        )
+        ranges = ranges.join(broken.df, "path", "left_anti").unionByName(walked)
+    by_first = Window.partitionBy("path").orderBy("first")
+    earlier = F.collect_list("setup").over(by_first.rowsBetween(Window.unboundedPreceding, -1))
+    return ranges.withColumn("setup", F.flatten(earlier))
+
+
+def _numbered(listing: DataFrame) -> DataFrame:
+    """path, length, file_no: files counted in path order, part by part."""
+    parts = listing.repartitionByRange("path").withColumn("part", F.spark_partition_id())
+    parts = stage(parts, "capture-files").df
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.orderBy("part")) - F.col("size")
+    within = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    return parts.join(sizes.select("part", before.alias("before")), "part").select(
+        "path", "length", (F.col("before") + within).alias("file_no")
     )
-    exact = walked.join(broken.df.select("path", "file_no"), "path")
-    return good.join(broken.df, "path", "left_anti").unionByName(exact.select(*good.columns))
 
 
 def scan_captures(
@@ -363,10 +425,8 @@ def scan_captures(
     A file that is no capture fails the job; a last packet that breaks off is left out.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    number = F.row_number().over(Window.orderBy("path")).cast("long")
-    files = listing.select("path", "length").withColumn("file_no", number)
     fits = F.assert_true(F.col("length") < _MAX_FILE, F.lit("capture file over 1 TiB"))
-    files = stage(files.where(fits.isNull()), "capture-files").df
+    files = _numbered(listing.select("path", "length").where(fits.isNull()))
 
     ranges = stage(_bounds(files, split_bytes), "capture-bounds")
     tasks = max(1, min(ranges.rows, 1 << 17))

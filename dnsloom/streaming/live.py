@@ -23,10 +23,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from dnsloom.operators import exports
 from dnsloom.operators.intel import annotate_intel
+from dnsloom.operators.lookup import lookup_join
 from dnsloom.operators.records import build_records
 from dnsloom.operators.replay import Moments, burst_sightings, live_detection
 from dnsloom.operators.signals import client_address, is_query
-from dnsloom.operators.staging import Staged, stage
+from dnsloom.operators.staging import Staged, scratch, stage
 from dnsloom.plans.delivery import deliver
 from dnsloom.schema import RECORD_SCHEMA
 from dnsloom.settings import AlertSettings, DetectionSettings, ForwardSettings, ScaleSettings
@@ -71,12 +72,14 @@ def merge_client_state(old: DataFrame, new: DataFrame, idle_us: int | None) -> D
     )
     if idle_us is None:
         return merged
-    newest = new.agg(F.max("seen_us").alias("at")).scalar()
+    newest = merged.agg(F.max("seen_us").alias("at")).scalar()
     return merged.where(F.col("seen_us") >= newest - idle_us)
 
 
-def merge_sighting_state(old: DataFrame, records: DataFrame, window_us: int) -> DataFrame:
-    """Latest sighting per (domain, subdomain), without those that left the window."""
+def merge_sighting_state(
+    old: DataFrame, records: DataFrame, window_us: int, scale: ScaleSettings
+) -> DataFrame:
+    """Latest sighting per (domain, subdomain), without those that left their domain's window."""
     keys = ["registrable_domain", "subdomain"]
     recent = burst_sightings(records).groupBy(*keys).agg(F.max("ts_us").alias("ts_us"))
     latest = (
@@ -85,12 +88,19 @@ def merge_sighting_state(old: DataFrame, records: DataFrame, window_us: int) ->
         .groupBy(*keys)
         .agg(F.max("ts_us").alias("ts_us"))
     )
-    newest = latest.groupBy("registrable_domain").agg(F.max("ts_us").alias("newest_us"))
-    return (
-        latest.join(newest, "registrable_domain")
-        .where(F.col("ts_us") >= F.col("newest_us") - window_us)
-        .drop("newest_us")
+    newest = latest.groupBy(F.col("registrable_domain").alias("domain")).agg(
+        F.max("ts_us").alias("newest_us"), F.count(F.lit(1)).alias("names")
     )
+    dated = lookup_join(
+        latest,
+        newest,
+        {"domain": F.col("registrable_domain")},
+        spread=F.col("subdomain"),
+        scale=scale,
+        weight="names",
+        label="newest-sightings",
+    )
+    return dated.where(F.col("ts_us") >= F.col("newest_us") - window_us).drop("names", "newest_us")
 
 
 @dataclass(frozen=True)
@@ -136,6 +146,14 @@ class LiveDetection:
 
     def process(self, raw: DataFrame, batch: int) -> None:
         """One micro-batch: records, state, alerts, forwarded lines."""
+        with scratch(self.spark):
+            self._detect(raw, batch)
+        self._send(self.spark.read.schema(RECORD_SCHEMA).parquet(self._records_of(batch)))
+
+    def _records_of(self, batch: int) -> str:
+        return f"{self.records_path}/batch={batch}"
+
+    def _detect(self, raw: DataFrame, batch: int) -> None:
         parsed = stage(build_records(raw, self.rules, self.settings, self.scale), "arrived").df
         clients = self._state("clients", CLIENT_STATE, batch - 1)
         sightings = self._state("sightings", SIGHTING_STATE, batch - 1)
@@ -150,17 +168,16 @@ class LiveDetection:
             prior_sightings=None if batch == 0 else sightings.drop("batch"),
         )
         if self.intel is not None:
-            finished = annotate_intel(finished, self.intel, self.scale)
-        path = f"{self.records_path}/batch={batch}"
-        exports.with_severity(finished).write.mode("overwrite").parquet(path)
+            finished = annotate_intel(finished, self.intel, self.scale, counted_on=parsed)
+        exports.with_severity(finished).write.mode("overwrite").parquet(self._records_of(batch))
 
         idle_us = None if self.idle_seconds is None else int(self.idle_seconds * 1_000_000)
         self._save(merge_client_state(clients, client_totals(parsed), idle_us), "clients", batch)
-        self._save(
-            merge_sighting_state(sightings, parsed, self.settings.burst_window_us), "sightings", batch
-        )
+        window_us = self.settings.burst_window_us
+        kept = merge_sighting_state(sightings, parsed, window_us, self.scale)
+        self._save(kept, "sightings", batch)
 
-        written = self.spark.read.schema(RECORD_SCHEMA).parquet(path)
+    def _send(self, written: DataFrame) -> None:
         if self.alerts is not None and self.alert_sender is not None and self.alerts.webhook_url:
             url, sender = self.alerts.webhook_url, self.alert_sender
             payloads = exports.alerts(written, self.alerts).select("payload")

@@ -135,26 +135,60 @@ def test_file_forms(spark, tmp_path, shape):
     assert (row.ts_us, row.query, row.rcode) == (1_700_000_000_123_456, "x.example.org.", 3)
 
 
-def test_pcapng(spark, tmp_path):
-    def block(kind, body):
-        body += bytes(-len(body) % 4)
-        size = struct.pack("<I", len(body) + 12)
-        return struct.pack("<I", kind) + size + body + size
+def block(kind, body, order="<"):
+    body += bytes(-len(body) % 4)
+    size = struct.pack(order + "I", len(body) + 12)
+    return struct.pack(order + "I", kind) + size + body + size
 
-    frame = writer.frame(message(query="ng.example.com."))
-    nanoseconds = struct.pack("<HHB3xHH", 9, 1, 9, 0, 0)
-    ticks = 1_700_000_000_123_456_789
 
-    def packet(interface, stamp):
-        head = struct.pack("<IIIII", interface, stamp >> 32, stamp & 0xFFFFFFFF, len(frame), len(frame))
-        return block(6, head + frame)
+def section(order="<"):
+    return block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1), order)
+
+
+def interface(order="<", link=1, exponent=None):
+    body = struct.pack(order + "HHI", link, 0, 0)
+    if exponent is not None:
+        body += struct.pack(order + "HHB3xHH", 9, 1, exponent, 0, 0)
+    return block(1, body, order)
+
+
+def stamped(frame, ticks, which=0, order="<", kind=6):
+    number = struct.pack(order + ("I" if kind == 6 else "Hxx"), which)
+    head = struct.pack(order + "IIII", ticks >> 32, ticks & 0xFFFFFFFF, len(frame), len(frame))
+    return block(kind, number + head + frame, order)
+
 
-    data = block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1))
-    data += block(1, struct.pack("<HHI", 1, 0, 0)) + block(1, struct.pack("<HHI", 1, 0, 0) + nanoseconds)
-    data += packet(0, ticks // 1000) + block(5, bytes(12)) + packet(1, ticks)
+NG_US = 1_700_000_000_123_456
+
+
+def test_pcapng(spark, tmp_path):
+    frame = writer.frame(message(query="ng.example.com."))
+    data = section() + interface() + interface(exponent=9)
+    data += stamped(frame, NG_US) + block(5, bytes(12)) + stamped(frame, NG_US * 1000 + 789, 1)
+    data += stamped(frame, NG_US, kind=2)
+    data += section(">") + interface(">", exponent=0x80 | 20)
+    data += stamped(frame, 1_700_000_000 << 20, order=">")
+    (tmp_path / "f.pcapng").write_bytes(data)
+    rows = scan(spark, tmp_path, split_bytes=64).orderBy("seq").collect()
+    times = [NG_US, NG_US, NG_US, 1_700_000_000_000_000]
+    assert [(r.ts_us, r.query) for r in rows] == [(t, "ng.example.com.") for t in times]
+
+
+def test_large_pcapng_is_read_in_ranges(spark, tmp_path):
+    data = section() + interface(exponent=9) + interface()
+    for i in range(800):
+        if i == 500:  # a second section with other interfaces, far from the start
+            data += section() + interface()
+        frame = writer.frame(message(query=f"{'x' * (i % 30)}q{i}.example.com."))
+        data += stamped(frame, NG_US + i, 1 if i < 500 else 0)
     (tmp_path / "f.pcapng").write_bytes(data)
-    rows = scan(spark, tmp_path, split_bytes=64).collect()
-    assert [(r.ts_us, r.query) for r in rows] == [(ticks // 1000, "ng.example.com.")] * 2
+    files = spark.createDataFrame(
+        [(str(tmp_path / "f.pcapng"), len(data), 1)], "path STRING, length BIGINT, file_no BIGINT"
+    )
+    assert captures._bounds(files, 4096).count() > 15
+    rows = scan(spark, tmp_path, split_bytes=4096).orderBy("seq").collect()
+    assert [r.ts_us - NG_US for r in rows] == list(range(800))
+    assert rows[799].query == f"{'x' * 19}q799.example.com."
 
 
 def test_broken_files(spark, tmp_path):

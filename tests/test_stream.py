@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from dnsloom.operators import exports
 from dnsloom.operators.records import build_records
 from dnsloom.operators.replay import live_detection
-from dnsloom.operators.staging import new_path, stage
+from dnsloom.operators.staging import new_path, shared_dir, stage
 from dnsloom.schema import VERDICT_TABLE_SCHEMA
 from dnsloom.settings import AlertSettings, DetectionSettings, ForwardSettings, ScaleSettings
 from dnsloom.sources.logs import stream_dns_log
@@ -77,6 +77,14 @@ def test_batch_run_twice_overwrites_itself(spark, rules):
         live.process(second, 4)
 
 
+def test_micro_batch_leaves_no_scratch_tables(spark, rules):
+    folder = shared_dir(spark).removeprefix("file:")
+    live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS)
+    before = set(os.listdir(folder))
+    live.process(traffic(spark, 30), 0)
+    assert set(os.listdir(folder)) - before == {os.path.basename(live.folder)}
+
+
 def test_state_forgets_the_past(spark, rules):
     live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS, idle_seconds=100)
     live.process(raw_rows(spark, [{"source_ip": "10.0.0.1", "query": "old.a.com.", "ts_us": 0}]), 0)
