@@ -173,7 +173,7 @@ def live_detection(w: Workload) -> DataFrame:
     return _flat(found, *INTEL_COLUMNS)
 
 
-def _stream(w: Workload, enriched: bool, parts: int = 3) -> LiveDetection:
+def _stream(w: Workload, enriched: bool, parts: int = 2) -> LiveDetection:
     """The DNS log arriving in `parts` time slices, the stream restarted for each.
 
     Every restart takes up the state that the run before left in the stream's folder.
