@@ -66,3 +66,27 @@ def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    rows: int,
+    modulus: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """(text, label) of at most about `rows` labelled documents outside the held-out fold.
+
+    The chosen labels are at most `rows` small rows, so they are broadcast. Several labels of
+    one document count as the largest of them.
+    """
+    known = (
+        labels.where((id_remainder(id_col, modulus) != 0) & F.col(label).isNotNull())
+        .groupBy(F.col(id_col).alias("__id"))
+        .agg(F.max(label).cast("int").alias("label"))
+    )
+    chosen = smallest_sample(known, "__id", rows, 7)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "__id").select("text", "label")

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnsloom.llm import byte_bpe
+from dnsloom.llm import byte_bpe, language_id, quality_trees
+from dnsloom.llm.common import id_remainder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,8 +31,33 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every text."""
+    docs = _table(spark, folder, "documents")
+    model = quality_trees.train(docs, _table(spark, folder, "labels"))
+    scored = docs.select(
+        "doc_id",
+        (id_remainder("doc_id", 5) == 0).alias("held_out"),
+        quality_trees.quality_of(spark, model, F.col("text")).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text, learned outside the held-out fold."""
+    docs = _table(spark, folder, "documents")
+    model = language_id.train(docs.where(id_remainder("doc_id", 5) != 0))
+    found = language_id.language_of(spark, model, F.col("text"))
+    held_out = (id_remainder("doc_id", 5) == 0).alias("held_out")
+    return docs.select("doc_id", held_out, found.alias("found")).select(
+        "doc_id", "held_out", "found.lang_pred", "found.score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op7_quality": op7_quality,
+    "op8_language": op8_language,
 }
 
 # None of the operators can be stated in SQL; tests hold them against brute force.
