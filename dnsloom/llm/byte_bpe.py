@@ -13,21 +13,23 @@ from __future__ import annotations
 
 import base64
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
-from dnsloom.llm.common import mixed, pieces_of
+from dnsloom.llm.common import mixed
 
 _NEVER = 1 << 62
-_GROUP_CHARS = 4_000_000
+_GROUP_BYTES = 2_000_000
+_DECODED_ROWS = 500
 _SHORT_BYTES = 48
 _SIDE_BY_SIDE = 4096
+_MARKS = (".", ",", ";", ":", "!", "?")
 _SPACE_THEN_BLANK = re.compile(r" \s")
 
 
@@ -59,13 +61,24 @@ class Vocabulary:
     pair_entries, piece_entries: bounds of the caches.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pair_entries=500_000, piece_entries=800_000):
+    def __init__(self, ranks: dict[bytes, int], pair_entries=500_000, piece_entries=400_000):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self.next_node: dict[int, int] = {}
-        self.ends: list[int] = [-1]
-        for token, rank in ranks.items():
+        self.ends: list[int] = []
+        self._halves: dict[int, tuple[int, int] | None] = {}
+        self._seams: dict[int, bool] = {}
+        self._pair_entries = pair_entries
+        self._pieces, self._words = Cache(piece_entries // 4), Cache(piece_entries)
+        self._many: PieceTable | None = None
+
+    def grow_trie(self) -> None:
+        """Builds the trie that encoding walks; decoding does without it."""
+        if self.ends:
+            return
+        self.ends = [-1]
+        for token, rank in self.ranks.items():
             node = 0
             for byte in token:
                 key = node << 8 | byte
@@ -74,11 +87,6 @@ class Vocabulary:
                     node = self.next_node[key] = len(self.ends)
                     self.ends.append(-1)
             self.ends[node] = rank
-        self._halves: dict[int, tuple[int, int] | None] = {}
-        self._seams: dict[int, bool] = {}
-        self._pair_entries = pair_entries
-        self._pieces, self._words = Cache(piece_entries // 4), Cache(piece_entries)
-        self._many: PieceTable | None = None
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -154,8 +162,8 @@ class Vocabulary:
             return (whole,)
         return PrefixTable(self, piece).ids()
 
-    def encode_many(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of many pieces: short ones side by side, long ones one after another."""
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids (as int32 bytes) of many pieces: short ones side by side, long ones alone."""
         if self._many is None:
             self._many = PieceTable(self)
         out: list = [None] * len(pieces)
@@ -167,15 +175,15 @@ class Vocabulary:
                 out[i] = ids
         for i in order:
             if out[i] is None:
-                out[i] = self.encode_bytes(pieces[i])
+                out[i] = np.array(self.encode_bytes(pieces[i]), np.int32).tobytes()
         return out
 
-    def encode_texts(self, texts: list[str], split, at_spaces: bool) -> list[Iterator[int]]:
-        """The ids of each text; `split` cuts a text into pieces (findall of the pattern).
+    def encode_texts(self, texts: list[str], split, at_spaces: bool) -> list[bytes]:
+        """The ids of each text as int32 bytes; `split` cuts a text into pieces (findall of the pattern).
 
         at_spaces: a match of the pattern always starts at a space that a visible character
-        follows, and a run of letters after it belongs to it. Words between such spaces are
-        then looked up whole.
+        follows, the letters after it belong to it, and a mark that ends the word is a match
+        of its own. Words between such spaces are then looked up whole.
         """
         self._pieces.turn_over()
         self._words.turn_over()
@@ -190,19 +198,24 @@ class Vocabulary:
                 heads.append(split(first))
                 tails.append(words)
         unknown = self._words.missing(set().union(*tails))
-        cut = {w: [" " + w] if w.isalpha() else split(" " + w) for w in unknown}
-        wanted = self._pieces.missing(set().union(*heads, *(v for v in cut.values() if v[1:])))
-        single = [w for w, v in cut.items() if not v[1:]]
-        found = self.encode_many([p.encode() for p in wanted] + [(" " + w).encode() for w in single])
+        single = {w for w in unknown if w.isalpha()}
+        marked = [w for w in unknown if w[-1:] in _MARKS and w[:-1].isalpha()]
+        cut = {w: split(" " + w) for w in set(unknown).difference(single, marked)}
+        heads.append(list(_MARKS))
+        wanted = self._pieces.missing(set().union(*heads, *cut.values()))
+        single.update(self._words.missing({w[:-1] for w in marked}))
+        names = [p.encode() for p in wanted] + [b" " + w.encode() for w in single]
+        found = self.encode_many(names)
         pieces, words = self._pieces.new, self._words.new
         pieces.update(zip(wanted, found, strict=False))
         words.update(zip(single, found[len(wanted) :], strict=True))
+        for word in marked:
+            words[word] = words[word[:-1]] + pieces[word[-1]]
         for word, parts in cut.items():
-            if parts[1:]:
-                words[word] = tuple(chain.from_iterable(map(pieces.__getitem__, parts)))
+            words[word] = b"".join(map(pieces.__getitem__, parts))
         return [
-            chain.from_iterable(chain(map(pieces.__getitem__, h), map(words.__getitem__, t)))
-            for h, t in zip(heads, tails, strict=True)
+            b"".join(chain(map(pieces.__getitem__, h), map(words.__getitem__, t)))
+            for h, t in zip(heads, tails, strict=False)
         ]
 
 
@@ -210,6 +223,7 @@ class PieceTable:
     """The prefix tables of many short pieces at once, as numpy arrays."""
 
     def __init__(self, vocabulary: Vocabulary):
+        vocabulary.grow_trie()
         self.vocabulary = vocabulary
         keys = np.fromiter(vocabulary.next_node, np.int64, len(vocabulary.next_node))
         self.step = np.zeros(len(vocabulary.ends) << 8, np.int32)
@@ -236,7 +250,7 @@ class PieceTable:
             self.holds[slot[lost]] = out[lost]
         return out
 
-    def encode(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
         count, sizes = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
         most = int(sizes.max())
         data = np.zeros((most, count), np.uint8)
@@ -274,17 +288,20 @@ class PieceTable:
             ids[rows, most - used[rows]] = token
             end[rows] -= self.size[token]
             rows = rows[end[rows] > 0]
-        ranks = self.vocabulary.ranks
-        return [
-            (ranks[piece],) if piece in ranks else tuple(row[most - n :])
-            for piece, row, n in zip(pieces, ids.tolist(), used.tolist(), strict=True)
-        ]
+        whole = self.vocabulary.ranks.get
+        for i, piece in enumerate(pieces):
+            token = whole(piece)
+            if token is not None:
+                used[i], ids[i, -1] = 1, token
+        stored, width = ids.tobytes(), 4 * most
+        return [stored[(i + 1) * width - 4 * n : (i + 1) * width] for i, n in enumerate(used.tolist())]
 
 
 class PrefixTable:
     """The last token of each prefix of some bytes; grows and is mended in place."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
+        vocabulary.grow_trie()
         self.vocabulary, self.data = vocabulary, bytearray()
         self.last: list[int] = [-1]
         self.recomputed = 0
@@ -363,6 +380,46 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `_GROUP_BYTES` of text."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy()
+    group = np.cumsum(sizes) // _GROUP_BYTES
+    bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for start, stop in zip(bounds, bounds[1:], strict=False):
+        if stop > start:
+            yield batch.slice(start, stop - start)
+
+
+def _encoded(voc: Vocabulary, texts: pa.Array, split, at_spaces: bool) -> pa.ListArray:
+    found = voc.encode_texts([t or "" for t in texts.to_pylist()], split, at_spaces)
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+class Decoder:
+    """Bytes of token ids, gathered from one buffer that holds all tokens."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        tokens = vocabulary.tokens
+        table = [tokens.get(rank, b"") for rank in range(max(tokens, default=-1) + 1)]
+        self.size = np.fromiter(map(len, table), np.int64, len(table))
+        self.begin = np.cumsum(self.size) - self.size
+        self.letters = np.frombuffer(b"".join(table), np.uint8)
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The bytes of each list (a null list decodes to no bytes)."""
+        count = pa.compute.fill_null(pa.compute.list_value_length(ids), 0)
+        bounds = np.append(0, np.cumsum(count.to_numpy(zero_copy_only=False)))
+        flat = ids.flatten().to_numpy()
+        size = self.size[flat]
+        ends = np.append(0, np.cumsum(size))
+        place = np.arange(ends[-1]) + np.repeat(self.begin[flat] - ends[:-1], size)
+        data, offsets = self.letters[place], ends[bounds].astype(np.int32)
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+        return pa.Array.from_buffers(pa.binary(), len(ids), buffers)
+
+
 def encode(
     docs: DataFrame,
     vocab: str,
@@ -370,30 +427,29 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     at_spaces: bool = False,
+    decoded: bool = False,
 ) -> DataFrame:
-    """(id, ids array<int>): each match of `pattern` is encoded on its own, no special tokens.
+    """(id, ids array<int>[, decoded binary]): each match of `pattern` is encoded on its own,
+    without special tokens.
 
     vocab: rank file, present on every machine (a parameter of the installation).
     at_spaces: see `Vocabulary.encode_texts`.
+    decoded: also decode the ids again, in the same task.
     """
     kind = docs.schema[id_col].dataType
+    names = [id_col, "ids", "decoded"] if decoded else [id_col, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, split = vocabulary(vocab), regex.compile(pattern)
+        voc, split = vocabulary(vocab), regex.compile(pattern).findall
+        decoder = Decoder(voc)
         for batch in batches:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            for start, stop in pieces_of(texts, _GROUP_CHARS):
-                flat, starts = array("i"), [0]
-                for ids in voc.encode_texts(texts[start:stop], split.findall, at_spaces):
-                    flat.extend(ids)
-                    starts.append(len(flat))
-                ids = pa.ListArray.from_arrays(
-                    pa.array(starts, pa.int32()), pa.array(np.frombuffer(flat, np.int32))
-                )
-                keys = batch.column(0).slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([keys, ids], [id_col, "ids"])
-
-    schema = f"`{id_col}` {kind.simpleString()}, ids array<int>"
+            for part in _slices(batch, 1):
+                columns = [part.column(0), _encoded(voc, part.column(1), split, at_spaces)]
+                if decoded:
+                    columns.append(decoder.decode(columns[1]))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"`{id_col}` {kind.simpleString()}, ids array<int>" + ", decoded binary" * decoded
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
@@ -402,11 +458,12 @@ def decode(encoded: DataFrame, vocab: str, id_col: str = "doc_id") -> DataFrame:
     kind = encoded.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(vocab).tokens.__getitem__
+        decoder = Decoder(vocabulary(vocab))
         for batch in batches:
-            texts = [b"".join(map(token, ids.as_py() or ())) for ids in batch.column(1)]
-            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "decoded"])
+            for start in range(0, batch.num_rows, _DECODED_ROWS):
+                part = batch.slice(start, _DECODED_ROWS)
+                columns = [part.column(0), part.column(1), decoder.decode(part.column(1))]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", "decoded"])
 
     schema = f"`{id_col}` {kind.simpleString()}, ids array<int>, decoded binary"
     return encoded.select(id_col, "ids").mapInArrow(run, schema)
