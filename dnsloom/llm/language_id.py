@@ -143,7 +143,8 @@ def count_trigrams(labelled: DataFrame, lang_col: str, text_col: str) -> DataFra
                 for a, b in pieces_of(texts, 8_000_000):
                     keys, which, _ = trigrams(texts[a:b])
                     n = np.bincount(which, minlength=len(keys))
-                    yield pd.DataFrame({"lang": lang, "key": keys.view(np.int64), "n": n})
+                    name = np.full(len(keys), lang, object)
+                    yield pd.DataFrame({"lang": name, "key": keys.view(np.int64), "n": n})
 
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counts = rows.dropna().mapInPandas(run, "lang string, key long, n long")

@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnsloom.llm import byte_bpe, language_id, quality_trees
+from dnsloom.llm import (
+    byte_bpe,
+    chat_format,
+    exact_topk,
+    language_id,
+    packing,
+    pivot_dedup,
+    quality_trees,
+    toxicity,
+)
 from dnsloom.llm.common import id_remainder
 
 
@@ -15,15 +24,27 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity score of every text."""
+    docs = _table(spark, folder, "documents")
+    model = toxicity.train(docs, _table(spark, folder, "labels"))
+    scored = docs.select(
+        "doc_id",
+        (id_remainder("doc_id", 5) == 0).alias("held_out"),
+        toxicity.toxicity_of(spark, model, F.col("text")).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every text encoded and decoded again; digests of the ids and of the bytes."""
     import public_tokenizers
 
     vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _table(spark, folder, "documents")
-    encoded = byte_bpe.encode(docs, vocab, public_tokenizers.PATTERN, at_spaces=True)
+    coded = byte_bpe.encode(docs, vocab, public_tokenizers.PATTERN, at_spaces=True, decoded=True)
     decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return byte_bpe.decode(encoded, vocab).select(
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
@@ -31,6 +52,28 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_pivot_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings with equal labels and a cosine of 0.93 or more."""
+    return pivot_dedup.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best inner products for each row whose id is divisible by 100."""
+    return exact_topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one whose texts hold marks, formatted and read back."""
+    said = "\\### Assistant: </turn> ok"
+    extra = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    kinds = "conv_id long, turn long, role string, text string"
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame(extra, kinds))
+    record = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    turns = chat_format.canonical_turns(rows.select("conv_id", record.alias("record")))
+    return chat_format.digests(chat_format.format_turns(turns))
+
+
 def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     """The quality score of every text."""
     docs = _table(spark, folder, "documents")
@@ -54,11 +97,45 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    settings = packing.PackSettings()
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.token_pieces(_table(spark, folder, "documents"), tokenizer, settings)
+    return packing.pack(pieces, settings)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_pivot_dedup": op3_pivot_dedup,
+    "op5_exact_topk": op5_exact_topk,
+    "op6_chat_format": op6_chat_format,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
+    "op10_packing": op10_packing,
 }
 
-# None of the operators can be stated in SQL; tests hold them against brute force.
-ORACLE: dict[str, str] = {}
+# The other operators cannot be stated in SQL; tests hold them against brute force.
+ORACLE: dict[str, str] = {
+    "op5_exact_topk": """
+        WITH rows AS (
+            SELECT DISTINCT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM rows q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT query_id, vec_id, score,
+                   CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+}
