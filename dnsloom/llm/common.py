@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -48,15 +49,54 @@ def code_points(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint32).astype(np.int32), starts
 
 
-_letters: np.ndarray | None = None
-
-
+@lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
     """For each code point whether it is a letter; made once per Python worker."""
-    global _letters
-    if _letters is None:
-        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    return _letters
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+@lru_cache(maxsize=1)
+def blank_table() -> np.ndarray:
+    """For each code point whether it is white space; made once per Python worker."""
+    table = np.zeros(0x110000, bool)
+    table[[i for i in range(0x3001) if chr(i).isspace()]] = True
+    return table
+
+
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd factor modulo 2**64, and of its inverse."""
+    with np.errstate(over="ignore"):
+        inverse = pow(_FACTOR, -1, 1 << 64)
+        return tuple(
+            np.cumprod(np.append(np.uint64(1), np.full((1 << bits) - 1, f, np.uint64)))
+            for f in (_FACTOR, inverse)
+        )
+
+
+def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, words per text); words stand between white space.
+
+    A word's hash is a polynomial of its code points, taken from running sums over all texts.
+    """
+    joined = " ".join(texts) + " "
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = blank_table()[codes]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.append(0, edge)
+    begin, end = edge[0::2], edge[1::2]
+    up, down = _powers(max(16, int(len(codes)).bit_length()))
+    with np.errstate(over="ignore"):
+        running = np.cumsum((codes + np.uint32(1)) * up[: len(codes)])
+        before = np.where(begin > 0, running[begin - 1], np.uint64(0))
+        hashes = (running[end - 1] - before) * down[begin]
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    count = np.diff(np.searchsorted(begin, starts))
+    return mixed(hashes, 4), count
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:

@@ -16,6 +16,7 @@ from dnsloom.llm import (
     pivot_dedup,
     quality_trees,
     toxicity,
+    weighted_minhash,
 )
 from dnsloom.llm.common import id_remainder
 
@@ -97,6 +98,11 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near-duplicate documents of each document, and whether it stays."""
+    return weighted_minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     import public_tokenizers
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_quality": op7_quality,
     "op8_language": op8_language,
+    "op9_weighted_minhash": op9_weighted_minhash,
     "op10_packing": op10_packing,
 }
 

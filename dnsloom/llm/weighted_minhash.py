@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import mixed, pieces_of
+from dnsloom.llm.common import mixed, pieces_of, word_hashes
 from dnsloom.llm.components import components
 from dnsloom.operators.staging import stage
 
@@ -62,19 +61,13 @@ class MinHashSettings:
 
 def shingles(texts: Sequence[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle key, count), sorted by text and key; keys have 52 bits."""
-    cut = [text.lower().split() if text else [] for text in texts]
-    size = np.fromiter(map(len, cut), np.int64, len(cut))
-    place = dict.fromkeys(chain.from_iterable(cut))
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, len(place))
-    for i, word in enumerate(place):
-        place[word] = i
-    flat = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, int(size.sum()))
+    hashes, size = word_hashes([text.lower() if text else "" for text in texts])
     pad = words - 1
     begin = np.cumsum(size + pad) - (size + pad)
     spread = np.zeros(int((size + pad).sum()) + pad, np.uint64)
-    owner = np.repeat(np.arange(len(cut)), size)
-    inside = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    spread[begin[owner] + inside] = hashes[flat]
+    owner = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
+    spread[begin[owner] + inside] = hashes
     starts = inside <= np.maximum(size[owner] - words, 0)
     at, owner = (begin[owner] + inside)[starts], owner[starts]
     rolled = spread[at]
@@ -150,11 +143,11 @@ def weights(texts: Sequence[str | None], idf: np.ndarray, s: MinHashSettings):
     return owner, keys, count * idf[_cell(keys, len(idf))]
 
 
-_gamma: tuple[np.ndarray, np.ndarray] | None = None
+_gamma: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
 
-def _gamma_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Quantiles of the Gamma(2, 1) distribution, and their logarithms."""
+def _gamma_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quantiles of the Gamma(2, 1) distribution, their logarithms, and their shares."""
     global _gamma
     if _gamma is None:
         share = (np.arange(1 << _TABLE_BITS) + 0.5) / (1 << _TABLE_BITS)
@@ -163,7 +156,7 @@ def _gamma_tables() -> tuple[np.ndarray, np.ndarray]:
             x = (low + high) / 2
             below = 1 - (1 + x) * np.exp(-x) < share
             low, high = np.where(below, x, low), np.where(below, high, x)
-        _gamma = low.astype(np.float32), np.log(low).astype(np.float32)
+        _gamma = tuple(x.astype(np.float32) for x in (low, np.log(low), share))
     return _gamma
 
 
@@ -179,22 +172,40 @@ def band_values(texts: Sequence[str | None], idf: np.ndarray, s: MinHashSettings
 
 
 def _bands(keys: np.ndarray, log_weight: np.ndarray, first: np.ndarray, s) -> np.ndarray:
-    gamma, log_gamma = _gamma_tables()
-    mask, size = np.uint64((1 << _TABLE_BITS) - 1), np.diff(np.append(first, len(keys)))
+    """Band values of texts whose shingles start at `first`; works in buffers made once."""
+    gamma, log_gamma, share = _gamma_tables()
+    inverse, mask = 1 / gamma, np.uint64((1 << _TABLE_BITS) - 1)
     shift = [np.uint64(64 - _TABLE_BITS * k) for k in (1, 2, 3)]
+    size = np.diff(np.append(first, len(keys)))
+    owner = np.repeat(np.arange(len(first)), size)
     out = np.zeros((len(first), s.bands), np.uint64)
     spread = mixed(keys, 2)
+    draw, index = np.empty_like(spread), np.empty_like(spread)
+    r, scaled, beta, level, value = (np.empty(len(keys), np.float32) for _ in range(5))
+    at, hits = index.view(np.int64), np.empty(len(keys), bool)
     steps = mixed(np.arange(s.bands * s.rows), 3) | np.uint64(1)
     for k, odd in enumerate(steps):
-        with np.errstate(over="ignore"):
-            draw = spread * odd
-        r = gamma[(draw >> shift[0]).astype(np.int32)]
-        beta = ((draw >> shift[1]) & mask).astype(np.float32) * np.float32(2.0**-_TABLE_BITS)
-        level = np.floor(log_weight / r + beta)
-        value = log_gamma[((draw >> shift[2]) & mask).astype(np.int32)] - r * (level - beta + 1)
-        least = np.repeat(np.minimum.reduceat(value, first), size)
-        hit = np.flatnonzero(value == least)
-        text = np.searchsorted(first, hit, side="right") - 1
+        np.multiply(spread, odd, out=draw)
+        np.right_shift(draw, shift[0], out=index)
+        np.take(gamma, at, out=r, mode="clip")
+        np.take(inverse, at, out=scaled, mode="clip")
+        np.right_shift(draw, shift[1], out=index)
+        np.bitwise_and(index, mask, out=index)
+        np.take(share, at, out=beta, mode="clip")
+        np.right_shift(draw, shift[2], out=index)
+        np.bitwise_and(index, mask, out=index)
+        np.take(log_gamma, at, out=value, mode="clip")
+        np.multiply(log_weight, scaled, out=level)
+        np.add(level, beta, out=level)
+        np.floor(level, out=level)
+        np.subtract(level, beta, out=scaled)
+        np.add(scaled, np.float32(1), out=scaled)
+        np.multiply(scaled, r, out=scaled)
+        np.subtract(value, scaled, out=value)
+        np.take(np.minimum.reduceat(value, first), owner, out=scaled, mode="clip")
+        np.equal(value, scaled, out=hits)
+        hit = np.flatnonzero(hits)
+        text = owner[hit]
         hit = hit[np.append(True, text[1:] != text[:-1])]
         sample = mixed(keys[hit] ^ (level[hit].astype(np.int64).astype(np.uint64) << np.uint64(40)), k)
         band = k // s.rows
