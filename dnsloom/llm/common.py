@@ -77,26 +77,31 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
         )
 
 
-def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, words per text); words stand between white space.
-
-    A word's hash is a polynomial of its code points, taken from running sums over all texts.
-    """
-    joined = " ".join(texts) + " "
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = blank_table()[codes]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if not blank[0]:
+def word_spans(codes: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word of a text that ends with a blank."""
+    gap = blank[codes]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if len(gap) and not gap[0]:
         edge = np.append(0, edge)
-    begin, end = edge[0::2], edge[1::2]
+    return edge[0::2], edge[1::2]
+
+
+def span_hashes(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span: a polynomial of its code points, from running sums."""
     up, down = _powers(max(16, int(len(codes)).bit_length()))
     with np.errstate(over="ignore"):
         running = np.cumsum((codes + np.uint32(1)) * up[: len(codes)])
         before = np.where(begin > 0, running[begin - 1], np.uint64(0))
-        hashes = (running[end - 1] - before) * down[begin]
+        return mixed((running[end - 1] - before) * down[begin], 4)
+
+
+def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, words per text); words stand between white space."""
+    joined = " ".join(texts) + " "
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    begin, end = word_spans(codes, blank_table())
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    count = np.diff(np.searchsorted(begin, starts))
-    return mixed(hashes, 4), count
+    return span_hashes(codes, begin, end), np.diff(np.searchsorted(begin, starts))
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:

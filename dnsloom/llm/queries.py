@@ -15,6 +15,7 @@ from dnsloom.llm import (
     packing,
     pivot_dedup,
     quality_trees,
+    recurrent_lm,
     toxicity,
     weighted_minhash,
 )
@@ -58,6 +59,16 @@ def op3_pivot_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return pivot_dedup.near_duplicates(_table(spark, folder, "embeddings"))
 
 
+def op4_recurrent_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """The log-likelihood of every text, learned outside remainder 2 of 7."""
+    remainder = id_remainder("doc_id", 7)
+    docs = _table(spark, folder, "documents")
+    scored = recurrent_lm.score(docs, remainder != 2)
+    held_out = (remainder == 2).alias("held_out")
+    numbers = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return scored.select("doc_id", held_out, *numbers)
+
+
 def op5_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best inner products for each row whose id is divisible by 100."""
     return exact_topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -117,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_pivot_dedup": op3_pivot_dedup,
+    "op4_recurrent_lm": op4_recurrent_lm,
     "op5_exact_topk": op5_exact_topk,
     "op6_chat_format": op6_chat_format,
     "op7_quality": op7_quality,
