@@ -99,7 +99,7 @@ def _statistics(texts: list[str]) -> np.ndarray:
                 sum(map(str.isalnum, words)) / n,
                 sum(map(str.isupper, words)) / n,
                 len(filled),
-                1 - len(set(filled)) / max(1, len(filled)),
+                (len(filled) - len(set(filled))) / max(1, len(filled)),
                 len(words) / max(1, len(filled)),
             )
         )
