@@ -14,11 +14,32 @@ FAILED = "Unsuccessful DNS response - Possible misconfiguration or attack"
 NORMAL = "Normal query"
 
 
+_SPLITTER = 134217729.0  # 2**27 + 1: cuts a double into two halves of 26 bits
+_EXACT_BELOW = 1e9
+
+
 def fixed_decimals(value: Column, places: int) -> Column:
-    """`value` with `places` decimals: exact ties to the even digit, sign kept at zero."""
-    rounded = F.bround(value, places)
-    text = F.format_string(f"%.{places}f", rounded)
-    return F.when((value < 0) & (rounded == 0), F.concat(F.lit("-"), text)).otherwise(text)
+    """`value` with `places` decimals, rounded from its exact binary value; exact ties go to
+    the even digit, and the sign is kept at zero. (From 1e9 on: from its shortest decimal.)
+
+    The scaled value is held as a double and the error of that product, which is exact because
+    the halves of the value times a small power of ten fit into a double.
+    """
+    factor = float(10**places)
+    size = F.abs(value)
+    high = size * _SPLITTER - (size * _SPLITTER - size)
+    scaled = size * factor
+    error = (high * factor - scaled) + (size - high) * factor
+    whole = F.floor(scaled)
+    over = scaled - whole
+    up = (over > 0.5) | ((over == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    digits = whole + F.when(up, 1).otherwise(0)
+    unit = 10**places
+    whole_part = F.floor(digits / F.lit(unit)).cast("string")
+    fraction = F.lpad((digits % unit).cast("string"), places, "0")
+    number = F.concat(whole_part, F.lit("."), fraction)
+    exact = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), number)
+    return F.when(size < _EXACT_BELOW, exact).otherwise(F.format_string(f"%.{places}f", value))
 
 
 def z_score(entropy: Column, mean: Column, stdev: Column) -> Column:

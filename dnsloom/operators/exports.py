@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnsloom.functions import interchange, remarks
 from dnsloom.functions.flags import HEADER_BITS, flags_text
+from dnsloom.schema import RECORD_SCHEMA
 from dnsloom.settings import AlertSettings, ForwardSettings
 
 # Columns of the flat form, in order.
@@ -47,17 +48,45 @@ def with_severity(records: DataFrame) -> DataFrame:
     return records.withColumn("severity", level)
 
 
-def flatten(records: DataFrame) -> DataFrame:
-    """The 27 flat columns; a NULL verdict gives NULL columns, checked_at is left out."""
+def flatten(records: DataFrame, *also: str | Column) -> DataFrame:
+    """The 27 flat columns; a NULL verdict gives NULL columns, checked_at is left out.
+
+    also: further columns to keep, in front.
+    """
     nested = {f"flags_{k}": F.col(f"flags.{k}") for k in HEADER_BITS}
     nested |= {
         f"threat_intel_{k}": F.col(f"threat_intel.{k}") for k in ("is_malicious", "source", "detail")
     }
-    return records.select(*[nested.get(c, F.col(c)).alias(c) for c in FLAT_COLUMNS])
+    return records.select(*also, *[nested.get(c, F.col(c)).alias(c) for c in FLAT_COLUMNS])
+
+
+# Quotes are doubled, blanks and empty texts stay as they are: any CSV reader reads it back.
+_CSV = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "emptyValue": "",
+}
 
 
 def write_csv(records: DataFrame, path: str) -> None:
-    flatten(records).write.csv(path, header=True)
+    """The flat columns; booleans are True and False, NULL and empty text are empty fields."""
+    flat = flatten(records)
+    spelled = [
+        F.initcap(F.col(f.name).cast("string")).alias(f.name)
+        if f.dataType.simpleString() == "boolean"
+        else F.col(f.name)
+        for f in flat.schema
+    ]
+    flat.select(*spelled).write.options(**_CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_csv` wrote, typed; only the two name columns have empty texts for NULL."""
+    schema = flatten(spark.createDataFrame([], RECORD_SCHEMA)).schema
+    rows = spark.read.schema(schema).options(**_CSV, multiLine=True).csv(path)
+    return rows.fillna("", subset=["registrable_domain", "subdomain", "query"])
 
 
 def write_json(records: DataFrame, path: str) -> None:
@@ -70,7 +99,7 @@ def alerts(records: DataFrame, settings: AlertSettings | None = None) -> DataFra
 
     The level is worked out from remark and verdict, whatever the severity column says.
     """
-    settings = settings or AlertSettings()
+    settings = settings or AlertSettings(enabled=True)
     if not settings.enabled:
         records = records.where(F.lit(False))
     level = remarks.severity(F.col("remark"), F.col("threat_intel.is_malicious"))
@@ -87,7 +116,7 @@ def alerts(records: DataFrame, settings: AlertSettings | None = None) -> DataFra
 
 def cef_lines(records: DataFrame, settings: ForwardSettings | None = None) -> DataFrame:
     """seq, severity, line of records at or above the forwarding level."""
-    settings = settings or ForwardSettings()
+    settings = settings or ForwardSettings(enabled=True)
     if not settings.enabled:
         records = records.where(F.lit(False))
     derived = remarks.severity(F.col("remark"), F.col("threat_intel.is_malicious"))
@@ -117,6 +146,7 @@ def report_blocks(records: DataFrame) -> DataFrame:
     """seq and one text block per record."""
     z = F.coalesce(remarks.fixed_decimals(F.col("entropy_z_score"), 2), F.lit("N/A"))
     z = F.when(F.col("entropy_z_score").isNull(), F.lit("N/A")).otherwise(z)
+    # The lines of a block.
     block = F.concat_ws(
         "\n",
         F.concat(F.lit("Query: "), F.col("query")),
@@ -153,6 +183,7 @@ def stix_indicators(records: DataFrame, timestamp: str) -> DataFrame:
         F.min("seq").alias("first_seq"), first.alias("verdict")
     )
     domain = F.col("domain")
+    # Names and texts of an indicator.
     return domains.select(
         "first_seq",
         F.lit("indicator").alias("type"),

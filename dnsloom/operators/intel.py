@@ -107,9 +107,11 @@ def verdicts(
 ) -> DataFrame:
     """Verdict table for `domains`: the valid cached verdicts, fresh ones for the rest.
 
-    The result is also the next cache.
+    The result is also the next cache. With a lookup budget `domains` are rows of
+    `domains_seen`, and only vendor answers for the scheduled lookups count.
     """
     settings = settings or IntelSettings()
+    providers = _within_budget(domains, now, cache, settings, providers)
     if cache is None:
         return fresh_verdicts(domains, now, settings=settings, **providers)
     unchecked = domains_to_check(domains, cache, now, settings)
@@ -119,6 +121,29 @@ def verdicts(
     return kept.select("domain", *VERDICT_TYPE.fieldNames()).unionByName(fresh)
 
 
+def _within_budget(
+    seen: DataFrame,
+    now: float,
+    cache: DataFrame | None,
+    settings: IntelSettings,
+    providers: dict[str, DataFrame | None],
+) -> dict[str, DataFrame | None]:
+    """The provider tables, vendor answers cut down to the lookups that a run would make."""
+    answers = providers.get("vendor_responses")
+    if answers is None or settings.max_lookups is None or not settings.vendor_report_enabled:
+        return providers
+    unsettled = unsettled_domains(
+        seen,
+        now,
+        cache=cache,
+        host_responses=providers.get("host_responses"),
+        feed=providers.get("feed"),
+        settings=settings,
+    )
+    made = lookup_schedule(stage(unsettled, "unsettled").df, settings).select("domain")
+    return providers | {"vendor_responses": answers.join(made, "domain", "left_semi")}
+
+
 def annotate_intel(
     records: DataFrame,
     table: DataFrame | Staged,
@@ -171,7 +196,9 @@ def unsettled_domains(
 def lookup_candidates(unsettled: DataFrame, settings: IntelSettings | None = None) -> DataFrame:
     """The domains looked up in one run without spacing: first seen first, within the budget."""
     settings = settings or IntelSettings()
-    first = unsettled.orderBy("first_seq").limit(settings.max_lookups)
+    first = unsettled.orderBy("first_seq")
+    if settings.max_lookups is not None:
+        first = first.limit(settings.max_lookups)
     return first.select("domain", "first_seq", "first_ts_us")
 
 
@@ -182,14 +209,23 @@ def lookup_schedule(
 
     A domain seen less than the interval after the last lookup is passed over, not delayed.
     The clock is the time of first sight. Each round reads the next `page` candidates in time
-    order; it ends with at least one pick, so there are at most `max_lookups` rounds.
+    order, strictly after the last pick; it ends with at least one pick, so there are at most
+    `max_lookups` rounds.
     """
     settings = settings or IntelSettings()
+    if settings.max_lookups is None:
+        raise ValueError("a schedule needs a lookup budget")
     spacing_us = int(settings.min_interval_seconds * 1_000_000)
     picks: list[tuple[int, str, int, int]] = []
     open_from = None
     while len(picks) < settings.max_lookups:
-        later = unsettled if open_from is None else unsettled.where(F.col("first_ts_us") >= open_from)
+        later = unsettled
+        if picks:
+            last_seq, last_ts = picks[-1][2:]
+            after = (F.col("first_ts_us") > last_ts) | (
+                (F.col("first_ts_us") == last_ts) & (F.col("first_seq") > last_seq)
+            )
+            later = unsettled.where((F.col("first_ts_us") >= open_from) & after)
         rows = (
             later.select("domain", "first_seq", "first_ts_us")
             .orderBy("first_ts_us", "first_seq")

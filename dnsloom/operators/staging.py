@@ -8,6 +8,7 @@ before a broadcast.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,14 +34,14 @@ class Staged:
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: `spark.checkpoint.dir`, else one set up here.
 
-    Only a local session may go without the setting; a cluster has to name a folder that
-    all its machines see.
+    Only a session that is one process (`local[n]`) may go without the setting; a cluster,
+    `local-cluster` included, has to name a folder that all its machines see.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="dnsloom-"))
     return context.getCheckpointDir().rstrip("/")

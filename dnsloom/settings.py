@@ -39,26 +39,34 @@ class DetectionSettings:
 
 @dataclass(frozen=True)
 class IntelSettings:
-    """Which providers count, how long a verdict lives, how lookups are spaced."""
+    """Which providers count, how long a verdict lives, how vendor lookups are spaced.
+
+    max_lookups: most vendor lookups of a run; None if the answers are all there already and
+    neither budget nor spacing applies.
+    """
 
     host_lookup_enabled: bool = True
     feed_enabled: bool = True
     vendor_report_enabled: bool = True
     verdict_ttl_seconds: float = VERDICT_TTL_SECONDS
     min_interval_seconds: float = REPORT_MIN_INTERVAL_SECONDS
-    max_lookups: int = REPORT_MAX_LOOKUPS
+    max_lookups: int | None = REPORT_MAX_LOOKUPS
 
 
 @dataclass(frozen=True)
 class AlertSettings:
-    enabled: bool = True
+    """Sending is off unless asked for."""
+
+    enabled: bool = False
     webhook_url: str | None = None
     min_severity: str = ALERT_MIN_SEVERITY
 
 
 @dataclass(frozen=True)
 class ForwardSettings:
-    enabled: bool = True
+    """Sending is off unless asked for."""
+
+    enabled: bool = False
     min_severity: str = FORWARD_MIN_SEVERITY
     vendor: str = "dnsloom"
     product: str = "dnsloom"

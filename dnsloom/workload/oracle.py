@@ -313,7 +313,8 @@ FINAL: dict[str, str] = {
         ORDER BY first_seq LIMIT {I.max_lookups}""",
     "alerts": _alerts("analyzed"),
     "cef_lines": _cef("analyzed"),
-    "csv_flat": f"""SELECT {ANALYZED_COLUMNS} FROM analyzed""",
+    "csv_flat": f"""SELECT * EXCLUDE (seq) FROM (SELECT {ANALYZED_COLUMNS} FROM analyzed)""",
+    "cef_file": f"""SELECT line FROM ({_cef("analyzed")})""",
     "json_records": f"""SELECT {ANALYZED_COLUMNS}, checked_at AS threat_intel_checked_at FROM analyzed""",
     "report_blocks": f"""SELECT seq, concat('Query: ', query, chr(10), 'Source: ', source_ip, ' -> Destination: ',
             destination_ip, chr(10), 'Entropy: ', {_fmt("entropy", 4)}, ' (z-score: ',
@@ -332,6 +333,11 @@ FINAL: dict[str, str] = {
         UNION ALL SELECT 2, 0, ']}}'""",
 }
 
+FINAL["stix_file"] = f"SELECT line FROM ({FINAL['stix_bundle']})"
+FINAL["report_file"] = f"""SELECT line, count(*) AS times
+    FROM (SELECT unnest(string_split(block, chr(10))) AS line FROM ({FINAL["report_blocks"]}))
+    GROUP BY line"""
+
 # Greedy spacing needs the pick before: a recursive query, one step per lookup.
 SCHEDULE = f"""WITH RECURSIVE {{ctes}},
 picks AS (
@@ -340,8 +346,13 @@ picks AS (
     SELECT lookup_no + 1, (SELECT min(first_ts_us) FROM unsettled
                            WHERE first_ts_us >= picked_us + {int(I.min_interval_seconds * 1_000_000)})
     FROM picks WHERE lookup_no < {I.max_lookups} AND picked_us IS NOT NULL)
-SELECT CAST(lookup_no AS INT) AS lookup_no, domain, first_seq, first_ts_us
-FROM picks JOIN unsettled ON first_ts_us = picked_us"""
+{{final}}"""
+LOOKED_UP = "FROM picks JOIN unsettled ON first_ts_us = picked_us"
+BUDGETED = f"""SELECT domain, is_malicious AND NOT skipped AS is_malicious,
+    CASE WHEN NOT skipped THEN source END AS source,
+    CASE WHEN skipped THEN 'no match in any enabled feed' ELSE detail END AS detail, checked_at
+FROM (SELECT *, coalesce(source = 'virustotal' AND domain IN (SELECT domain FROM unsettled)
+          AND domain NOT IN (SELECT domain {LOOKED_UP}), false) AS skipped FROM verdict_table)"""
 
 
 def _needs(text: str) -> set[str]:
@@ -361,5 +372,8 @@ def _with(text: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     sql = {name: f"WITH {_with(final)}\n{final}" for name, final in FINAL.items()}
-    sql["lookup_schedule"] = SCHEDULE.replace("{ctes}", _with("unsettled"))
+    picked = "SELECT CAST(lookup_no AS INT) AS lookup_no, domain, first_seq, first_ts_us"
+    finals = {"lookup_schedule": f"{picked} {LOOKED_UP}", "intel_budgeted": BUDGETED}
+    for name, final in finals.items():
+        sql[name] = SCHEDULE.replace("{ctes}", _with("unsettled verdict_table")).replace("{final}", final)
     return sql

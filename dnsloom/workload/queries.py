@@ -32,16 +32,11 @@ def r9(name: str) -> Column:
 
 def _flat(records: DataFrame, *without: str) -> DataFrame:
     """Flat form with rounded doubles, seq in front."""
-    return records.select(
-        "seq", *[_flat_column(c) for c in exports.FLAT_COLUMNS if c not in without]
-    )
+    flat = exports.flatten(records, "seq")
+    return flat.select("seq", *[_rounded(c) for c in exports.FLAT_COLUMNS if c not in without])
 
 
-def _flat_column(name: str) -> Column:
-    if name.startswith("flags_"):
-        return F.col("flags").getField(name[6:]).alias(name)
-    if name.startswith("threat_intel_"):
-        return F.col("threat_intel").getField(name[13:]).alias(name)
+def _rounded(name: str) -> Column:
     return r9(name) if name in ("entropy", "entropy_z_score", "host_nxdomain_ratio") else F.col(name)
 
 
@@ -223,6 +218,11 @@ def intel_verdicts(w: Workload) -> DataFrame:
     return w.intel(cached=False).verdicts(w.records)
 
 
+def intel_budgeted(w: Workload) -> DataFrame:
+    """Vendor answers count for the scheduled lookups only."""
+    return w.intel(settings=INTEL_SETTINGS).verdicts(w.records)
+
+
 def intel_cache(w: Workload) -> DataFrame:
     return w.intel().verdicts(w.records)
 
@@ -255,15 +255,26 @@ def lookup_schedule(w: Workload) -> DataFrame:
 
 
 def alerts(w: Workload) -> DataFrame:
-    return exports.alerts(w.finished, AlertSettings())
+    return exports.alerts(w.finished, AlertSettings(enabled=True))
 
 
 def cef_lines(w: Workload) -> DataFrame:
     return exports.cef_lines(w.finished)
 
 
+def cef_file(w: Workload) -> DataFrame:
+    """Written as text and read back."""
+    path = new_path(w.spark, "cef")
+    exports.write_cef(w.finished, path)
+    return w.spark.read.text(path).select(F.col("value").alias("line"))
+
+
 def csv_flat(w: Workload) -> DataFrame:
-    return _flat(w.finished)
+    """Written as CSV and read back; the file has no row numbers."""
+    path = new_path(w.spark, "csv")
+    exports.write_csv(w.finished, path)
+    back = exports.read_csv(w.spark, path)
+    return back.select(*[_rounded(c) for c in exports.FLAT_COLUMNS])
 
 
 def json_records(w: Workload) -> DataFrame:
@@ -271,8 +282,10 @@ def json_records(w: Workload) -> DataFrame:
     path = new_path(w.spark, "json")
     exports.write_json(w.finished, path)
     back = w.spark.read.schema(RECORD_SCHEMA).json(path)
-    flat = [_flat_column(c) for c in (*exports.FLAT_COLUMNS, "threat_intel_checked_at")]
-    return back.select("seq", *flat)
+    checked = F.col("threat_intel.checked_at").alias("threat_intel_checked_at")
+    flat = exports.flatten(back, "seq", checked)
+    columns = [_rounded(c) for c in exports.FLAT_COLUMNS]
+    return flat.select("seq", *columns, "threat_intel_checked_at")
 
 
 def report_blocks(w: Workload) -> DataFrame:
@@ -288,6 +301,21 @@ def stix_bundle(w: Workload) -> DataFrame:
     return exports.stix_bundle(w.finished, intel.utc_text(NOW), BUNDLE_UUID)
 
 
+def stix_file(w: Workload) -> DataFrame:
+    """Written as lines and read back."""
+    path = new_path(w.spark, "stix")
+    exports.write_stix_bundle(w.finished, path, intel.utc_text(NOW), BUNDLE_UUID)
+    return w.spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def report_file(w: Workload) -> DataFrame:
+    """Written as text and read back, line by line with the number of occurrences."""
+    path = new_path(w.spark, "report")
+    exports.write_report(w.finished, path)
+    lines = w.spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("times"))
+
+
 QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     "pcap_scan": pcap_scan,
     "dns_log": dns_log,
@@ -313,6 +341,7 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     "phish_feed_hits": phish_feed_hits,
     "intel_verdicts": intel_verdicts,
     "intel_cache": intel_cache,
+    "intel_budgeted": intel_budgeted,
     "intel_annotated": intel_annotated,
     "lookup_candidates": lookup_candidates,
     "lookup_schedule": lookup_schedule,
@@ -325,11 +354,14 @@ QUERIES: dict[str, Callable[[Workload], DataFrame]] = {
     "stream_alerts": stream_alerts,
     "alerts": alerts,
     "cef_lines": cef_lines,
+    "cef_file": cef_file,
     "csv_flat": csv_flat,
     "json_records": json_records,
     "report_blocks": report_blocks,
     "stix_indicators": stix_indicators,
     "stix_bundle": stix_bundle,
+    "stix_file": stix_file,
+    "report_file": report_file,
 }
 
 

@@ -27,6 +27,7 @@ SETTINGS = DetectionSettings(
     burst_unique_subdomain_threshold=40,
 )
 INTEL_SETTINGS = IntelSettings(max_lookups=20, min_interval_seconds=15.0)
+BULK_SETTINGS = IntelSettings(max_lookups=None)
 NOW = 1_800_000_000.0
 
 DNS_LOG_SQL = """
@@ -166,14 +167,14 @@ class Workload:
         done = analyze(self.stored_log, self.rules, self.settings, self.intel())
         return stage(done, "finished").df
 
-    def intel(self, cached: bool = True) -> IntelTables:
+    def intel(self, cached: bool = True, settings: IntelSettings = BULK_SETTINGS) -> IntelTables:
         return IntelTables(
             now=NOW,
             host_responses=self.host_responses(),
             feed=feed_domains(self.feed_lines(), self.rules),
             vendor_responses=self.vendor_responses(),
             cache=self.cache() if cached else None,
-            settings=INTEL_SETTINGS,
+            settings=settings,
         )
 
     def feed_lines(self) -> DataFrame:

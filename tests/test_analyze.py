@@ -70,9 +70,9 @@ def test_capture_to_every_sink(spark, raw, rules, tmp_path):
             stix=str(tmp_path / "stix"),
             stix_now=1.0,
             bundle_uuid="b",
-            alerts=AlertSettings(webhook_url="https://alerts.test"),
+            alerts=AlertSettings(enabled=True, webhook_url="https://alerts.test"),
             alert_sender=append(sent),
-            forward=ForwardSettings(),
+            forward=ForwardSettings(enabled=True),
             forward_sender=append(lines),
         ),
     )

@@ -49,11 +49,26 @@ def test_csv_file(spark, tmp_path):
     lines = list(csv.DictReader(text_of(tmp_path / "csv").splitlines()))
     assert list(lines[0]) == exports.FLAT_COLUMNS and len(lines) == 7
     assert lines[1]["threat_intel_detail"] == "2 URLs" and lines[0]["flags_qr"] == "QUERY"
+    assert lines[1]["threat_intel_is_malicious"] == "True" and lines[0]["subdomain_burst"] == "False"
     empty = finished(spark).limit(0)
     exports.write_csv(empty.coalesce(1), str(tmp_path / "empty"))
     assert text_of(tmp_path / "empty").strip() == ",".join(exports.FLAT_COLUMNS)
 
 
+def test_any_csv_reader_reads_odd_texts_back(spark, tmp_path):
+    odd = ['a"b,c.com.', "  pad.com.  ", "new\nline", "back\\slash\\", '"', "\\\"", ",", "", "cr\rlf\r\nx", "#x"]
+    records = exports.with_severity(record_rows(spark, [{"query": q, "remark": f"{q}|"} for q in odd]))
+    exports.write_csv(records.coalesce(1), str(tmp_path / "csv"))
+    with open(glob.glob(str(tmp_path / "csv" / "part-*"))[0], newline="") as file:
+        rows = list(csv.DictReader(file))
+    assert [r["query"] for r in rows] == odd and [r["remark"] for r in rows] == [f"{q}|" for q in odd]
+    assert all(len(r) == 27 and None not in r for r in rows)
+    back = exports.read_csv(spark, str(tmp_path / "csv"))
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(
+        map(tuple, exports.flatten(records).collect()), key=repr
+    )
+
+
 def test_json_lines_keep_nulls(spark, tmp_path):
     exports.write_json(finished(spark), str(tmp_path / "json"))
     rows = [json.loads(line) for line in text_of(tmp_path / "json").splitlines()]
@@ -69,18 +84,18 @@ def test_alert_threshold(spark):
         return [(r.seq, r.severity) for r in by_seq(exports.alerts(records, settings))]
 
     high = [(1, "critical"), (2, "critical"), (3, "critical"), (5, "high")]
-    assert levels(AlertSettings()) == high
-    assert levels(AlertSettings(min_severity="critical")) == high[:3]
-    assert levels(AlertSettings(min_severity="medium")) == [*high, (6, "medium")]
-    assert levels(AlertSettings(enabled=False)) == []
+    assert levels(None) == levels(AlertSettings(enabled=True)) == high
+    assert levels(AlertSettings(enabled=True, min_severity="critical")) == high[:3]
+    assert levels(AlertSettings(enabled=True, min_severity="medium")) == [*high, (6, "medium")]
+    assert levels(AlertSettings()) == []
 
 
 def test_cef_threshold_and_given_severity(spark, tmp_path):
     records = record_rows(spark, [{"severity": "critical"}, {"severity": None}, {"severity": "info"}])
     rows = by_seq(exports.cef_lines(records))
     assert [r.severity for r in rows] == ["critical", "info", "info"]
-    assert exports.cef_lines(records, ForwardSettings(min_severity="high")).count() == 1
-    assert exports.cef_lines(records, ForwardSettings(enabled=False)).count() == 0
+    assert exports.cef_lines(records, ForwardSettings(enabled=True, min_severity="high")).count() == 1
+    assert exports.cef_lines(records, ForwardSettings()).count() == 0
     exports.write_cef(records, str(tmp_path / "cef"))
     assert all(line.startswith("CEF:0|") for line in text_of(tmp_path / "cef").splitlines())
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import json
 import uuid
 
@@ -70,13 +72,13 @@ def test_base_remark(spark, row, z, threshold, expected):
 
 
 def test_fixed_decimals_follow_python(spark):
-    values = [0.125, 2.675, 3.40625, -0.001, -0.125, 1234.5, 0.0, 4.0]
+    values = [0.125, 2.675, 3.40625, -0.001, -0.125, 1234.5, 0.0, 4.0, 1.005, 0.99995, -2.675]
+    values += [-5e11, 0.375, 2.5e8 + 0.005, 0.00005, 9.999999]
+    values += [random.Random(1).randint(0, 10**6) / 1000 + 0.0005 for _ in range(50)]
+    values += [i / 200 for i in range(60)] + [i / 20000 for i in range(1, 60, 2)]
     for places in (2, 4):
         got = one(spark, *[remarks.fixed_decimals(F.lit(v), places).alias(f"c{i}") for i, v in enumerate(values)])
-        expected = [f"{v:.{places}f}" for v in values]
-        if places == 2:
-            expected[1] = "2.68"  # shortest decimal 2.675 is a tie here, its binary value is not
-        assert list(got) == expected
+        assert list(got) == [f"{v:.{places}f}" for v in values]
 
 
 def test_ratio_percent_follows_python(spark):

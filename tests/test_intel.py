@@ -212,3 +212,27 @@ def test_lookup_schedule(spark, page):
     assert [tuple(r) for r in got.orderBy("lookup_no").collect()] == expected
     none = intel.lookup_schedule(seen(spark, [1]).limit(0), IntelSettings())
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("page", [1, 2, 5, 100])
+def test_schedule_without_spacing_repeats_and_loses_nothing(spark, page):
+    times = [0, 0, 0, 5, 5, 7, 7, 7, 9, 12]
+    settings = IntelSettings(max_lookups=8, min_interval_seconds=0)
+    got = intel.lookup_schedule(seen(spark, times), settings, page).orderBy("lookup_no").collect()
+    assert [r.domain for r in got] == [f"d{i}.com" for i in range(8)]
+
+
+def test_budget_limits_vendor_verdicts(spark):
+    table = seen(spark, [i * 10_000_000 for i in range(10)])
+    answers = responses(spark, *[(f"d{i}.com", vendor(1, 0), None) for i in range(10)])
+
+    def confirmed(**settings):
+        found = intel.verdicts(
+            table, NOW, settings=IntelSettings(**settings), vendor_responses=answers
+        )
+        return sorted(r.domain for r in found.collect() if r.is_malicious)
+
+    assert confirmed(max_lookups=0) == []
+    assert confirmed(max_lookups=3, min_interval_seconds=0) == ["d0.com", "d1.com", "d2.com"]
+    assert confirmed(max_lookups=20) == [f"d{i}.com" for i in (0, 2, 4, 6, 8)]
+    assert len(confirmed(max_lookups=None)) == 10

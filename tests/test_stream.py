@@ -116,9 +116,9 @@ def test_enrichment_alerts_and_forwarding(spark, rules, tmp_path):
         rules,
         SETTINGS,
         intel=stage(verdicts, "verdicts"),
-        alerts=AlertSettings(webhook_url="https://alerts.test/x"),
+        alerts=AlertSettings(enabled=True, webhook_url="https://alerts.test/x"),
         alert_sender=alert,
-        forward=ForwardSettings(min_severity="info"),
+        forward=ForwardSettings(enabled=True, min_severity="info"),
         forward_sender=forward,
     )
     arrive(live, raw, new_path(spark, "in"), slices=2)
