@@ -1,10 +1,14 @@
 """Capture files (pcap, pcapng) as DNS log rows.
 
-Files are cut into byte ranges so that one large capture is read by many tasks. There
-are no sync marks: each range guesses its first packet by a chain of plausible headers and
-reports where its last packet ends. The guesses of a file hold if every range starts where
-the one before ended, which is checked; a file where they do not is walked header by header
-from its start instead. Decoding then runs on ranges that are known to be right.
+Files are cut into byte ranges so that one large capture is read by many tasks, each byte once.
+There are no sync marks: each range guesses its first packet by a chain of plausible headers,
+decodes from there, and reports where its last packet ends. The guesses of a file hold if every
+range starts where the one before ended (and, in a pcapng, knew the interfaces that hold there).
+Ranges for which that is not so are read again from where they should have started.
+
+Only a guess asks whether a header is plausible. Reading trusts the lengths in the file: an
+oversized or odd packet is a packet like any other. Where a length leads out of the file, the
+rest of the file is one unread stretch, which is a row of its own and so counted.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ from dnsloom.operators.staging import stage
 from dnsloom.schema import RAW_SCHEMA
 
 DNS_PORTS = (53, 5353)
-_MAX_FILE = 1 << 40
-_MAX_PACKET = 1 << 18
+# For guesses only: packets are hardly ever longer than this.
+_LIKELY_PACKET = 1 << 18
+# A UDP datagram with its headers is shorter than this; nothing behind it is read.
+_FRAME_BYTES = 1 << 17
+_MOST_RANGES = 200_000
 _CHAIN = 8
 _BLOCK = 8 << 20
 _BATCH = 8192
@@ -39,8 +46,9 @@ _PCAP_MAGIC = {
 }
 _PCAPNG_MAGIC = b"\x0a\x0d\x0d\x0a"
 # Pcapng block types that set up (section, interface), and those that hold a
-# packet, with the layout of their interface number.
+# packet, with the layout of their interface number; a simple packet has none and no time.
 _SETUP_BLOCKS = (0x0A0D0D0A, 1)
+_SIMPLE_PACKET = 3
 _PACKET_BLOCKS = {2: "Hxx", 6: "I"}
 # Link types -> (bytes before the network header, offset of the ether type).
 _LINK_HEADER = {0: (4, None), 1: (14, 12), 12: (0, None), 14: (0, None), 101: (0, None), 113: (16, 14), 276: (20, 0)}
@@ -106,26 +114,38 @@ def _section_order(head: bytes) -> str:
 def _next(window: _Window, form: _Format, offset: int) -> tuple[int, _Format] | None:
     """Offset after the packet or block at `offset`, and the format that holds there.
 
-    None if nothing whole and plausible is there.
+    None if it does not fit into the file, or its length cannot be one.
     """
     head = window.read(offset, 16 if form.units else 12)
     if form.units:
         if len(head) < 16:
             return None
-        _, fraction, kept, full = struct.unpack(form.order + "IIII", head)
+        kept = struct.unpack(form.order + "I", head[8:12])[0]
         end = offset + 16 + kept
-        if fraction >= form.units or kept > _MAX_PACKET or kept > full or end > window.size:
+    else:
+        if len(head) < 12:
             return None
-        return end, form
-    if len(head) < 12:
-        return None
-    if head[:4] == _PCAPNG_MAGIC:
-        form = _Format(_section_order(head))
-    size = struct.unpack(form.order + "I", head[4:8])[0]
-    end = offset + size
-    if size < 12 or size % 4 or end > window.size or window.read(end - 4, 4) != head[4:8]:
+        if head[:4] == _PCAPNG_MAGIC:
+            form = _Format(_section_order(head))
+        size = struct.unpack(form.order + "I", head[4:8])[0]
+        if size < 12:
+            return None
+        end = offset + (size + 3) // 4 * 4
+    return None if end > window.size else (end, form)
+
+
+def _plausible(window: _Window, form: _Format, offset: int) -> tuple[int, _Format] | None:
+    """`_next` if what stands there looks like a packet or block; for guesses."""
+    found = _next(window, form, offset)
+    if found is None:
         return None
-    return end, form
+    end, after = found
+    if form.units:
+        _, fraction, kept, full = struct.unpack(form.order + "IIII", window.read(offset, 16))
+        likely = fraction < form.units and kept <= _LIKELY_PACKET and kept <= full
+    else:
+        likely = window.read(end - 4, 4) == window.read(offset + 4, 4)
+    return found if likely else None
 
 
 def _first_packet(window: _Window, form: _Format, start: int, stop: int) -> int | None:
@@ -134,7 +154,7 @@ def _first_packet(window: _Window, form: _Format, start: int, stop: int) -> int
     for offset in range(start, min(stop, window.size - 11), step):
         at, shape = offset, form
         for _ in range(_CHAIN):
-            found = _next(window, shape, at)
+            found = _plausible(window, shape, at)
             if found is None:
                 break
             at, shape = found
@@ -145,103 +165,95 @@ def _first_packet(window: _Window, form: _Format, start: int, stop: int) -> int
     return None
 
 
-def _walk(
-    window: _Window, form: _Format, offset: int, stop: int
-) -> tuple[int, list[int], _Format]:
-    """End of the last packet that begins before `stop`, the file's end if it breaks off;
-    offsets of the pcapng setup blocks on the way; the format that holds at the end."""
-    setup = []
-    while offset < stop:
-        found = _next(window, form, offset)
-        if found is None:
-            return window.size, setup, form
-        after, form = found
-        if not form.units and _block_kind(window, form, offset) in _SETUP_BLOCKS:
-            setup.append(offset)
-        offset = after
-    return offset, setup, form
-
-
 def _block_kind(window: _Window, form: _Format, offset: int) -> int:
     return struct.unpack(form.order + "I", window.read(offset, 4))[0]
 
 
-def _probe_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """first/last packet bounds of each byte range, guessed where it is not the first."""
-    for pdf in batches:
-        rows = []
-        for path, file_no, start, stop in pdf.itertuples(index=False):
-            window = _Window(path, block=1 << 20)
-            form = _format(window)
-            first = form.first if start == 0 else _first_packet(window, form, start, stop)
-            last, setup = None, []
-            if first is not None:
-                last, setup, _ = _walk(window, form, first, stop)
-            rows.append((path, file_no, start, stop, first, last, setup))
-        names = ["path", "file_no", "start", "stop", "first", "last", "setup"]
-        yield pd.DataFrame(rows, columns=names).astype({"first": "Int64", "last": "Int64"})
-
-
-def _walk_file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Exact bounds of all ranges of one file, walked from its start."""
-    for pdf in batches:
-        rows = []
-        for path, file_no, step in pdf.itertuples(index=False):
-            window = _Window(path, block=1 << 20)
-            form = _format(window)
-            offset = form.first
-            for start in range(0, window.size, step):
-                last, setup, form = _walk(window, form, offset, start + step)
-                if last > offset:
-                    rows.append((path, file_no, offset, last, setup))
-                offset = last
-        yield pd.DataFrame(rows, columns=["path", "file_no", "first", "last", "setup"])
-
-
-def _packets(
-    window: _Window, first: int, last: int, setup: list[int]
-) -> Iterator[tuple[int, int, int, bytes]]:
-    """(offset, ts_us, link type, frame) of the packets in a range.
-
-    setup: offsets of the pcapng setup blocks in earlier ranges, in order.
-    """
-    form = _format(window)
-    interfaces: list[tuple[int, int]] = []
-    for offset in setup:
-        form = _set_up(window, form, offset, interfaces)
-    offset = first
-    while offset < last:
+def _leading_setup(window: _Window, form: _Format) -> list[int]:
+    """Offsets of the setup blocks that a pcapng begins with."""
+    setup, offset = [], 0
+    while not form.units:
         found = _next(window, form, offset)
-        if found is None:
-            return
-        after, form = found
-        if form.units:
-            seconds, fraction = struct.unpack(form.order + "II", window.read(offset, 8))
-            ts_us = seconds * 1_000_000 + fraction * 1_000_000 // form.units
-            yield offset, ts_us, form.link, window.read(offset + 16, after - offset - 16)
-        else:
-            kind = _block_kind(window, form, offset)
-            if kind in _SETUP_BLOCKS:
-                form = _set_up(window, form, offset, interfaces)
-            elif kind in _PACKET_BLOCKS:
-                body = window.read(offset + 8, after - offset - 12)
-                which = struct.unpack(form.order + _PACKET_BLOCKS[kind], body[:4])[0]
-                high, low, kept = struct.unpack(form.order + "III", body[4:16])
-                link, units = interfaces[which]
-                ts_us = (high << 32 | low) * 1_000_000 // units
-                yield offset, ts_us, link, body[20 : 20 + kept]
-        offset = after
+        if found is None or _block_kind(window, found[1], offset) not in _SETUP_BLOCKS:
+            break
+        setup.append(offset)
+        offset, form = found
+    return setup
+
+
+class _Range:
+    """Reads the packets of one byte range and notes what the next range has to know."""
+
+    def __init__(self, window: _Window, first: int, stop: int, setup: list[int]):
+        self.window, self.offset, self.stop = window, first, stop
+        self.form = _format(window)
+        self.interfaces: list[tuple[int, int, int]] = []
+        for offset in setup:
+            self.form = _set_up(window, self.form, offset, self.interfaces)
+        # Offsets of setup blocks read here, since the last section that begins here.
+        self.setup: list[int] = []
+        self.section = False
+        self.unread = 0
+
+    def packets(self) -> Iterator[tuple[int, int, int, bytes]]:
+        """(offset, ts_us, link type, frame); `unread` bytes at the end could not be read."""
+        window = self.window
+        while self.offset < min(self.stop, window.size):
+            offset = self.offset
+            found = _next(window, self.form, offset)
+            if found is None:
+                self.unread, self.offset = window.size - offset, window.size
+                return
+            self.offset, self.form = found
+            if self.form.units:
+                packet = self._record(offset)
+            else:
+                packet = self._block(offset)
+            if packet is not None:
+                yield offset, *packet
+
+    def _record(self, offset: int) -> tuple[int, int, bytes]:
+        seconds, fraction = struct.unpack(self.form.order + "II", self.window.read(offset, 8))
+        ts_us = seconds * 1_000_000 + fraction * 1_000_000 // self.form.units
+        length = min(self.offset - offset - 16, _FRAME_BYTES)
+        return ts_us, self.form.link, self.window.read(offset + 16, length)
+
+    def _block(self, offset: int) -> tuple[int, int, bytes] | None:
+        kind = _block_kind(self.window, self.form, offset)
+        if kind in _SETUP_BLOCKS:
+            self.form = _set_up(self.window, self.form, offset, self.interfaces)
+            if kind != 1:
+                self.section, self.setup = True, []
+            self.setup.append(offset)
+            return None
+        if kind not in _PACKET_BLOCKS and kind != _SIMPLE_PACKET:
+            return None
+        length = min(self.offset - offset - 12, _FRAME_BYTES + 20)
+        body = self.window.read(offset + 8, length)
+        order = self.form.order
+        if kind == _SIMPLE_PACKET:
+            full = struct.unpack(order + "I", body[:4])[0]
+            link, _, snap = self._interface(0)
+            return 0, link, body[4 : 4 + (min(full, snap) if snap else full)]
+        which = struct.unpack(order + _PACKET_BLOCKS[kind], body[:4])[0]
+        high, low, kept = struct.unpack(order + "III", body[4:16])
+        link, units, _ = self._interface(which)
+        return (high << 32 | low) * 1_000_000 // units, link, body[20 : 20 + kept]
+
+    def _interface(self, which: int) -> tuple[int, int, int]:
+        """Link type, ticks and longest packet; link type -1 for one that nothing defined."""
+        return self.interfaces[which] if which < len(self.interfaces) else (-1, 1_000_000, 0)
 
 
 def _set_up(
-    window: _Window, form: _Format, offset: int, interfaces: list[tuple[int, int]]
+    window: _Window, form: _Format, offset: int, interfaces: list[tuple[int, int, int]]
 ) -> _Format:
     """Apply a setup block: a new section forgets the interfaces, an interface is added."""
     after, form = _next(window, form, offset)
     body = window.read(offset + 8, after - offset - 12)
     if _block_kind(window, form, offset) == 1:
-        link = struct.unpack(form.order + "H", body[:2])[0]
-        interfaces.append((link, _ticks(body[8:], form.order)))
+        link, _, snap = struct.unpack(form.order + "HHI", body[:8].ljust(8, b"\0"))
+        interfaces.append((link, _ticks(body[8:], form.order), snap))
     else:
         interfaces.clear()
     return form
@@ -313,12 +325,19 @@ def _dns_payload(frame: bytes, link: int, ports: tuple[int, ...]):
     return addresses, udp[8:]
 
 
+# Rows of packets, of unread stretches (unread_bytes > 0), and of what became of a range
+# (stop is set): where it was read from, what it took as set up, and what it found.
 _DECODED = pa.schema(
-    [("offset", pa.int64()), ("ts_us", pa.int64()), ("source_ip", pa.string())]
+    [("path", pa.string()), ("base", pa.int64()), ("start", pa.int64()), ("attempt", pa.int32())]
+    + [("offset", pa.int64()), ("ts_us", pa.int64()), ("source_ip", pa.string())]
     + [("destination_ip", pa.string()), ("query", pa.string())]
     + [(c, pa.int32()) for c in [*HEADER_BITS, "qdcount", "ancount", "nscount", "arcount"]]
-    + [("skipped", pa.bool_()), ("file_no", pa.int64())]
+    + [("skipped", pa.bool_()), ("unread_bytes", pa.int64())]
+    + [("stop", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]
+    + [("assumed", pa.list_(pa.int64())), ("setup", pa.list_(pa.int64())), ("section", pa.bool_())]
 )
+# addresses, name, header bits and counts
+_NO_MESSAGE = (None,) * (3 + len(HEADER_BITS) + 4)
 
 
 def _decode(frame: bytes, link: int, ports: tuple[int, ...]):
@@ -328,7 +347,7 @@ def _decode(frame: bytes, link: int, ports: tuple[int, ...]):
         return None
     addresses, message = found
     if addresses is None:
-        return (None,) * 14 + (True,)
+        return (*_NO_MESSAGE, True)
     word, *counts = struct.unpack(">HHHHH", message[2:12])
     bits = [word >> low & (1 << width) - 1 for low, width in HEADER_BITS.values()]
     name = _question_name(message) if counts[0] else None
@@ -336,19 +355,38 @@ def _decode(frame: bytes, link: int, ports: tuple[int, ...]):
 
 
 def _decode_ranges(ports: tuple[int, ...]):
+    """Rows of each range; `first` null: the range guesses it, -1: no packet begins in it."""
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
             for job in batch.to_pylist():
                 window = _Window(job["path"])
-                bounds = (job["first"], job["last"], job["setup"])
-                for offset, ts_us, link, frame in _packets(window, *bounds):
+                form = _format(window)
+                start, stop, first, setup = (job[k] for k in ("start", "stop", "first", "assumed"))
+                if job["attempt"] == 0:
+                    setup = _leading_setup(window, form) if start else []
+                    first = _first_packet(window, form, start, stop) if start else form.first
+                elif first < 0:
+                    first = None
+                part = _Range(window, stop if first is None else first, stop, setup)
+                key = (job["path"], job["base"], start, job["attempt"])
+                for offset, ts_us, link, frame in part.packets():
                     values = _decode(frame, link, ports)
                     if values is not None:
-                        rows.append((offset, ts_us, *values, job["file_no"]))
+                        rows.append((*key, offset, ts_us, *values, 0, *(None,) * 6))
+                    elif link not in _LINK_HEADER:
+                        unread = max(1, len(frame))
+                        rows.append((*key, offset, ts_us, *_NO_MESSAGE, False, unread, *(None,) * 6))
                     if len(rows) >= _BATCH:
                         yield _batch(rows)
                         rows = []
+                if part.unread:
+                    at = window.size - part.unread
+                    rows.append((*key, at, None, *_NO_MESSAGE, False, part.unread, *(None,) * 6))
+                last = None if first is None else part.offset
+                known = (stop, first, last, setup, part.setup, part.section)
+                rows.append((*key, None, None, *_NO_MESSAGE, False, 0, *known))
         if rows:
             yield _batch(rows)
 
@@ -361,53 +399,49 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_DECODED)
 
 
-def _bounds(files: DataFrame, split_bytes: int) -> DataFrame:
-    """path, file_no, first, last, setup: packet-aligned ranges that cover every file."""
-    step = F.lit(split_bytes)
-    last_split = F.floor((F.greatest("length", F.lit(1)) - 1) / step)
-    splits = files.select("path", "file_no", F.explode(F.sequence(F.lit(0), last_split)).alias("n"))
-    splits = splits.select(
-        "path", "file_no", (F.col("n") * step).alias("start"), ((F.col("n") + 1) * step).alias("stop")
-    )
-    found = "first BIGINT, last BIGINT, setup ARRAY<BIGINT>"
-    probed = stage(
-        splits.repartition("path", "start").mapInPandas(
-            _probe_ranges, f"path STRING, file_no BIGINT, start BIGINT, stop BIGINT, {found}"
-        ),
-        "capture-ranges",
-    ).df
-    by_start = Window.partitionBy("path").orderBy("start")
-    reached = F.max("last").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    wrong = F.when(F.col("first").isNull(), reached < F.col("stop")).otherwise(
-        F.col("first") != reached
-    )
-    checked = probed.withColumn("wrong", F.coalesce(wrong & (F.col("start") > 0), F.lit(False)))
-    broken = stage(
-        checked.where("wrong").select("path", "file_no", F.lit(split_bytes).alias("step")).distinct(),
-        "capture-rewalk",
-    )
-    ranges = checked.where(F.col("first").isNotNull()).select(
-        "path", "file_no", "first", "last", "setup"
-    )
-    if broken.rows:
-        walked = broken.df.repartition("path").mapInPandas(
-            _walk_file, f"path STRING, file_no BIGINT, {found}"
-        )
-        ranges = ranges.join(broken.df, "path", "left_anti").unionByName(walked)
-    by_first = Window.partitionBy("path").orderBy("first")
-    earlier = F.collect_list("setup").over(by_first.rowsBetween(Window.unboundedPreceding, -1))
-    return ranges.withColumn("setup", F.flatten(earlier))
-
-
-def _numbered(listing: DataFrame) -> DataFrame:
-    """path, length, file_no: files counted in path order, part by part."""
+def _misread(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one file's ranges, those to be read again, and from where.
+
+    What follows a misread range is judged when that has been read again.
+    """
+    out, reached, carried, unsure = [], 0, [], True
+    for row in rows.sort_values("start").itertuples(index=False):
+        first = None if pd.isna(row.first) else int(row.first)
+        assumed, setup = list(row.assumed), list(row.setup)
+        due = reached if reached < row.stop else None
+        if not unsure and (first != due or (due is not None and assumed != carried)):
+            due_at = -1 if due is None else due
+            out.append((row.path, row.base, row.start, row.stop, row.attempt + 1, due_at, carried))
+            unsure = True
+            if due is None:  # nothing to read there: what comes next is known already
+                unsure = False
+                continue
+        else:
+            unsure = False
+        if first is not None:
+            reached = int(row.last)
+        carried = setup if row.section else carried + setup
+    return pd.DataFrame(out, columns=["path", "base", "start", "stop", "attempt", "first", "assumed"])
+
+
+_JOB = "path STRING, base BIGINT, start BIGINT, stop BIGINT, attempt INT, first BIGINT, assumed ARRAY<BIGINT>"
+
+
+def _read(jobs: DataFrame, tasks: int, ports: tuple[int, ...]) -> DataFrame:
+    """Decoded rows of the jobs, dealt out evenly and stored."""
+    dealt = jobs.repartitionByRange(max(1, tasks), "base", "start")
+    return stage(dealt.mapInArrow(_decode_ranges(ports), _spark_schema()), "capture-rows").df
+
+
+def _placed(listing: DataFrame) -> DataFrame:
+    """path, length, base: the bytes of all files before each one, in path order."""
     parts = listing.repartitionByRange("path").withColumn("part", F.spark_partition_id())
     parts = stage(parts, "capture-files").df
-    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    sizes = parts.groupBy("part").agg(F.sum("length").alias("size"))
     before = F.sum("size").over(Window.orderBy("part")) - F.col("size")
-    within = F.row_number().over(Window.partitionBy("part").orderBy("path"))
+    within = F.sum("length").over(Window.partitionBy("part").orderBy("path")) - F.col("length")
     return parts.join(sizes.select("part", before.alias("before")), "part").select(
-        "path", "length", (F.col("before") + within).alias("file_no")
+        "path", "length", (F.col("before") + within).alias("base")
     )
 
 
@@ -418,37 +452,73 @@ def scan_captures(
     split_bytes: int = 64 << 20,
     ports: tuple[int, ...] = DNS_PORTS,
 ) -> DataFrame:
-    """DNS-over-UDP messages of all capture files under `path`: RAW_SCHEMA and `skipped`.
+    """DNS-over-UDP messages of all capture files under `path`: RAW_SCHEMA, `skipped`, and
+    `path`, `offset`, `unread_bytes`.
 
     Messages without IPv4 addresses are kept as rows with skipped = true and no content, so
-    they can be counted. seq numbers files in path order and packets by their position.
-    A file that is no capture fails the job; a last packet that breaks off is left out.
+    they can be counted. So are packets of an unknown link type and the rest of a file whose
+    lengths break off, with the bytes that were not read. seq is the packet's place in all
+    files, in path order. A file that is no capture fails the job. Ranges are longer than
+    `split_bytes` where there would be more than 200,000 of them.
     """
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    fits = F.assert_true(F.col("length") < _MAX_FILE, F.lit("capture file over 1 TiB"))
-    files = _numbered(listing.select("path", "length").where(fits.isNull()))
-
-    ranges = stage(_bounds(files, split_bytes), "capture-bounds")
-    tasks = max(1, min(ranges.rows, 1 << 17))
-    jobs = ranges.df.repartitionByRange(tasks, "path", "first")
-    decoded = jobs.mapInArrow(_decode_ranges(ports), _spark_schema())
-    seq = F.col("file_no") * F.lit(_MAX_FILE) + F.col("offset")
+    files = stage(_placed(listing.select("path", "length")), "capture-places").df
+    total = files.agg(F.sum("length")).first()[0] or 0
+    size = max(split_bytes, -(-total // _MOST_RANGES) // 4 * 4)
+    last_split = F.floor((F.greatest("length", F.lit(1)) - 1) / F.lit(size))
+    ranges = files.select("path", "base", F.explode(F.sequence(F.lit(0), last_split)).alias("n"))
+    start = (F.col("n") * F.lit(size)).cast("long")
+    first_jobs = ranges.select(
+        "path",
+        "base",
+        start.alias("start"),
+        (start + F.lit(size)).alias("stop"),
+        F.lit(0).alias("attempt"),
+        F.lit(None).cast("long").alias("first"),
+        F.lit(None).cast("array<long>").alias("assumed"),
+    )
+    first_jobs = stage(first_jobs, "capture-ranges")
+    decoded = _read(first_jobs.df, first_jobs.rows, ports)
+    while True:
+        state = decoded.where("stop is not null").select(*_columns(_JOB), "last", "setup", "section")
+        latest = state.groupBy("path", "start").agg(F.max("attempt").alias("attempt"))
+        many = latest.groupBy("path").count().where("count > 1").select("path")
+        current = state.join(latest, ["path", "start", "attempt"]).join(many, "path", "left_semi")
+        again = stage(current.groupBy("path").applyInPandas(_misread, _JOB), "capture-again")
+        if not again.rows:
+            break
+        stale = again.df.select("path", "start", (F.col("attempt") - 1).alias("attempt"))
+        kept = decoded.join(stale, ["path", "start", "attempt"], "left_anti")
+        decoded = kept.select(*decoded.columns).unionByName(_read(again.df, again.rows, ports))
+    seq = F.col("base") + F.col("offset")
     columns = [F.col(f.name) for f in RAW_SCHEMA if f.name != "seq"]
-    return decoded.select(seq.alias("seq"), *columns, "skipped")
+    rows = decoded.where("stop is null")
+    return rows.select(seq.alias("seq"), *columns, "skipped", "path", "offset", "unread_bytes")
+
+
+def _columns(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
 
 
 def _spark_schema() -> str:
     names = {"int64": "BIGINT", "int32": "INT", "string": "STRING", "bool": "BOOLEAN"}
-    return ", ".join(f"{f.name} {names[str(f.type)]}" for f in _DECODED)
+    kinds = {f.name: names.get(str(f.type), "ARRAY<BIGINT>") for f in _DECODED}
+    return ", ".join(f"{name} {kind}" for name, kind in kinds.items())
 
 
 def captured_messages(scan: DataFrame) -> DataFrame:
     """The rows of a scan that can be analysed, as RAW_SCHEMA."""
-    return scan.where(~F.col("skipped")).select(*RAW_SCHEMA.fieldNames())
+    read = ~F.col("skipped") & (F.col("unread_bytes") == 0)
+    return scan.where(read).select(*RAW_SCHEMA.fieldNames())
 
 
 def skip_summary(scan: DataFrame) -> DataFrame:
-    """messages, skipped: how many DNS messages were read and how many had no IPv4 layer."""
+    """messages, skipped, unread, unread_bytes: DNS messages read, those without an IPv4 layer,
+    and the packets or rests of files that could not be read."""
+    unread = F.col("unread_bytes") > 0
     return scan.agg(
-        F.count_if(~F.col("skipped")).alias("messages"), F.count_if("skipped").alias("skipped")
+        F.count_if(~F.col("skipped") & ~unread).alias("messages"),
+        F.count_if("skipped").alias("skipped"),
+        F.count_if(unread).alias("unread"),
+        F.coalesce(F.sum("unread_bytes"), F.lit(0)).alias("unread_bytes"),
     )

@@ -55,9 +55,8 @@ def test_rows_come_back_from_many_small_ranges(spark, tmp_path):
     assert got.select(CONTENT).exceptAll(rows.select(CONTENT)).count() == 0
     assert got.count() == 2000 == got.select("seq").distinct().count()
     # within a file, seq follows the order of the packets
-    ordered = got.withColumn("file", F.shiftright("seq", 40)).orderBy("seq").collect()
-    for a, b in zip(ordered, ordered[1:], strict=False):
-        assert a.file < b.file or a.ts_us < b.ts_us
+    times = [r.ts_us for r in got.orderBy("seq").collect()]
+    assert times == sorted(times)
 
 
 def test_wrong_guesses_are_found_and_walked_again(spark, tmp_path):
@@ -111,7 +110,7 @@ def test_kinds_of_frames(spark, tmp_path):
     assert rows[4].skipped and rows[4].source_ip is None and rows[4].query is None
     assert (rows[7].query, rows[8].query) == ("m.local.", ".")
     assert rows[10].query == "��.com."
-    assert tuple(captures.skip_summary(everything).first()) == (6, 1)
+    assert tuple(captures.skip_summary(everything).first()) == (6, 1, 0, 0)
     assert captures.captured_messages(everything).count() == 6
 
 
@@ -182,10 +181,6 @@ def test_large_pcapng_is_read_in_ranges(spark, tmp_path):
         frame = writer.frame(message(query=f"{'x' * (i % 30)}q{i}.example.com."))
         data += stamped(frame, NG_US + i, 1 if i < 500 else 0)
     (tmp_path / "f.pcapng").write_bytes(data)
-    files = spark.createDataFrame(
-        [(str(tmp_path / "f.pcapng"), len(data), 1)], "path STRING, length BIGINT, file_no BIGINT"
-    )
-    assert captures._bounds(files, 4096).count() > 15
     rows = scan(spark, tmp_path, split_bytes=4096).orderBy("seq").collect()
     assert [r.ts_us - NG_US for r in rows] == list(range(800))
     assert rows[799].query == f"{'x' * 19}q799.example.com."
@@ -195,9 +190,63 @@ def test_broken_files(spark, tmp_path):
     frame = writer.frame(message(query="x.example.org."))
     data = save(tmp_path / "cut.pcap", [(1_000_000, frame), (2_000_000, frame)])
     (tmp_path / "cut.pcap").write_bytes(data[:-5])
-    assert [r.ts_us for r in scan(spark, tmp_path).collect()] == [1_000_000]
+    read, rest = scan(spark, tmp_path).orderBy("seq").collect()
+    assert (read.ts_us, read.unread_bytes, rest.ts_us) == (1_000_000, 0, None)
+    assert rest.unread_bytes == len(data) - 5 - rest.offset > 0
     (tmp_path / "bad.pcap").write_bytes(b"not a capture at all, but long enough")
     with pytest.raises(Exception, match="not a capture file"):
         scan(spark, tmp_path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         scan(spark, tmp_path / "missing")
+
+
+ODD = {
+    "oversized": lambda: struct.pack("<IIII", 1, 0, 300_000, 300_000) + bytes(300_000),
+    "longer than sent": lambda: struct.pack("<IIII", 1, 0, 60, 20) + bytes(60),
+    "fraction": lambda: struct.pack("<IIII", 1, 1_000_001, 40, 40) + bytes(40),
+    "empty": lambda: struct.pack("<IIII", 1, 0, 0, 0),
+}
+
+
+@pytest.mark.parametrize("split", [64 << 20, 4096, 500])
+@pytest.mark.parametrize("odd", list(ODD))
+def test_an_odd_packet_loses_nothing(spark, tmp_path, odd, split):
+    packets = [
+        writer.packet(1_000_000 + i, writer.frame(message(query=f"q{i}.example.com."))) for i in range(100)
+    ]
+    packets.insert(50, ODD[odd]())
+    (tmp_path / "a.pcap").write_bytes(writer.PCAP_HEADER + b"".join(packets))
+    rows = captures.captured_messages(scan(spark, tmp_path, split_bytes=split)).orderBy("seq").collect()
+    assert [r.query for r in rows] == [f"q{i}.example.com." for i in range(100)]
+
+
+def simple(frame, order="<"):
+    return block(3, struct.pack(order + "I", len(frame)) + frame, order)
+
+
+def test_simple_packets_and_unknown_link_types(spark, tmp_path):
+    frame = writer.frame(message(query="s.example.com."))
+    data = section() + interface() + interface(link=999) + simple(frame) * 10
+    data += stamped(frame, NG_US, 1) + stamped(frame, NG_US, 7) + stamped(frame, NG_US)
+    (tmp_path / "f.pcapng").write_bytes(data)
+    everything = scan(spark, tmp_path)
+    rows = captures.captured_messages(everything).orderBy("seq").collect()
+    assert [r.ts_us for r in rows] == [0] * 10 + [NG_US]
+    assert captures.skip_summary(everything).first()[:3] == (11, 0, 2)
+
+
+def test_many_sections_carry_little(spark, tmp_path):
+    frame = writer.frame(message(query="m.example.com."))
+    data = b"".join(section() + interface() + stamped(frame, NG_US + i) for i in range(400))
+    (tmp_path / "f.pcapng").write_bytes(data)
+    rows = scan(spark, tmp_path, split_bytes=2048).orderBy("seq").collect()
+    assert [r.ts_us - NG_US for r in rows] == list(range(400))
+    part = captures._Range(captures._Window(str(tmp_path / "f.pcapng")), 0, 1 << 30, [])
+    assert sum(1 for _ in part.packets()) == 400 and len(part.setup) == 2
+
+
+def test_ranges_are_dealt_to_many_tasks(spark, tmp_path):
+    jobs = [("f", 0, i * 64, i * 64 + 64, 0, None, None) for i in range(300)]
+    dealt = spark.createDataFrame(jobs, captures._JOB).repartitionByRange(300, "base", "start")
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 100 and max(r["count"] for r in sizes) <= 10
