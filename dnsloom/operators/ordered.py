@@ -80,7 +80,6 @@ def ordered_groups(
     scale: ScaleSettings,
     *,
     long_keys: Staged | None,
-    measured_on: DataFrame | None = None,
 ) -> OrderedGroups:
     """`df` with a chunk number, -1 in groups of at most `scale.group_rows` rows.
 
@@ -90,9 +89,7 @@ def ordered_groups(
     cuts: every row lands in one chunk, and chunks follow (ts_us, seq) order wherever they fall.
 
     long_keys: the result of `long_groups` for these keys.
-    measured_on: a cheaper table with the same keys and similar times, to take cuts from.
     """
-    source = measured_on if measured_on is not None else df
     if long_keys is None:
         return OrderedGroups(df.withColumn(CHUNK, F.lit(-1).cast("long")), tuple(keys), scale, False)
 
@@ -101,7 +98,7 @@ def ordered_groups(
     shares = [i / parts for i in range(1, parts)]
     precision = 1 / (4 * parts)
     names = F.broadcast(long_keys.df.select(*keys))
-    rows = source.join(names, list(keys), "left_semi").select("ts_us", "seq")
+    rows = df.join(names, list(keys), "left_semi").select("ts_us", "seq")
 
     cuts = rows.approxQuantile("ts_us", shares, precision)
     crowded = sorted({int(v) for v in cuts if cuts.count(v) > 1})

@@ -16,7 +16,7 @@ from dnsloom.functions import remarks
 from dnsloom.operators.lookup import lookup_join
 from dnsloom.operators.ordered import long_groups, ordered_groups
 from dnsloom.operators.signals import client_address, finish_remark, has_subdomain, is_query
-from dnsloom.operators.staging import Staged
+from dnsloom.operators.staging import Staged, stage
 from dnsloom.settings import DetectionSettings, ScaleSettings
 
 _LAST_SEQ = (1 << 63) - 1
@@ -253,9 +253,10 @@ def sliding_unique(
         "registrable_domain", F.inline(F.array_compact(F.array(sighting, F.when(ends, end))))
     )
 
-    domains = ordered_groups(
-        events, pair[:1], scale, long_keys=long_domains, measured_on=rows
-    )
+    if long_domains is not None:
+        # Cuts are taken from the events themselves: ends lie a window later than sightings.
+        events = stage(events, "sweep-events").df
+    domains = ordered_groups(events, pair[:1], scale, long_keys=long_domains)
     running = domains.window().rowsBetween(Window.unboundedPreceding, 0)
     counted = domains.df.withColumn("unique_count", F.sum("__delta").over(running))
     if domains.split:

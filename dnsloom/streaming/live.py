@@ -8,8 +8,9 @@ alternating slots, and its output goes to a folder of its own. A micro-batch tha
 again after a failure thus reads the same state and overwrites the same files: every
 record comes out exactly once, and nothing depends on a machine that may be gone.
 
-A client or domain that fills a third of a micro-batch is cut into time chunks like in a
-stored table; no task holds all rows, or all subdomains, of one key.
+A client or domain with more than `group_rows` rows in a micro-batch is cut into time chunks
+like in a stored table. Sightings that left the stream's window are let go, so the domain table
+holds one window of names, and clients are let go after `idle_seconds`.
 """
 
 from __future__ import annotations
@@ -77,9 +78,10 @@ def merge_client_state(old: DataFrame, new: DataFrame, idle_us: int | None) -> D
 
 
 def merge_sighting_state(
-    old: DataFrame, records: DataFrame, window_us: int, scale: ScaleSettings
+    old: DataFrame, records: DataFrame, window_us: int, scale: ScaleSettings, late_us: int = 0
 ) -> DataFrame:
-    """Latest sighting per (domain, subdomain), without those that left their domain's window."""
+    """Latest sighting per (domain, subdomain), without those that left their domain's window
+    or, by more than `late_us`, the stream's: a domain that is not seen again is let go."""
     keys = ["registrable_domain", "subdomain"]
     recent = burst_sightings(records).groupBy(*keys).agg(F.max("ts_us").alias("ts_us"))
     latest = (
@@ -100,7 +102,9 @@ def merge_sighting_state(
         weight="names",
         label="newest-sightings",
     )
-    return dated.where(F.col("ts_us") >= F.col("newest_us") - window_us).drop("names", "newest_us")
+    stream_us = latest.agg(F.max("ts_us").alias("at")).scalar()
+    recent_us = F.greatest(F.col("newest_us"), stream_us - F.lit(late_us)) - window_us
+    return dated.where(F.col("ts_us") >= recent_us).drop("names", "newest_us")
 
 
 @dataclass(frozen=True)
@@ -122,6 +126,8 @@ class LiveDetection:
     forward: ForwardSettings | None = None
     forward_sender: Callable[[str], None] | None = None
     idle_seconds: float | None = None
+    # How much later than the newest record one may arrive and still find its domain's window.
+    late_seconds: float = 0.0
 
     @property
     def records_path(self) -> str:
@@ -174,7 +180,8 @@ class LiveDetection:
         idle_us = None if self.idle_seconds is None else int(self.idle_seconds * 1_000_000)
         self._save(merge_client_state(clients, client_totals(parsed), idle_us), "clients", batch)
         window_us = self.settings.burst_window_us
-        kept = merge_sighting_state(sightings, parsed, window_us, self.scale)
+        late_us = int(self.late_seconds * 1_000_000)
+        kept = merge_sighting_state(sightings, parsed, window_us, self.scale, late_us)
         self._save(kept, "sightings", batch)
 
     def _send(self, written: DataFrame) -> None:

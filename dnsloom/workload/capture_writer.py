@@ -45,14 +45,27 @@ def packet(ts_us: int, data: bytes) -> bytes:
     return struct.pack("<IIII", ts_us // 1_000_000, ts_us % 1_000_000, len(data), len(data)) + data
 
 
+# Records that a scan must read past: longer than any real packet, longer than was sent, with
+# an impossible fraction, empty. Then the start of a record that the file does not hold.
+ODD_RECORDS = [
+    struct.pack("<IIII", 1, 0, 300_000, 300_000) + bytes(300_000),
+    struct.pack("<IIII", 1, 0, 60, 20) + bytes(60),
+    struct.pack("<IIII", 1, 1_000_001, 40, 40) + bytes(40),
+    struct.pack("<IIII", 1, 0, 0, 0),
+]
+CUT_OFF = struct.pack("<IIII", 1, 0, 100, 100) + bytes(10)
+_ODD_EVERY = 2000
+
+
 def write_captures(raw: DataFrame, folder: str, files: int, *, mixed: bool = False) -> None:
     """`raw` as `files` pcap files under `folder`, each in time order.
 
+    Every file has ODD_RECORDS among its packets and breaks off in a record (CUT_OFF).
     mixed: rows with seq divisible by 13 go out over IPv6, by 17 over TCP, by 19 to another
     port, to have packets that a scan must skip or ignore.
     """
     def write(batches) -> Iterator:
-        sink = None
+        sink, count = None, 0
         for pdf in batches:
             if sink is None:
                 filesystem, inner = location(folder)
@@ -67,9 +80,13 @@ def write_captures(raw: DataFrame, folder: str, files: int, *, mixed: bool = Fal
                         "tcp": row.seq % 17 == 0,
                         "port": 9953 if row.seq % 19 == 0 else 53,
                     }
+                if count % _ODD_EVERY < len(ODD_RECORDS):
+                    sink.write(ODD_RECORDS[count % _ODD_EVERY])
+                count += 1
                 sink.write(packet(int(row.ts_us), frame(row, **kind)))
             yield pdf.iloc[:0][["seq"]]
         if sink is not None:
+            sink.write(CUT_OFF)
             sink.close()
 
     placed = raw.repartitionByRange(files, "ts_us", "seq") if files > 1 else raw.coalesce(1)

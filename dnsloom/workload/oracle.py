@@ -266,9 +266,10 @@ _FLAG_LINES = ", chr(10), ".join(f"'  {k}: ', flags_{k}" for k in HEADER_BITS)
 # Query name -> the final SELECT; the WITH clauses it needs are found by name.
 FINAL: dict[str, str] = {
     "dns_log": "SELECT * FROM dns_log",
-    "pcap_scan": "SELECT * EXCLUDE (seq) FROM dns_log",
+    "pcap_scan": "SELECT * EXCLUDE (seq), true AS in_order FROM dns_log",
     "skip_summary": """SELECT count(*) FILTER (seq % 13 <> 0) AS messages,
-            count(*) FILTER (seq % 13 = 0) AS skipped
+            count(*) FILTER (seq % 13 = 0) AS skipped,
+            CAST(4 AS BIGINT) AS unread, CAST(4 * 26 AS BIGINT) AS unread_bytes
         FROM dns_log WHERE seq % 17 <> 0 AND seq % 19 <> 0""",
     "header_bits": """SELECT seq, CAST(qr * 32768 + opcode * 2048 + aa * 1024 + tc * 512 + rd * 256
             + ra * 128 + rcode AS INT) AS word, qr, opcode, aa, tc, rd, ra, rcode FROM dns_log""",
@@ -300,7 +301,7 @@ FINAL: dict[str, str] = {
     "live_detection": f"SELECT {DETECTED_COLUMNS} FROM live_detected",
     "stream_detection": f"SELECT {DETECTED_COLUMNS} FROM live_detected",
     "stream_enriched": f"SELECT {ANALYZED_COLUMNS} FROM live_analyzed",
-    "stream_alerts": _alerts("live_analyzed"),
+    "stream_alerts": f"SELECT payload FROM ({_alerts('live_analyzed')})",
     "phish_feed_domains": "SELECT domain FROM feed",
     "phish_feed_hits": "SELECT * FROM feed_hits",
     "intel_urlhaus": "SELECT * FROM host_hits",

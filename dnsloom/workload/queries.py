@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dnsloom.functions import remarks
@@ -14,7 +15,7 @@ from dnsloom.operators import exports, intel, replay, signals
 from dnsloom.operators.names import split_names
 from dnsloom.operators.staging import new_path, stage
 from dnsloom.plans.analyze import analyze
-from dnsloom.schema import RECORD_SCHEMA
+from dnsloom.schema import RAW_SCHEMA, RECORD_SCHEMA
 from dnsloom.settings import AlertSettings, ScaleSettings
 from dnsloom.sources import captures, feeds
 from dnsloom.sources.logs import read_dns_log, stream_dns_log
@@ -51,8 +52,12 @@ def dns_log(w: Workload) -> DataFrame:
 
 
 def pcap_scan(w: Workload) -> DataFrame:
+    """The messages in packet order: a message is in order if none before it in its file is later."""
     scan = captures.scan_captures(w.spark, _captures(w, mixed=False), split_bytes=1 << 18)
-    return captures.captured_messages(scan).drop("seq")
+    read = scan.where(~F.col("skipped") & (F.col("unread_bytes") == 0))
+    before = F.lag("ts_us").over(Window.partitionBy("path").orderBy("seq"))
+    ordered = read.withColumn("in_order", F.coalesce(before <= F.col("ts_us"), F.lit(True)))
+    return ordered.select(*[c for c in RAW_SCHEMA.fieldNames() if c != "seq"], "in_order")
 
 
 def skip_summary(w: Workload) -> DataFrame:
@@ -168,21 +173,25 @@ def live_detection(w: Workload) -> DataFrame:
     return _flat(found, *INTEL_COLUMNS)
 
 
-def _stream(w: Workload, enriched: bool, parts: int = 2) -> LiveDetection:
-    """The DNS log arriving in `parts` time slices, the stream restarted for each.
+def _stream(w: Workload, enriched: bool, parts: int = 4, **sending) -> LiveDetection:
+    """The DNS log arriving in `parts` time slices of one file each, one file per micro-batch.
 
-    Every restart takes up the state that the run before left in the stream's folder.
+    The stream is started after every second slice, and takes up the state that the run before
+    left in the stream's folder.
     """
     verdicts = stage(w.intel().verdicts(w.records), "verdicts") if enriched else None
-    live = LiveDetection(w.spark, new_path(w.spark, "stream"), w.rules, w.settings, intel=verdicts)
+    folder = new_path(w.spark, "stream")
+    live = LiveDetection(w.spark, folder, w.rules, w.settings, intel=verdicts, **sending)
     folder = new_path(w.spark, "arriving")
     log = w.stored_log
     cuts = log.approxQuantile("ts_us", [i / parts for i in range(1, parts)], 0.01)
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+    for turn, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True), 1):
         part = log if low is None else log.where(F.col("ts_us") >= int(low))
         part = part if high is None else part.where(F.col("ts_us") < int(high))
-        part.write.mode("append").parquet(folder)
-        live.start(stream_dns_log(w.spark, folder, max_files_per_trigger=1 << 20)).awaitTermination()
+        part.repartition(1).write.mode("append").parquet(folder)
+        if turn % 2 == 0 or turn == parts:
+            log_stream = stream_dns_log(w.spark, folder, max_files_per_trigger=1)
+            live.start(log_stream).awaitTermination()
     return live
 
 
@@ -195,7 +204,19 @@ def stream_enriched(w: Workload) -> DataFrame:
 
 
 def stream_alerts(w: Workload) -> DataFrame:
-    return exports.alerts(_stream(w, enriched=True).output())
+    """What an injected sender was handed while the stream ran, through the shared folder."""
+    inbox = new_path(w.spark, "inbox")
+
+    def keep(url: str, payload: str) -> None:
+        filesystem, inner = captures.location(inbox)
+        filesystem.create_dir(inner)
+        with filesystem.open_output_stream(f"{inner}/{uuid.uuid4().hex}.txt") as sink:
+            sink.write(payload.encode())
+
+    settings = AlertSettings(enabled=True, webhook_url="https://alerts.test/hook")
+    _stream(w, enriched=True, alerts=settings, alert_sender=keep)
+    sent = w.spark.read.text(inbox, wholetext=True)
+    return sent.select(F.col("value").alias("payload"))
 
 
 def phish_feed_domains(w: Workload) -> DataFrame:

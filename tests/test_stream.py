@@ -13,7 +13,7 @@ from dnsloom.operators.staging import new_path, shared_dir, stage
 from dnsloom.schema import VERDICT_TABLE_SCHEMA
 from dnsloom.settings import AlertSettings, DetectionSettings, ForwardSettings, ScaleSettings
 from dnsloom.sources.logs import stream_dns_log
-from dnsloom.streaming.live import CLIENT_STATE, LiveDetection
+from dnsloom.streaming.live import CLIENT_STATE, SIGHTING_STATE, LiveDetection
 
 SETTINGS = DetectionSettings(
     burst_window_seconds=30, burst_unique_subdomain_threshold=4, z_score_threshold=1.0
@@ -96,6 +96,19 @@ def test_state_forgets_the_past(spark, rules):
     assert sorted(r.subdomain for r in sightings.collect()) == ["s0", "s1"]
 
 
+def test_domains_seen_once_are_let_go(spark, rules):
+    live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS, idle_seconds=100)
+    sizes = []
+    for batch in range(3):
+        rows = [
+            {"query": f"a.d{batch}x{i}.com.", "ts_us": batch * 10_000_000_000 + i, "seq": batch * 50 + i}
+            for i in range(50)
+        ]
+        live.process(raw_rows(spark, rows), batch)
+        sizes.append(live._state("sightings", SIGHTING_STATE, batch).count())
+    assert sizes == [50, 50, 50]
+
+
 def test_enrichment_alerts_and_forwarding(spark, rules, tmp_path):
     raw = traffic(spark, 90)
     verdicts = spark.createDataFrame([("hot.com", True, "urlhaus", "1 URL", 1.0)], VERDICT_TABLE_SCHEMA)
