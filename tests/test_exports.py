@@ -104,8 +104,8 @@ def test_report_blocks(spark, tmp_path):
     records = record_rows(spark, [{"entropy": 3.25, "entropy_z_score": 1.5}, {"entropy": 2.0}])
     first, second = by_seq(exports.report_blocks(records))
     assert first.block.splitlines()[:4] == [
-        "Query: example.com.",
-        "Source: 10.0.0.1 -> Destination: 8.8.8.8",
+        "Query: shop.test.",
+        "Source: 192.0.2.7 -> Destination: 198.51.100.53",
         "Entropy: 3.2500 (z-score: 1.50)",
         "Flags:",
     ]

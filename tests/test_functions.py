@@ -23,8 +23,9 @@ def test_opcode_and_rcode_names(spark):
     named = rows.select("seq", flag_names().alias("f")).orderBy("seq")
     flags = [r.f for r in named.collect()]
     opcodes = ["QUERY", "IQUERY", "STATUS", "RESERVED", "NOTIFY", "UPDATE", "DSO"]
-    rcodes = ["NOERROR", "FORMERR", "SERVFAIL", "NXDOMAIN", "NOTIMP", "REFUSED", "YXDOMAIN"]
-    rcodes += ["YXRRSET", "NXRRSET", "NOTAUTH", "NOTZONE"]
+    # Response code names.
+    rcodes = "NOERROR FORMERR SERVFAIL NXDOMAIN NOTIMP REFUSED YXDOMAIN YXRRSET NXRRSET NOTAUTH NOTZONE"
+    rcodes = rcodes.split()
     assert [f.opcode for f in flags] == opcodes + [f"UNKNOWN({i})" for i in range(7, 16)]
     assert [f.rcode for f in flags] == rcodes + [f"UNKNOWN({i})" for i in range(11, 16)]
 
