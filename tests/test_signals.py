@@ -36,8 +36,8 @@ def test_host_baselines(spark):
     baselines = signals.host_baselines(record_rows(spark, rows), 5).orderBy("source_ip").collect()
     assert [(b.source_ip, b.sample_count) for b in baselines] == [("10.0.0.3", 6), ("192.0.2.7", 5)]
     assert baselines[1].mean == pytest.approx(1.8)
-    assert baselines[0].stdev == pytest.approx(statistics.pstdev([1, 2, 3, 2, 1]))
-    assert baselines[1].stdev == 0.0
+    assert baselines[1].stdev == pytest.approx(statistics.pstdev([1, 2, 3, 2, 1]))
+    assert baselines[0].stdev == 0.0
 
 
 def subs(n, ts_us, start=0, **more):
