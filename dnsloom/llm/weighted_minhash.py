@@ -11,9 +11,12 @@ similarity. Bands of samples put texts into buckets; candidates are verified by
 weighted Jaccard similarity, links make components, and the smallest id of each stays.
 
 Texts with equal words are one class first. In a bucket every class is compared with the least
-one. Where that leaves several components, small buckets compare all classes of different
-components, and large ones compare the classes outside their largest component with all, a few
-at a time: no link is left out, and no step makes more than `heads` pairs per row.
+one. Where that leaves several components, a small bucket compares all classes of different
+components. Crowded ones (texts that have a common passage, and little else, in common) are
+split by rare shingles: of two texts as alike as wanted, the rarest shingles that make up a fifth
+(1 - similarity) of their weights must have one in common. What is still crowded then compares
+the classes outside its largest component with all, a few at a time. No step makes more than
+`heads` or `small` pairs per row, and none leaves out a link.
 
 Nulls and texts without words link with nothing and stay, rows without an id too (their class
 is null). Rows that repeat an id are one document. Extra columns are ignored; an empty table
@@ -46,8 +49,8 @@ _CHUNK = 4096
 class MinHashSettings:
     """words: of a shingle. similarity: least one of a link. bands, rows: of the samples; at
     similarity 0.8 a pair is missed with a chance of (1 - 0.8 ** rows) ** bands, 0.0006.
-    cells, rare: see above. small: a bucket up to this size compares all at once; heads: a larger
-    one compares so many classes with the rest at a time."""
+    cells, rare: see above. small: a bucket up to this size compares all at once; heads: a
+    crowded one compares so many classes with the rest at a time."""
 
     words: int = 5
     similarity: float = 0.8
@@ -55,8 +58,8 @@ class MinHashSettings:
     rows: int = 4
     cells: int = 1 << 20
     rare: float = 0.005
-    small: int = 32
-    heads: int = 16
+    small: int = 12
+    heads: int = 64
 
 
 def shingles(texts: Sequence[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,9 +249,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, s: MinHashSettings) -> Da
     return joined.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
-def _further_pairs(members: DataFrame, parts: DataFrame, s: MinHashSettings) -> DataFrame:
-    """For buckets that hold several components: pairs of members of different ones that are
-    still to be compared. `members` has (bucket, node, done): done heads are compared already."""
+def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members (bucket, node, done) of buckets that hold several components, with the node's
+    component, the bucket's size and its largest component."""
     placed = members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     sizes = placed.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
     whole = sizes.groupBy("bucket").agg(
@@ -256,7 +259,50 @@ def _further_pairs(members: DataFrame, parts: DataFrame, s: MinHashSettings) ->
         F.max(F.struct("n", "part"))["part"].alias("largest"),
         F.count(F.lit(1)).alias("parts"),
     )
-    return placed.join(whole.where("parts > 1"), "bucket")
+    return placed.join(whole.where("parts > 1").drop("parts"), "bucket")
+
+
+def _crossing(asking: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of an asking row and a member of its bucket in another component; without
+    `members` all ask, and each pair is made once."""
+    apart = "x_part != y_part" if members is not None else "x_part != y_part AND x < y"
+    members = asking if members is None else members
+    one = asking.select("bucket", F.col("node").alias("x"), F.col("part").alias("x_part"))
+    two = members.select("bucket", F.col("node").alias("y"), F.col("part").alias("y_part"))
+    pairs = one.join(two, "bucket").where(apart)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def rarest(keys: np.ndarray, weight: np.ndarray, df: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles of a text, until what is left weighs less than `least` of it."""
+    order = np.lexsort([keys, df])
+    before = np.cumsum(weight[order], dtype=np.float64) - weight[order]
+    return keys[order][before <= (1 - least) * weight.sum(dtype=np.float64) * (1 + 1e-6)]
+
+
+def _split(crowded: DataFrame, texts: DataFrame, shared, s: MinHashSettings) -> DataFrame:
+    """Members (bucket, node, done) of the buckets of rare shingles that members of crowded
+    buckets fall into. `shared` holds the inverse frequencies and the counts they come from."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        idf, found = shared.value
+        for batch in batches:
+            rows = batch["text"].tolist()
+            for a, b in _parts(rows):
+                owner, keys, weight = weights(rows[a:b], idf, s)
+                bound = np.searchsorted(owner, np.arange(b - a + 1))
+                df = found[_cell(keys, len(idf))]
+                parts = [slice(bound[i], bound[i + 1]) for i in range(b - a)]
+                chosen = [rarest(keys[x], weight[x], df[x], s.similarity) for x in parts]
+                node = np.repeat(batch["node"].to_numpy()[a:b], [len(x) for x in chosen])
+                bucket = np.concatenate([*chosen, np.zeros(0, np.uint64)]).view(np.int64)
+                yield pd.DataFrame({"bucket": bucket, "node": node, "done": False})
+
+    wanted = texts.join(crowded.select("node").distinct(), "node", "left_semi")
+    split = wanted.mapInPandas(run, "bucket long, node long, done boolean")
+    split = stage(split, "rarest").df
+    sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return split.join(sizes.select("bucket"), "bucket", "left_semi")
 
 
 def near_duplicates(
@@ -271,6 +317,7 @@ def near_duplicates(
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found, n = document_frequency(given, s)
     idf = spark.sparkContext.broadcast(inverse_frequency(found, n, s))
+    counted = spark.sparkContext.broadcast((idf.value, found))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -306,35 +353,36 @@ def near_duplicates(
     texts = stage(texts.agg(F.min("text").alias("text")), "suspects").df
     pairs = members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = stage(_verified(pairs.distinct(), texts, idf, s), "verified").df
-    compared = members.select("bucket", "node", (F.col("node") == F.col("head")).alias("done"))
     parts = components(links, "a", "b").withColumnsRenamed({"component": "part"})
 
+    done = (F.col("node") == F.col("head")).alias("done")
+    state = stage(_open(members.select("bucket", "node", done), parts), "open").df
+    crowded = state.where(F.col("size") > s.small)
+    inner = stage(_open(_split(crowded, texts, counted, s), parts), "split").df
+    fits = F.col("size") <= s.small
+    small = state.where(fits).select("bucket", "node", "part")
+    small = small.union(inner.where(fits).select("bucket", "node", "part"))
+    pairs = _crossing(small)
+    state = stage(inner.where(~fits), "crowded")
     while True:
-        state = stage(_further_pairs(compared, parts, s), "open").df
         order = Window.partitionBy("bucket").orderBy("part", "node")
-        small = state.where(F.col("size") <= s.small)
-        outside = state.where((F.col("size") > s.small) & ~F.col("done") & (F.col("part") != F.col("largest")))
-        asked = outside.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= s.heads)
-        asked = asked.select("bucket", "node")
-        askers = small.where("not done").select("bucket", "node").union(asked)
-        one, two = askers.withColumnRenamed("node", "x"), state.withColumnRenamed("node", "y")
-        mine = state.select("bucket", F.col("node").alias("x"), F.col("part").alias("x_part"))
-        crossing = (
-            one.join(mine, ["bucket", "x"])
-            .join(two.where("not done"), "bucket")
-            .where("x_part != part")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-        )
+        outside = state.df.where(~F.col("done") & (F.col("part") != F.col("largest")))
+        asking = outside.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= s.heads)
+        crossing = pairs.union(_crossing(asking, state.df.where("not done"))).distinct()
         crossing = stage(crossing, "crossing")
         if not crossing.rows:
             break
-        more = stage(_verified(crossing.df, texts, idf, s), "verified").df
-        links = links.union(more)
-        parts = components(links, "a", "b").withColumnsRenamed({"component": "part"})
-        finished = askers.withColumn("now", F.lit(True))
-        rest = state.select("bucket", "node", "done").join(finished, ["bucket", "node"], "left")
-        compared = rest.select("bucket", "node", (F.col("done") | F.col("now").isNotNull()).alias("done"))
+        more = stage(_verified(crossing.df, texts, idf, s), "verified")
+        if more.rows:
+            links = links.union(more.df)
+            parts = components(links, "a", "b").withColumnsRenamed({"component": "part"})
+        if not state.rows:
+            break
+        now = asking.select("bucket", "node", F.lit(True).alias("now"))
+        rest = state.df.join(now, ["bucket", "node"], "left").select(
+            "bucket", "node", (F.col("done") | F.col("now").isNotNull()).alias("done")
+        )
+        state, pairs = stage(_open(rest, parts), "crowded"), pairs.limit(0)
 
     known = (
         signed.join(classes.select("print", "node"), "print", "left")
