@@ -52,11 +52,11 @@ class LmSettings:
     state: int = 24
     rounds: int = 3
     slice_part: int = 20
-    lanes: int = 32
+    lanes: int = 64
     window: int = 16
     least_updates: int = 120
     rate: float = 0.01
-    scoring_lanes: int = 512
+    scoring_lanes: int = 1024
     scoring_window: int = 32
     frequent: int = 1 << 20
 
@@ -302,7 +302,7 @@ class Network:
                 g["symbol_bias"][c] += chance.sum(axis=0)
                 back[at] += chance @ w["to_symbol"][c].T
         back = back.reshape(states.shape)
-        later = np.zeros_like(states[0])
+        later, entered = np.zeros_like(states[0]), []
         for t in range(len(symbols) - 1, -1, -1):
             z, r, q, n = saved[t]
             before = states[t]
@@ -312,9 +312,13 @@ class Network:
             inner = np.concatenate([to_z, to_r, to_n * r], axis=1)
             g["carry"] += before.T @ inner
             g["carry_bias"] += inner.sum(axis=0)
-            np.add.at(g["enter"], symbols[t], np.concatenate([to_z, to_r, to_n], axis=1))
+            entered.append(np.concatenate([to_z, to_r, to_n], axis=1))
             later = later * z + inner @ w["carry"].T + back[t]
             later[fresh[t]] = 0
+        used = symbols[::-1].ravel()
+        order = np.argsort(used, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(used[order]) != 0))
+        g["enter"][used[order][first]] = np.add.reduceat(np.concatenate(entered)[order], first)
         return np.concatenate([x.ravel() for x in g.values()]), last
 
 
