@@ -29,7 +29,7 @@ def smallest_sample(labels: DataFrame, key: str, rows: int, seed: int) -> DataFr
     return labels.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 32)) < share)
 
 
-def pieces_of(texts: Sequence[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def pieces_of(texts: Sequence[str | None], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of `texts` with about `most` characters each (one text at least)."""
     start, size = 0, 0
     for i, text in enumerate(texts):

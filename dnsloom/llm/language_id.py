@@ -140,7 +140,7 @@ def count_trigrams(labelled: DataFrame, lang_col: str, text_col: str) -> DataFra
         for batch in batches:
             for lang, rows in batch.groupby("lang"):
                 texts = rows["text"].tolist()
-                for a, b in pieces_of(texts, 8_000_000):
+                for a, b in pieces_of(texts, 4_000_000):
                     keys, which, _ = trigrams(texts[a:b])
                     n = np.bincount(which, minlength=len(keys))
                     name = np.full(len(keys), lang, object)

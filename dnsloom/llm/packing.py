@@ -34,7 +34,7 @@ class PackSettings:
     length: int = 2048
     end_id: int = 1
     group_pieces: int = 8192
-    cached_words: int = 800_000
+    cached_words: int = 300_000
 
 
 class RoomTree:
@@ -171,7 +171,7 @@ def token_pieces(
         encoder = WordEncoder.of(tokenizer, settings.cached_words)
         for batch in batches:
             texts = [text or "" for text in batch[text_col]]
-            for a, b in pieces_of(texts, 2_000_000):
+            for a, b in pieces_of(texts):
                 rows, ids = [], []
                 for row, found in enumerate(encoder.encode(texts[a:b]), a):
                     data = found + end

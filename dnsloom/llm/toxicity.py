@@ -183,7 +183,7 @@ def _symbol_of(char: str) -> int:
     return int(_symbols(np.array([ord(char)]))[0])
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def _restore_cached(key: int, span: str) -> str:
     return _decoders[key].search(span)
 
