@@ -19,6 +19,13 @@ from dnsloom.operators.staging import stage
 # A text whose best language explains less than this share of its letters is no known language.
 LEAST_LANGUAGE_SCORE = 0.25
 LEAST_TOXIC_SCORE = 0.5
+# Most texts that a Python worker is handed at once: texts may be long, and the workers of
+# several stages share an executor's memory. Set for the session, as plans read it when they run.
+TEXTS_PER_BATCH = 2000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The filter is learned from this stage's own input, outside the held-out fold. Without a
     row to learn from there is no known language, and nothing is rejected.
     """
+    _short_batches(spark)
     model = language_id.train(docs.where(id_remainder("doc_id", 5) != 0))
     if not model.languages:
         return docs
@@ -37,6 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects toxic documents."""
+    _short_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
     return docs.where(toxicity.toxicity_of(spark, model, F.col("text")) < LEAST_TOXIC_SCORE)
@@ -47,6 +56,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat an id are one document; rows without an id are all kept.
     """
+    _short_batches(spark)
     found = weighted_minhash.near_duplicates(docs)
     kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
     named = docs.join(kept.distinct(), F.col("doc_id") == F.col("__kept"), "left_semi")
@@ -57,6 +67,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces in sequences of at most 2048 tokens."""
     import public_tokenizers
 
+    _short_batches(spark)
     settings = packing.PackSettings()
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(packing.token_pieces(docs, tokenizer, settings), settings)
