@@ -1,6 +1,7 @@
 """Near duplicates among embeddings by a pivot-permutation index.
 
-Per label a bounded sample of vectors serves as reference points (pivots). A vector is described
+Per label a bounded sample of vectors, thinned so that no two are close, serves as reference points
+(pivots); a dense group thus shares its pivots however large it is. A vector is described
 by its nearest pivots in order. Each pivot has an inverted list of the vectors that name it;
 vectors that share enough pivots are candidates, and candidates are verified by their cosine
 in double precision. A pair that shares several pivots is looked at in the list of the first.
@@ -31,7 +32,7 @@ from dnsloom.operators.staging import stage
 @dataclass(frozen=True)
 class PivotSettings:
     """least_cosine: of a link. rows_per_pivot, least_pivots, most_pivots: size of a label's
-    sample of pivots. prefix: pivots that describe a vector. shared: pivots that candidates
+    sample of pivots. apart: pivots have a smaller cosine. prefix: pivots that describe a vector. shared: pivots that candidates
     have in common. block, chunk: most rows (on average) that a task holds of a list or label.
     """
 
@@ -39,6 +40,7 @@ class PivotSettings:
     rows_per_pivot: int = 8
     least_pivots: int = 64
     most_pivots: int = 4096
+    apart: float = 0.8
     prefix: int = 10
     shared: int = 2
     block: int = 1024
@@ -58,6 +60,22 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _thin(apart: float):
+    """The pivots of one label that are not close to one kept before them."""
+
+    def run(pivots: pd.DataFrame) -> pd.DataFrame:
+        pivots = pivots.sort_values("rep")
+        unit, kept = _unit(pivots["vec"]), []
+        near = np.zeros(len(unit), bool)
+        for i in range(len(unit)):
+            if not near[i]:
+                kept.append(i)
+                near[i + 1 :] |= unit[i + 1 :] @ unit[i] >= apart
+        return pivots.iloc[kept]
+
+    return run
+
+
 def _describe(prefix: int):
     """Cogrouped rows and pivots of one chunk: each row's nearest pivots, nearest first."""
 
@@ -156,9 +174,11 @@ def near_duplicates(
     )
     chunks = F.ceil(F.col("rows") / s.chunk).cast("int")
     hashed = F.pmod(F.xxhash64("rep", F.lit(17)), F.lit(1 << 31))
+    sampled = sized.where(hashed < pivots_wanted / F.col("rows") * (1 << 31))
+    sampled = sampled.select("label", "dims", "rows", "rep", "vec")
+    thinned = sampled.groupBy("label", "dims").applyInPandas(_thin(s.apart), sampled.schema)
     pivots = (
-        sized.where(hashed < pivots_wanted / F.col("rows") * (1 << 31))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        thinned.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
         .select(*(F.col(c).alias(f"pivot_{c}") for c in ("label", "dims", "chunk", "rep", "vec")))
     )
     chunked = sized.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(3)), chunks).cast("int"))

@@ -121,3 +121,18 @@ def test_components_of_chains_and_stars(spark):
     for part in (nodes[:100], nodes[100:200], nodes[200:250]):
         assert {got[n] for n in part} == {min(part)}
     assert components(df.where("a < 0"), "a", "b").count() == 0
+
+
+@pytest.mark.parametrize(("size", "group"), [(3000, 1000), (6000, 2000)])
+def test_distinct_near_copies_are_a_third_of_a_label(spark, size, group):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(size, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:group] = x[0] + 0.2 * x[:group]
+    rows = [(i, [float(np.float32(c)) for c in v], 1) for i, v in enumerate(x)]
+    found = pivot_dedup.near_duplicates(frame(spark, rows)).collect()
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in found)
+    want = brute_force(rows)
+    assert sum(w[1] for w in want) > 0.9 * group * (group - 1)
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    assert sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want)
