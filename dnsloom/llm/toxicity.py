@@ -8,7 +8,9 @@ labelled documents show to be toxic; each one found is taken as a cause of its o
 
 The channel: a text position that is a letter stands for itself; a run of two may be one, a run
 of three or more is one or two; a look-alike stands for each of its letters or ends the word; any
-other mark is skipped or ends the word. Only spans with more than one reading are decoded.
+other mark is skipped or ends the word. Only spans with more than one reading are decoded; the
+words as written count as well. Letters are set apart by any blanks, and marks may stand around
+them.
 
 Nulls and empty texts have no evidence and get the lowest score. Without toxic labels every
 score is low. Rows are scored one by one: repeated rows and extra columns change nothing.
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import code_points, labelled_sample, letter_table, pieces_of
+from dnsloom.llm.common import blank_table, code_points, labelled_sample, letter_table, pieces_of
 from dnsloom.operators.staging import stage
 
 # Look-alikes of letters.
@@ -53,9 +55,14 @@ _LATIN = [*range(ord("a"), ord("z") + 1), *range(0xDF, 0x100)]
 _EDGE, _OTHER = 0, len(_LATIN) + 1
 SYMBOLS = len(_LATIN) + 2
 _WORD = re.compile(r"[^\W\d_]+")
-_STRETCHED = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+_SPACED = re.compile(r"(?<!\S)[^\w\s]*?(\S(?:\s+\S){2,})[^\w\s]*(?!\S)")
+_BLANKS = re.compile(r"\s+")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+# Marks that hardly ever end a sentence: at a word's edge they are read as their letter as well.
+_EDGE_LETTERS = str.maketrans({"@": "a", "$": "s", "+": "t", "€": "e"})
+_MARKS = "".join(re.escape(c) for c in LOOK_ALIKES if not c.isalnum())
+_OUTER_MARKS = re.compile(rf"^(?:(?![{_MARKS}])[\W_])+|(?:(?![{_MARKS}])[\W_])+$")
 _BEGINNINGS = (3, 4, 5, 6)
 _CAUTION = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0)
 _UNSEEN = 0.01
@@ -200,34 +207,34 @@ def _restored(restorer: Restorer, span: str) -> str:
     return _restore_cached(key, span)
 
 
+@lru_cache(maxsize=20_000)
+def _spans_of(token: str) -> tuple[str, ...]:
+    """The spans of one lower-case token that have more than one reading."""
+    if token.isalpha():
+        return (token,) if _DOUBLED.search(token) else ()
+    inner = _OUTER.sub("", token)
+    if not inner:
+        return ()
+    if not inner.isalpha():
+        return (token,) if _WORD.search(token) else ()
+    spans = {inner} if _DOUBLED.search(inner) else set()
+    marked = _OUTER_MARKS.sub("", token)
+    if marked != inner and not (marked == "(" + inner and ")" in token):
+        spans |= {marked, marked.translate(_EDGE_LETTERS)}
+    return tuple(sorted(spans))
+
+
 def noisy_spans(texts: Sequence[str]) -> list[list[str]]:
     """Of each lower-case text, the spans that have more than one reading."""
     codes, starts = code_points(texts)
-    out = []
-    letter = letter_table()[codes]
-    triple = letter[2:] & (codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2])
-    space = codes == 32
-    apart = (
-        space[1:-3] & ~space[2:-2] & space[3:-1] & ~space[4:]
-        if len(codes) > 4
-        else np.zeros(0, bool)
-    )
-    stretched = np.bincount(np.searchsorted(starts, np.flatnonzero(triple), "right") - 1, minlength=len(texts))
+    blank = blank_table()[codes]
+    apart = blank[:-2] & ~blank[1:-1] & blank[2:]
     spaced = np.bincount(np.searchsorted(starts, np.flatnonzero(apart) + 1, "right") - 1, minlength=len(texts))
-    for text, long_run, single in zip(texts, stretched.tolist(), spaced.tolist(), strict=True):
-        spans = []
-        for token in set(text.split()):
-            if token.isalpha():
-                if long_run and _STRETCHED.search(token):
-                    spans.append(token)
-                continue
-            inner = _OUTER.sub("", token)
-            if inner and not inner.isalpha() and _WORD.search(token):
-                spans.append(token)
-            elif inner != token and token[0] in LOOK_ALIKES and inner:
-                spans.append(token)
+    out = []
+    for text, single in zip(texts, spaced.tolist(), strict=True):
+        spans = [span for token in set(text.split()) for span in _spans_of(token)]
         if single:
-            spans += [m.group().replace(" ", "·") for m in _SPACED.finditer(text)]
+            spans += [_BLANKS.sub("·", m.group(1)) for m in _SPACED.finditer(text)]
         out.append(spans)
     return out
 

@@ -90,3 +90,36 @@ def test_messy_rows(spark, messy, messy_rows, no_rows, labels):
     nothing = toxicity.train(no_rows, labels.where("doc_id < 0"))
     assert np.all(nothing.score(["the scum", None, ""]) < 0.5)
     assert no_rows.select(toxicity.toxicity_of(spark, learned, no_rows["text"])).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("stuuuupid. x", ["stuuuupid"]),
+        ("so stuuuupid, x", ["stuuuupid"]),
+        ("a dumba$$", ["dumba$$", "dumbass"]),
+        ("l o s e r.", ["l·o·s·e·r"]),
+        ('you "l o s e r", x', ["l·o·s·e·r"]),
+        ("l  o   s  e  r", ["l·o·s·e·r"]),
+        ("l\to\ts\te\tr", ["l·o·s·e·r"]),
+        ("a stuupid one", ["stuupid"]),
+    ],
+)
+def test_spans_beside_marks_and_blanks(text, spans):
+    assert sorted(toxicity.noisy_spans([text])[0]) == spans
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "the scuuuum. of it",
+        "the scuuuum, of it",
+        "the idio+ of it",
+        "of it: l o s e r.",
+        "of it: l  o  s  e  r",
+        "of it: l\to\ts\te\tr",
+        "the scuum of it",
+    ],
+)
+def test_sentences_with_obfuscated_words(model, text):
+    assert model.score([text])[0] >= 0.5
