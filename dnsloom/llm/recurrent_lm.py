@@ -7,8 +7,8 @@ proper probability, and the words' counts cover the whole training corpus.
 
 The network is a gated recurrent unit whose output is factored into classes of symbols: the class
 first, then the symbol within it. It starts from the symbols' counted shares and is trained by
-truncated backpropagation in numpy: in each round every task trains on its share of a slice of
-the corpus, and the weights are averaged. What is read and trained on grows with the corpus.
+truncated backpropagation in numpy: in each round every task trains on its share of the round's
+documents, and the weights are averaged. Over the rounds every training document is learned from.
 
 Scoring runs many documents side by side; a lane takes the next document when one ends, and the
 state is carried from window to window through the whole document.
@@ -40,8 +40,9 @@ _END_ID = int(END)
 @dataclass(frozen=True)
 class LmSettings:
     """classes, per_class: output factoring (their product is the number of symbols). rare:
-    symbols for other words. state: size of the network's state. rounds, slice_part: each
-    round trains on one document in `slice_part`. lanes, window: documents side by side and
+    symbols for other words. state: size of the network's state. rounds, slice_part:
+    documents are dealt into `slice_part` slices (at least `rounds`) and the slices into rounds in
+    turn, so each document belongs to one round. lanes, window: documents side by side and
     steps of a backpropagation. least_updates: per task and round, repeating its documents if
     needed. frequent: tokens with at least 1 / frequent of all tokens are looked up in a table
     that every task gets (so it has at most that many rows), others by a join."""
@@ -412,8 +413,13 @@ def _symbols_of_batch(texts: Sequence[str | None], words: Lexicon, s: LmSettings
     return np.concatenate(symbols), np.concatenate(lengths)
 
 
+def turn_of(id_col: str, s: LmSettings) -> Column:
+    """The round (from 0) that trains on a document."""
+    return F.pmod(F.pmod(F.xxhash64(id_col, F.lit(0)), F.lit(s.slice_part)), F.lit(s.rounds))
+
+
 def train(docs: DataFrame, words: Lexicon, s: LmSettings, id_col: str = "doc_id") -> Network:
-    """The network, trained in rounds over slices of `docs` and averaged after each."""
+    """The network, trained in rounds that share out all of `docs` and averaged after each."""
     spark = docs.sparkSession
     network = Network(s, words.shares)
     known = spark.sparkContext.broadcast(words)
@@ -445,9 +451,8 @@ def train(docs: DataFrame, words: Lexicon, s: LmSettings, id_col: str = "doc_id"
                 }
             )
 
-        chosen = F.pmod(F.xxhash64(id_col, F.lit(turn)), F.lit(s.slice_part)) == 0
         schema = "part long, tokens double, weights binary"
-        trained = docs.where(chosen).select("text").mapInPandas(run, schema)
+        trained = docs.where(turn_of(id_col, s) == turn).select("text").mapInPandas(run, schema)
         for _ in range(2):
             trained = trained.groupBy(F.floor(F.col("part") / 64)).applyInPandas(add, schema)
         rows = trained.toPandas().sort_values("part")

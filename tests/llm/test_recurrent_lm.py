@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dnsloom.llm import queries
 from dnsloom.llm import recurrent_lm as lm
@@ -113,3 +114,13 @@ def test_empty_tables(spark, messy, no_rows):
 def test_better_than_single_tokens_on_held_out_texts(spark):
     rows = queries.op4_recurrent_lm(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
     assert (rows["score"] > rows["base_score"]).mean() > 0.9
+
+
+def test_every_slice_is_learned_from(spark):
+    s = lm.LmSettings(rounds=1, least_updates=5)
+    docs = spark.range(200).select("id", F.lit("the cat sat on the mat").alias("text"))
+    words = lm.lexicon(lm.count_tokens(docs, s), s)
+    left_out = docs.where(F.pmod(F.xxhash64("id", F.lit(0)), F.lit(s.slice_part)) != 0)
+    assert np.abs(lm.train(left_out, words, s, "id").flat - lm.Network(s, words.shares).flat).max() > 0
+    dealt = spark.range(2000).select(lm.turn_of("id", lm.LmSettings()).alias("turn")).groupBy("turn").count()
+    assert {r.turn for r in dealt.collect()} == set(range(lm.LmSettings().rounds))
