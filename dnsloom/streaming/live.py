@@ -9,8 +9,10 @@ again after a failure thus reads the same state and overwrites the same files: e
 record comes out exactly once, and nothing depends on a machine that may be gone.
 
 A client or domain with more than `group_rows` rows in a micro-batch is cut into time chunks
-like in a stored table. Sightings that left the stream's window are let go, so the domain table
-holds one window of names, and clients are let go after `idle_seconds`.
+like in a stored table. A domain's sightings that left its own window are let go; clients and
+domains are let go only after `idle_seconds`, if that is set. The time this is counted from is the
+middle one of the clients' last times and the arriving rows' times: no single record moves it, and
+where many clients lag it is theirs.
 """
 
 from __future__ import annotations
@@ -56,8 +58,14 @@ def client_totals(records: DataFrame) -> DataFrame:
     )
 
 
-def merge_client_state(old: DataFrame, new: DataFrame, idle_us: int | None) -> DataFrame:
-    """Client state after a micro-batch; clients idle for longer than `idle_us` are let go."""
+def stream_time(clients: DataFrame, records: DataFrame) -> int | None:
+    """The middle one of the clients' last times and the times of the arriving rows."""
+    times = clients.select(F.col("seen_us").alias("at")).unionByName(records.select(F.col("ts_us").alias("at")))
+    return times.agg(F.percentile_approx("at", 0.5, 10_000).alias("at")).head()["at"]
+
+
+def merge_client_state(old: DataFrame, new: DataFrame, oldest_us: int | None) -> DataFrame:
+    """Client state after a micro-batch; clients last seen before `oldest_us` are let go."""
     keys = ["side", "client"]
     fresh = new.withColumnsRenamed({c: f"new_{c}" for c in new.columns if c not in keys})
     merged = old.drop("batch").join(fresh, keys, "full_outer")
@@ -71,17 +79,19 @@ def merge_client_state(old: DataFrame, new: DataFrame, idle_us: int | None) -> D
         *[expr.alias(name) for name, expr in (moments | counts).items()],
         F.greatest("seen_us", "new_seen_us").alias("seen_us"),
     )
-    if idle_us is None:
-        return merged
-    newest = merged.agg(F.max("seen_us").alias("at")).scalar()
-    return merged.where(F.col("seen_us") >= newest - idle_us)
+    return merged if oldest_us is None else merged.where(F.col("seen_us") >= oldest_us)
 
 
 def merge_sighting_state(
-    old: DataFrame, records: DataFrame, window_us: int, scale: ScaleSettings, late_us: int = 0
+    old: DataFrame,
+    records: DataFrame,
+    window_us: int,
+    scale: ScaleSettings,
+    late_us: int = 0,
+    oldest_us: int | None = None,
 ) -> DataFrame:
-    """Latest sighting per (domain, subdomain), without those that left their domain's window
-    or, by more than `late_us`, the stream's: a domain that is not seen again is let go."""
+    """Latest sighting per (domain, subdomain), without those that left their domain's window by
+    more than `late_us`; domains last seen before `oldest_us` are let go."""
     keys = ["registrable_domain", "subdomain"]
     recent = burst_sightings(records).groupBy(*keys).agg(F.max("ts_us").alias("ts_us"))
     latest = (
@@ -102,9 +112,10 @@ def merge_sighting_state(
         weight="names",
         label="newest-sightings",
     )
-    stream_us = latest.agg(F.max("ts_us").alias("at")).scalar()
-    recent_us = F.greatest(F.col("newest_us"), stream_us - F.lit(late_us)) - window_us
-    return dated.where(F.col("ts_us") >= recent_us).drop("names", "newest_us")
+    kept = dated.where(F.col("ts_us") >= F.col("newest_us") - F.lit(window_us + late_us))
+    if oldest_us is not None:
+        kept = kept.where(F.col("newest_us") >= oldest_us)
+    return kept.drop("names", "newest_us")
 
 
 @dataclass(frozen=True)
@@ -126,7 +137,7 @@ class LiveDetection:
     forward: ForwardSettings | None = None
     forward_sender: Callable[[str], None] | None = None
     idle_seconds: float | None = None
-    # How much later than the newest record one may arrive and still find its domain's window.
+    # How much later than its domain's newest record one may arrive and still find its window.
     late_seconds: float = 0.0
 
     @property
@@ -177,11 +188,14 @@ class LiveDetection:
             finished = annotate_intel(finished, self.intel, self.scale, counted_on=parsed)
         exports.with_severity(finished).write.mode("overwrite").parquet(self._records_of(batch))
 
-        idle_us = None if self.idle_seconds is None else int(self.idle_seconds * 1_000_000)
-        self._save(merge_client_state(clients, client_totals(parsed), idle_us), "clients", batch)
+        oldest_us = None
+        if self.idle_seconds is not None:
+            at = stream_time(clients, parsed)
+            oldest_us = None if at is None else at - int(self.idle_seconds * 1_000_000)
+        self._save(merge_client_state(clients, client_totals(parsed), oldest_us), "clients", batch)
         window_us = self.settings.burst_window_us
         late_us = int(self.late_seconds * 1_000_000)
-        kept = merge_sighting_state(sightings, parsed, window_us, self.scale, late_us)
+        kept = merge_sighting_state(sightings, parsed, window_us, self.scale, late_us, oldest_us)
         self._save(kept, "sightings", batch)
 
     def _send(self, written: DataFrame) -> None:

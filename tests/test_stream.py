@@ -149,3 +149,29 @@ def test_nothing_arrives_nothing_is_written(spark, rules):
     live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS)
     live.start(stream_dns_log(spark, folder)).awaitTermination()
     assert not os.path.exists(live.records_path.removeprefix("file:"))
+
+
+@pytest.mark.parametrize("idle_seconds", [None, 100])
+def test_lagging_source_and_a_far_clock(spark, rules, idle_seconds):
+    batches = []
+    for batch in range(4):
+        at = 1_700_000_000_000_000 + batch * 5_000_000
+        rows = [{"source_ip": f"10.0.{i}.1", "query": f"s{batch}x{i}.a.com.", "ts_us": at + i} for i in range(2)]
+        rows += [
+            {"source_ip": f"10.1.{i}.1", "query": f"s{batch}x{i}.b.com.", "ts_us": at - 40_000_000 + i}
+            for i in range(2)
+        ]
+        batches.append(rows)
+    batches[1].append({"source_ip": "10.2.0.1", "query": "x.far.com.", "ts_us": 1_900_000_000_000_000})
+    rows = [row for batch in batches for row in batch]
+    raw = raw_rows(spark, [{**row, "seq": k} for k, row in enumerate(rows)]).cache()
+    live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS, idle_seconds=idle_seconds)
+    low = 0
+    for number, batch in enumerate(batches):
+        live.process(raw.where((F.col("seq") >= low) & (F.col("seq") < low + len(batch))), number)
+        low += len(batch)
+    bursts = ["seq", "subdomain_burst", "subdomain_burst_unique_count"]
+    expected = live_detection(build_records(raw, rules, SETTINGS), SETTINGS)
+    assert by_seq(live.output().select(*bursts)) == by_seq(expected.select(*bursts))
+    for domain in ("a.com", "b.com"):
+        assert expected.where(F.col("subdomain_burst") & (F.col("registrable_domain") == domain)).count() > 3
