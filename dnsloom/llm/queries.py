@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dnsloom.llm import (
+    blocked_search,
     byte_bpe,
     chat_format,
+    decontamination,
     exact_topk,
     language_id,
     packing,
     pivot_dedup,
+    prefix_trie,
     quality_trees,
     recurrent_lm,
     toxicity,
     weighted_minhash,
 )
 from dnsloom.llm.common import id_remainder
+from dnsloom.llm.oracle import ORACLE
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -124,6 +128,26 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces, settings)
 
 
+def op11_blocked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty best documents for each benchmark item."""
+    return blocked_search.ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of each document that lie in passages of ten words of a benchmark item."""
+    found = decontamination.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.withColumn("items_sha256", digest).drop("items")
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of all conversations, the first turns of each taken from its hundred's first."""
+    rows = _table(spark, folder, "conversations")
+    turns = prefix_trie.ordered_turns(rows, "conv_id", "turn", "role", "text")
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return prefix_trie.trie(prefix_trie.spliced(turns, F.col("conv") - F.col("conv") % 100, head))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -135,26 +159,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_weighted_minhash": op9_weighted_minhash,
     "op10_packing": op10_packing,
+    "op11_blocked_search": op11_blocked_search,
+    "op12_decontamination": op12_decontamination,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-# The other operators cannot be stated in SQL; tests hold them against brute force.
-ORACLE: dict[str, str] = {
-    "op5_exact_topk": """
-        WITH rows AS (
-            SELECT DISTINCT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
-            FROM embeddings
-            WHERE embedding IS NOT NULL
-              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
-        ), scored AS (
-            SELECT q.vec_id AS query_id, c.vec_id,
-                   CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-            FROM rows q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
-            WHERE q.vec_id % 100 = 0
-        ), ranked AS (
-            SELECT query_id, vec_id, score,
-                   CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
-            FROM scored
-        )
-        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
-    """,
-}
+__all__ = ["ORACLE", "QUERIES"]
