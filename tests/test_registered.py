@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -54,3 +56,20 @@ def test_query(spark, duck, name):
 def test_flagship(spark):
     result = driver.entry(spark)
     assert result.count() == 1000
+
+
+def test_entry_without_the_libraries_of_the_training_data_operators():
+    """A missing optional library takes its queries away, not the entry."""
+    script = (
+        "import sys\n"
+        "class Gone:\n"
+        "    def find_spec(self, name, path=None, target=None):\n"
+        "        if name.split('.')[0] in ('xxhash', 'regex', 'tokenizers') or name.startswith('dnsloom.llm'):\n"
+        "            raise ImportError(f'no {name}')\n"
+        "sys.meta_path.insert(0, Gone())\n"
+        "import __spark_entry__ as e\n"
+        "assert 'analyze' in e.queries() and not any(k.startswith('op') for k in e.queries())\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
