@@ -22,6 +22,8 @@ LEAST_TOXIC_SCORE = 0.5
 # Most texts that a Python worker is handed at once: texts may be long, and the workers of
 # several stages share an executor's memory. Set for the session, as plans read it when they run.
 TEXTS_PER_BATCH = 2000
+# Words that a packing worker keeps, for the same reason.
+CACHED_WORDS = 300_000
 
 
 def _short_batches(spark: SparkSession) -> None:
@@ -68,7 +70,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     _short_batches(spark)
-    settings = packing.PackSettings()
+    settings = packing.PackSettings(cached_words=CACHED_WORDS)
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack(packing.token_pieces(docs, tokenizer, settings), settings)
 
