@@ -34,7 +34,7 @@ class PackSettings:
     length: int = 2048
     end_id: int = 1
     group_pieces: int = 8192
-    cached_words: int = 300_000
+    cached_words: int = 800_000
 
 
 class RoomTree:
@@ -81,7 +81,8 @@ _tokenizers: dict = {}
 class WordEncoder:
     """Ids of texts by a tokenizer that folds case, drops white space and keeps runs of letters
     apart from marks: words are encoded once and kept. (Capital sigma folds by its context in
-    Python, so texts that hold one are folded by the tokenizer alone.)"""
+    Python, so texts that hold one are folded by the tokenizer alone.) A text that spells out a
+    special token is encoded as a whole, as only there it stands for that token's id."""
 
     def __init__(self, path: str, cached_words: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,6 +90,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.entries = max(1, cached_words // 2)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -102,6 +104,9 @@ class WordEncoder:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
+        whole = {i: self._whole(t) for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        if whole:
+            texts = ["" if i in whole else t for i, t in enumerate(texts)]
         if len(self.new) >= self.entries:
             self.old, self.new = self.new, {}
         known = self.new
@@ -122,7 +127,16 @@ class WordEncoder:
         self._look_up(list(rest), 1)
         for word in marked:
             known[word] = known[word[:-1]] + known[word[-1]]
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        found = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for i, ids in whole.items():
+            found[i] = ids
+        return found
+
+    def _whole(self, text: str) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.tokenizer.encode_special_tokens = True
+        return np.array(ids, "<u4").tobytes()
 
     def _missing(self, words: set[str]) -> list[str]:
         unknown = []

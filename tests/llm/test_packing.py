@@ -37,7 +37,8 @@ def test_words_encode_as_whole_texts_do(tokenizer):
     rng = random.Random(1)
     alphabet = "aAabcdeÉé éΣσςİ中😀ßñ     \n\n\t 　́123'sthe.ing!!\x1c\x85<|>"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(5000)]
-    texts += ["", " ", "the " * 3000, "x" * 3000]
+    texts += ["", " ", "the " * 3000, "x" * 3000, "<|endoftext|>", "a b<|endoftext|>c <|ENDOFTEXT|> d", "<|ENDOFTEXT|>"]
+    texts += ["the <|startoftext|> " * 50, "<|endoftext|"]
     for cached in (100, 100_000):
         encoder = packing.WordEncoder(PATH, cached)
         for start in range(0, len(texts), 500):
