@@ -40,7 +40,7 @@ class TopKSettings:
 def search_block(
     query: np.ndarray, own: int, ids: np.ndarray, columns: np.ndarray, norms: np.ndarray, s
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the best candidates for one query; columns are (dimension, candidate)."""
+    """(places, scores) of the best candidates for one query; columns are (dimension, candidate)."""
     order = np.argsort(-np.abs(query), kind="stable")
     rest = np.append(np.cumsum((query[order].astype(float) ** 2)[::-1])[::-1], 0.0)
     alive = np.flatnonzero(ids != own)
@@ -59,7 +59,7 @@ def search_block(
             stays = score + gain >= kth
             alive, score, left = alive[stays], score[stays], left[stays]
     best = np.lexsort((ids[alive], -score))[: s.k]
-    return ids[alive[best]], score[best]
+    return alive[best], score[best]
 
 
 def _search(s: TopKSettings):
@@ -68,11 +68,14 @@ def _search(s: TopKSettings):
         if len(queries) and len(rows):
             ids = rows["id"].to_numpy(np.int64)
             table = np.array(rows["vec"].tolist(), np.int64).reshape(len(rows), -1)
+            times = rows["times"].to_numpy(np.int64)
             norms = (table.astype(float) ** 2).sum(axis=1)
             columns = np.ascontiguousarray(table.T)
             for own, vector in zip(queries["asked"], queries["asked_vec"], strict=True):
                 best, score = search_block(np.array(vector, np.int64), own, ids, columns, norms, s)
-                found.append(pd.DataFrame({"query_id": own, "vec_id": best, "score": score}))
+                again = np.repeat(np.arange(len(best)), np.minimum(times[best], s.k))
+                columns_out = {"query_id": own, "vec_id": ids[best[again]], "score": score[again]}
+                found.append(pd.DataFrame(columns_out))
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(np.int64)
         return pd.concat(found, ignore_index=True) if found else empty
 
@@ -87,7 +90,11 @@ def top_k(
     vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, id, score): the best candidates of each query row, all rows being
-    candidates but the query's own."""
+    candidates but the query's own.
+
+    A row that repeats is stored once with its count and counts as often as it occurs; a query
+    that repeats is asked once, and rows with its id are its own.
+    """
     s = settings or TopKSettings()
     scaled = F.transform(vector_col, lambda x: F.floor(F.lit(s.scale) * x.cast("double")))
     rows = (
@@ -97,7 +104,8 @@ def top_k(
             scaled.alias("vec"),
             F.coalesce(is_query, F.lit(False)).alias("asks"),
         )
-        .distinct()
+        .groupBy("id", "vec", "asks")
+        .agg(F.count(F.lit(1)).alias("times"))
         .withColumn("dims", F.size("vec"))
     )
     staged = stage(rows, "vectors")
@@ -118,6 +126,7 @@ def top_k(
         F.pmod(place, F.lit(blocks)).cast("int").alias("block"),
         "id",
         "vec",
+        "times",
     )
     keys = ["dims", "query_block", "block"]
     found = (

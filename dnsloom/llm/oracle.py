@@ -5,14 +5,14 @@ from __future__ import annotations
 ORACLE: dict[str, str] = {
     "op5_exact_topk": """
         WITH rows AS (
-            SELECT DISTINCT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
+            SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
             FROM embeddings
             WHERE embedding IS NOT NULL
               AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
         ), scored AS (
             SELECT q.vec_id AS query_id, c.vec_id,
                    CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-            FROM rows q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            FROM (SELECT DISTINCT * FROM rows) q JOIN rows c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
             WHERE q.vec_id % 100 = 0
         ), ranked AS (
             SELECT query_id, vec_id, score,

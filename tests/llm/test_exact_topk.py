@@ -11,13 +11,13 @@ from dnsloom.llm import exact_topk, queries
 
 
 def brute_force(rows, k=10):
-    whole = {
+    whole = [
         (i, tuple(math.floor(1024 * float(np.float32(x))) for x in v))
         for i, v in rows
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
-    }
+    ]
     out = []
-    for i, q in whole:
+    for i, q in set(whole):
         if i % 100 == 0:
             scores = [
                 (-sum(a * b for a, b in zip(q, c, strict=True)), j)
@@ -70,3 +70,10 @@ def test_query_against_sql(spark):
     want = duck.execute(queries.ORACLE["op5_exact_topk"]).fetchall()
     got = [tuple(r) for r in queries.op5_exact_topk(spark, folder).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_rows_that_repeat_count_as_often(spark):
+    rows = [(i, [float(i), 1.0]) for i in (0, 1, 1, 2, 100)] + [(3, [5.0, 1.0])] * 30
+    found = run(spark, rows)
+    assert found == brute_force(rows)
+    assert [r[2] for r in found if r[0] == 100] == [3] * 10
