@@ -213,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: TreeSettings | None = No
 
     sample = labelled_sample(docs, labels, "quality", s.sample_rows, 5)
     fitted = sample.mapInPandas(run, "x array<float>, label int").toPandas()
-    order = np.lexsort([fitted["label"], *np.array(fitted["x"].tolist()).reshape(len(fitted), -1).T])
+    whole = np.array(fitted["x"].tolist()).reshape(len(fitted), len(STATISTICS))
+    order = np.lexsort([fitted["label"], *whole.T])
     fitted = fitted.iloc[order]
     x = np.array(fitted["x"].tolist(), np.float32).reshape(len(fitted), len(STATISTICS))
     return grow(x, fitted["label"].to_numpy(float), s)
