@@ -47,15 +47,15 @@ def brute(rows: list[tuple]) -> list[tuple]:
     return sorted(out, key=str)
 
 
-def run(spark, rows: list[tuple]):
+def run(spark, rows: list[tuple], **options):
     table = spark.createDataFrame([(*r, 1, "x") for r in rows], ROWS + ", depth int, path string")
-    return found(table)
+    return found(table, **options)
 
 
-def found(table):
+def found(table, **options):
     turns = prefix_trie.ordered_turns(table, "conv_id", "turn", "role", "text")
     head = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
-    nodes = prefix_trie.trie(prefix_trie.spliced(turns, F.col("conv") - F.col("conv") % 100, head))
+    nodes = prefix_trie.trie(prefix_trie.spliced(turns, F.col("conv") - F.col("conv") % 100, head), **options)
     return sorted((tuple(r) for r in nodes.collect()), key=str)
 
 
@@ -68,10 +68,21 @@ def conversations(rng: random.Random, n: int) -> list[tuple]:
     ]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, entries", [(1, 50_000), (2, 40), (3, 0)])
+def test_equals_brute_force(spark, seed, entries):
+    """In one round, in some, and depth by depth."""
     rows = conversations(random.Random(seed), 80)
+    assert run(spark, rows, entries=entries) == brute(rows)
+
+
+def test_long_conversations_take_few_rounds(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(c, t, "user", f"{c % 7} {t}" if t < 20 else rng.choice("ab")) for c in (1, 8, 15, 22) for t in range(60)]
+    rounds = []
+    peeled = prefix_trie._peeled
+    monkeypatch.setattr(prefix_trie, "_peeled", lambda *a: (rounds.append(1), peeled(*a))[1])
     assert run(spark, rows) == brute(rows)
+    assert len(rounds) == 1
 
 
 def test_messy_rows(spark):
