@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +85,36 @@ def fresh_verdicts(
     return joined.select("domain", chosen.alias("v")).select("domain", "v.*")
 
 
+def provider_hits(
+    *,
+    host_responses: DataFrame | None = None,
+    feed: DataFrame | None = None,
+    vendor_responses: DataFrame | None = None,
+    settings: IntelSettings | None = None,
+) -> DataFrame:
+    """domain, source, detail of every domain that a provider confirms: the first one that does.
+
+    For consumers whose domains are not known beforehand; `fresh_verdicts` gives the same for
+    domains that are.
+    """
+    settings = settings or IntelSettings()
+    hits = []
+    if settings.host_lookup_enabled and host_responses is not None:
+        hits.append((HOST_LOOKUP, host_lookup_hits(host_responses)))
+    if settings.feed_enabled and feed is not None:
+        hits.append((FEED, feed.select("domain", F.lit(FEED_DETAIL).alias("detail"))))
+    if settings.vendor_report_enabled and vendor_responses is not None:
+        hits.append((VENDOR_REPORT, vendor_report_hits(vendor_responses)))
+    if not hits:
+        raise ValueError("no provider is enabled that has a table")
+    ranked = [
+        table.select("domain", F.struct(F.lit(i).alias("rank"), F.lit(name).alias("source"), "detail").alias("hit"))
+        for i, (name, table) in enumerate(hits)
+    ]
+    first = reduce(DataFrame.unionAll, ranked).groupBy("domain").agg(F.min("hit").alias("hit"))
+    return first.select("domain", "hit.source", "hit.detail")
+
+
 def valid_cache(cache: DataFrame, now: float, settings: IntelSettings) -> DataFrame:
     """Rows of the verdict table that are not older than the time to live."""
     return cache.where(F.lit(float(now)) - F.col("checked_at") <= settings.verdict_ttl_seconds)

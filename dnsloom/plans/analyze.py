@@ -25,9 +25,10 @@ from dnsloom.sources.suffix_rules import SuffixRules
 
 @dataclass(frozen=True)
 class IntelTables:
-    """Provider tables of one run; `now` is the time of the check."""
+    """Provider tables of one run; `now` is the time of the check (in a stream, None is the time of
+    each micro-batch)."""
 
-    now: float
+    now: float | None
     host_responses: DataFrame | None = None
     feed: DataFrame | None = None
     vendor_responses: DataFrame | None = None

@@ -1,18 +1,17 @@
 """Live detection: Structured Streaming over arriving DNS logs.
 
-Each micro-batch runs the causal operators of `operators.replay` with the state that the
-micro-batches before it left: per client the running moments and counters, per domain the
-latest sighting of every subdomain still inside the window. State lives in two tables in
-the stream's folder. Micro-batch n reads the tables of n - 1 and writes those of n, in two
-alternating slots, and its output goes to a folder of its own. A micro-batch that is run
-again after a failure thus reads the same state and overwrites the same files: every
-record comes out exactly once, and nothing depends on a machine that may be gone.
+One streaming query parses the records and keeps what it knows of clients, domains and verdicts in
+Spark's state store (`streaming.state`). Each micro-batch is the parsed records together with
+what was stored for the keys that they touch, and runs the causal operators of
+`operators.replay` on the two. Its output goes to a folder of its own: a micro-batch that is run
+again after a failure starts from the same version of the state and overwrites the same files, so
+every record comes out exactly once. What a micro-batch reads of the state does not grow with the
+clients and domains kept.
 
 A client or domain with more than `group_rows` rows in a micro-batch is cut into time chunks
-like in a stored table. A domain's sightings that left its own window are let go; clients and
-domains are let go only after `idle_seconds`, if that is set. The time this is counted from is the
-middle one of the clients' last times and the arriving rows' times: no single record moves it, and
-where many clients lag it is theirs.
+like in a stored table. A domain's sightings that left its own window are let go: no other domain
+and no clock but its own newest record moves it. Clients and domains are let go only after
+`idle_seconds` without a record, if that is set, by the clock that plans the micro-batches.
 """
 
 from __future__ import annotations
@@ -25,104 +24,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dnsloom.operators import exports
-from dnsloom.operators.intel import annotate_intel
-from dnsloom.operators.lookup import lookup_join
+from dnsloom.operators.intel import CLEAN_DETAIL, annotate_intel, provider_hits
 from dnsloom.operators.records import build_records
-from dnsloom.operators.replay import Moments, burst_sightings, live_detection
-from dnsloom.operators.signals import client_address, is_query
+from dnsloom.operators.replay import live_detection
 from dnsloom.operators.staging import Staged, scratch, stage
+from dnsloom.plans.analyze import IntelTables
 from dnsloom.plans.delivery import deliver
 from dnsloom.schema import RECORD_SCHEMA
 from dnsloom.settings import AlertSettings, DetectionSettings, ForwardSettings, ScaleSettings
 from dnsloom.sources.suffix_rules import SuffixRules
-
-CLIENT_STATE = (
-    "side BOOLEAN, client STRING, p_n BIGINT, p_mean DOUBLE, p_m2 DOUBLE, p_low DOUBLE, "
-    "p_high DOUBLE, p_responses BIGINT, p_nxdomains BIGINT, seen_us BIGINT, batch BIGINT"
-)
-SIGHTING_STATE = "registrable_domain STRING, subdomain STRING, ts_us BIGINT, batch BIGINT"
-
-
-def client_totals(records: DataFrame) -> DataFrame:
-    """Moments and counters of each client over `records`, in the shape of the state."""
-    query_entropy = F.when(is_query(), F.col("entropy"))
-    nxdomain = ~is_query() & (F.col("flags.rcode") == "NXDOMAIN")
-    totals = {
-        **Moments.of(query_entropy).columns("p_"),
-        "p_responses": F.count_if(~is_query()),
-        "p_nxdomains": F.count_if(nxdomain),
-        "seen_us": F.max("ts_us"),
-    }
-    return records.groupBy(is_query().alias("side"), client_address().alias("client")).agg(
-        *[expr.alias(name) for name, expr in totals.items()]
-    )
-
-
-def stream_time(clients: DataFrame, records: DataFrame) -> int | None:
-    """The middle one of the clients' last times and the times of the arriving rows."""
-    times = clients.select(F.col("seen_us").alias("at")).unionByName(records.select(F.col("ts_us").alias("at")))
-    return times.agg(F.percentile_approx("at", 0.5, 10_000).alias("at")).head()["at"]
-
-
-def merge_client_state(old: DataFrame, new: DataFrame, oldest_us: int | None) -> DataFrame:
-    """Client state after a micro-batch; clients last seen before `oldest_us` are let go."""
-    keys = ["side", "client"]
-    fresh = new.withColumnsRenamed({c: f"new_{c}" for c in new.columns if c not in keys})
-    merged = old.drop("batch").join(fresh, keys, "full_outer")
-    moments = Moments.named("p_").merge(Moments.named("new_p_")).columns("p_")
-    counts = {
-        c: F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"new_{c}"), F.lit(0))
-        for c in ("p_responses", "p_nxdomains")
+from dnsloom.streaming.state import CLIENT, DOMAIN, STORED, VERDICT, StateSettings, keyed_state, updates
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _with_candidates(rows: DataFrame, hits: Staged, scale: ScaleSettings) -> DataFrame:
+    """State updates, those of verdicts with what the providers say of the domain."""
+    named = hits.df.withColumnsRenamed({"domain": "hit_domain", "source": "hit_source", "detail": "hit_detail"})
+    side = F.broadcast(named) if hits.rows <= scale.broadcast_rows else named
+    asks = F.col("kind") == VERDICT
+    joined = rows.join(side, asks & (F.col("key") == F.col("hit_domain")), "left")
+    found = {
+        "is_malicious": F.when(asks, F.col("hit_source").isNotNull()),
+        "source": F.col("hit_source"),
+        "detail": F.when(asks, F.coalesce("hit_detail", F.lit(CLEAN_DETAIL))),
     }
-    merged = merged.select(
-        *keys,
-        *[expr.alias(name) for name, expr in (moments | counts).items()],
-        F.greatest("seen_us", "new_seen_us").alias("seen_us"),
-    )
-    return merged if oldest_us is None else merged.where(F.col("seen_us") >= oldest_us)
-
-
-def merge_sighting_state(
-    old: DataFrame,
-    records: DataFrame,
-    window_us: int,
-    scale: ScaleSettings,
-    late_us: int = 0,
-    oldest_us: int | None = None,
-) -> DataFrame:
-    """Latest sighting per (domain, subdomain), without those that left their domain's window by
-    more than `late_us`; domains last seen before `oldest_us` are let go."""
-    keys = ["registrable_domain", "subdomain"]
-    recent = burst_sightings(records).groupBy(*keys).agg(F.max("ts_us").alias("ts_us"))
-    latest = (
-        old.select(*keys, "ts_us")
-        .unionByName(recent)
-        .groupBy(*keys)
-        .agg(F.max("ts_us").alias("ts_us"))
-    )
-    newest = latest.groupBy(F.col("registrable_domain").alias("domain")).agg(
-        F.max("ts_us").alias("newest_us"), F.count(F.lit(1)).alias("names")
-    )
-    dated = lookup_join(
-        latest,
-        newest,
-        {"domain": F.col("registrable_domain")},
-        spread=F.col("subdomain"),
-        scale=scale,
-        weight="names",
-        label="newest-sightings",
-    )
-    kept = dated.where(F.col("ts_us") >= F.col("newest_us") - F.lit(window_us + late_us))
-    if oldest_us is not None:
-        kept = kept.where(F.col("newest_us") >= oldest_us)
-    return kept.drop("names", "newest_us")
+    return joined.withColumns(found).select(*rows.columns)
 
 
 @dataclass(frozen=True)
 class LiveDetection:
-    """Handler of micro-batches; `folder` is the stream's own, on shared storage.
+    """A live run; `folder` is its own, on shared storage.
 
-    intel: verdict table (domain and verdict columns), joined to each micro-batch.
+    intel: provider tables and verdicts known before; a domain gets its verdict in the micro-batch
+    in which it is first seen, and again once that is too old. A lookup budget is not kept here.
     alert_sender(url, payload) and forward_sender(line) run on the executors.
     """
 
@@ -131,7 +67,7 @@ class LiveDetection:
     rules: SuffixRules
     settings: DetectionSettings = DetectionSettings()
     scale: ScaleSettings = ScaleSettings()
-    intel: Staged | None = None
+    intel: IntelTables | None = None
     alerts: AlertSettings | None = None
     alert_sender: Callable[[str, str], None] | None = None
     forward: ForwardSettings | None = None
@@ -139,65 +75,76 @@ class LiveDetection:
     idle_seconds: float | None = None
     # How much later than its domain's newest record one may arrive and still find its window.
     late_seconds: float = 0.0
+    # Parts of a domain's sightings in the state; fixed when the stream first starts.
+    lanes: int = 4
 
     @property
     def records_path(self) -> str:
         return f"{self.folder}/records"
 
-    def _slot(self, name: str, batch: int) -> str:
-        return f"{self.folder}/state/{name}/slot={batch % 2}"
+    def _records_of(self, batch: int) -> str:
+        return f"{self.records_path}/batch={batch}"
 
-    def _state(self, name: str, schema: str, batch: int) -> DataFrame:
-        """State table as micro-batch `batch` left it; empty before the first."""
-        if batch < 0:
-            return self.spark.createDataFrame([], schema)
-        table = self.spark.read.schema(schema).parquet(self._slot(name, batch))
-        return table.where(
-            F.assert_true(F.col("batch") == batch, F.lit("state of another micro-batch")).isNull()
+    def rows(self, log: DataFrame) -> DataFrame:
+        """Parsed records of a streaming log, and what the state held for their keys."""
+        records = build_records(log, self.rules, self.settings, self.scale)
+        rows = updates(records, self.lanes)
+        intel = self.intel
+        if intel is None:
+            rows = rows.where(F.col("kind") != VERDICT)
+        elif intel.settings.max_lookups is not None:
+            raise ValueError("a stream keeps no lookup budget; set max_lookups to None")
+        else:
+            hits = provider_hits(
+                host_responses=intel.host_responses,
+                feed=intel.feed,
+                vendor_responses=intel.vendor_responses,
+                settings=intel.settings,
+            )
+            rows = _with_candidates(rows, stage(hits, "provider-hits"), self.scale)
+        state = StateSettings(
+            window_us=self.settings.burst_window_us,
+            late_us=int(self.late_seconds * 1_000_000),
+            idle_seconds=self.idle_seconds,
+            verdict_ttl_seconds=intel.settings.verdict_ttl_seconds if intel else 0.0,
+            now=intel.now if intel else None,
         )
-
-    def _save(self, state: DataFrame, name: str, batch: int) -> None:
-        state.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(
-            self._slot(name, batch)
+        stored = keyed_state(rows, state, intel.cache if intel else None)
+        record = F.struct(*RECORD_SCHEMA.fieldNames()).cast(RECORD_SCHEMA)
+        absent = [F.lit(None).cast(kind).alias(name) for name, kind in (f.split() for f in STORED.split(", "))]
+        return records.select(record.alias("record"), *absent).unionByName(
+            stored.select(F.lit(None).cast(RECORD_SCHEMA).alias("record"), *stored.columns)
         )
 
-    def process(self, raw: DataFrame, batch: int) -> None:
-        """One micro-batch: records, state, alerts, forwarded lines."""
+    def process(self, rows: DataFrame, batch: int) -> None:
+        """One micro-batch: records, alerts, forwarded lines."""
         with scratch(self.spark):
-            self._detect(raw, batch)
+            arrived = stage(rows, "arrived").df
+            parsed = arrived.where("record IS NOT NULL").select("record.*")
+            if parsed.isEmpty():
+                return
+            self._detect(parsed, arrived, batch)
         self._send(self.spark.read.schema(RECORD_SCHEMA).parquet(self._records_of(batch)))
 
-    def _records_of(self, batch: int) -> str:
-        return f"{self.records_path}/batch={batch}"
-
-    def _detect(self, raw: DataFrame, batch: int) -> None:
-        parsed = stage(build_records(raw, self.rules, self.settings, self.scale), "arrived").df
-        clients = self._state("clients", CLIENT_STATE, batch - 1)
-        sightings = self._state("sightings", SIGHTING_STATE, batch - 1)
-
+    def _detect(self, parsed: DataFrame, arrived: DataFrame, batch: int) -> None:
+        numbers = ("n", "mean", "m2", "low", "high", "responses", "nxdomains")
+        clients = arrived.where(F.col("kind") == CLIENT).select(
+            "side", F.expr("substring(key, 3)").alias("client"), *[F.col(c).alias(f"p_{c}") for c in numbers]
+        )
+        sightings = arrived.where((F.col("kind") == DOMAIN) & F.col("name").isNotNull()).select(
+            F.expr("substring(key, locate(' ', key) + 1)").alias("registrable_domain"),
+            F.col("name").alias("subdomain"),
+            "ts_us",
+        )
         finished = live_detection(
-            parsed,
-            self.settings,
-            self.scale,
-            prior_clients=None
-            if batch == 0
-            else Staged(clients.drop("seen_us", "batch")),
-            prior_sightings=None if batch == 0 else sightings.drop("batch"),
+            parsed, self.settings, self.scale, prior_clients=Staged(clients), prior_sightings=sightings
         )
         if self.intel is not None:
-            finished = annotate_intel(finished, self.intel, self.scale, counted_on=parsed)
+            held = arrived.where(F.col("kind") == VERDICT)
+            held = held.select(F.col("key").alias("domain"), "is_malicious", "source", "detail", "checked_at")
+            finished = annotate_intel(finished, Staged(held), self.scale, counted_on=parsed)
         exports.with_severity(finished).write.mode("overwrite").parquet(self._records_of(batch))
 
-        oldest_us = None
-        if self.idle_seconds is not None:
-            at = stream_time(clients, parsed)
-            oldest_us = None if at is None else at - int(self.idle_seconds * 1_000_000)
-        self._save(merge_client_state(clients, client_totals(parsed), oldest_us), "clients", batch)
-        window_us = self.settings.burst_window_us
-        late_us = int(self.late_seconds * 1_000_000)
-        kept = merge_sighting_state(sightings, parsed, window_us, self.scale, late_us, oldest_us)
-        self._save(kept, "sightings", batch)
-
     def _send(self, written: DataFrame) -> None:
         if self.alerts is not None and self.alert_sender is not None and self.alerts.webhook_url:
             url, sender = self.alerts.webhook_url, self.alert_sender
@@ -208,7 +155,11 @@ class LiveDetection:
 
     def start(self, log: DataFrame, **trigger) -> StreamingQuery:
         """Run on a streaming log (RAW_SCHEMA). trigger: as for `DataStreamWriter.trigger`."""
-        writer = log.writeStream.foreachBatch(self.process)
+        self.spark.conf.set(_STORE, _ROCKSDB)
+        # A clock in the state asks for micro-batches without rows for ever; state that is due goes
+        # with the next rows.
+        self.spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        writer = self.rows(log).writeStream.foreachBatch(self.process).outputMode("append")
         writer = writer.option("checkpointLocation", f"{self.folder}/checkpoint")
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 

@@ -179,9 +179,9 @@ def _stream(w: Workload, enriched: bool, parts: int = 4, **sending) -> LiveDetec
     The stream is started after every second slice, and takes up the state that the run before
     left in the stream's folder.
     """
-    verdicts = stage(w.intel().verdicts(w.records), "verdicts") if enriched else None
+    given = w.intel() if enriched else None
     folder = new_path(w.spark, "stream")
-    live = LiveDetection(w.spark, folder, w.rules, w.settings, intel=verdicts, **sending)
+    live = LiveDetection(w.spark, folder, w.rules, w.settings, intel=given, **sending)
     folder = new_path(w.spark, "arriving")
     log = w.stored_log
     cuts = log.approxQuantile("ts_us", [i / parts for i in range(1, parts)], 0.01)

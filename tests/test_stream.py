@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import os
+import random
+import time
 
 import pytest
 from conftest import by_seq, raw_rows
@@ -9,11 +11,13 @@ from pyspark.sql import functions as F
 from dnsloom.operators import exports
 from dnsloom.operators.records import build_records
 from dnsloom.operators.replay import live_detection
-from dnsloom.operators.staging import new_path, shared_dir, stage
-from dnsloom.schema import VERDICT_TABLE_SCHEMA
-from dnsloom.settings import AlertSettings, DetectionSettings, ForwardSettings, ScaleSettings
+from dnsloom.operators.staging import new_path, shared_dir
+from dnsloom.plans.analyze import IntelTables
+from dnsloom.schema import RESPONSE_TABLE_SCHEMA, VERDICT_TABLE_SCHEMA
+from dnsloom.settings import AlertSettings, DetectionSettings, ForwardSettings, IntelSettings, ScaleSettings
 from dnsloom.sources.logs import stream_dns_log
-from dnsloom.streaming.live import CLIENT_STATE, SIGHTING_STATE, LiveDetection
+from dnsloom.streaming.live import LiveDetection
+from dnsloom.streaming.state import merged
 
 SETTINGS = DetectionSettings(
     burst_window_seconds=30, burst_unique_subdomain_threshold=4, z_score_threshold=1.0
@@ -64,54 +68,131 @@ def test_stream_equals_replay(spark, rules, scale):
     assert expected.where("subdomain_burst").count() > 20
 
 
+def feed(live, folder, rows):
+    """One more micro-batch with these rows, by a stream that is started anew."""
+    raw_rows(live.spark, rows).coalesce(1).write.mode("append").parquet(folder)
+    query = live.start(stream_dns_log(live.spark, folder))
+    query.awaitTermination()
+    return query
+
+
 def test_batch_run_twice_overwrites_itself(spark, rules):
+    """A micro-batch whose end was not noted runs again, on the state of the one before it."""
     raw = traffic(spark, 120)
+    folder = new_path(spark, "in")
     live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS)
-    first, second = raw.where("seq < 60"), raw.where("seq >= 60")
-    live.process(first, 0)
-    live.process(second, 1)
+    arrive(live, raw, folder, slices=2)
     once = rounded(live.output())
-    live.process(second, 1)
+    commits = f"{live.folder}/checkpoint/commits".removeprefix("file:")
+    last = max(int(f) for f in os.listdir(commits) if f.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        os.remove(f"{commits}/{name}")
+    live.start(stream_dns_log(spark, folder)).awaitTermination()
+    assert os.path.exists(f"{commits}/{last}")
     assert rounded(live.output()) == once and len(once) == 120
-    with pytest.raises(Exception, match="state of another micro-batch"):
-        live.process(second, 4)
 
 
 def test_micro_batch_leaves_no_scratch_tables(spark, rules):
     folder = shared_dir(spark).removeprefix("file:")
     live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS)
+    arriving = new_path(spark, "in")
     before = set(os.listdir(folder))
-    live.process(traffic(spark, 30), 0)
-    assert set(os.listdir(folder)) - before == {os.path.basename(live.folder)}
-
-
-def test_state_forgets_the_past(spark, rules):
-    live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS, idle_seconds=100)
-    live.process(raw_rows(spark, [{"source_ip": "10.0.0.1", "query": "old.a.com.", "ts_us": 0}]), 0)
-    later = [{"source_ip": "10.0.0.2", "query": f"s{i}.a.com.", "ts_us": 200_000_000} for i in range(2)]
-    live.process(raw_rows(spark, [{**r, "seq": i + 5} for i, r in enumerate(later)]), 1)
-    clients = live._state("clients", CLIENT_STATE, 1).collect()
-    assert [(c.client, c.p_n) for c in clients] == [("10.0.0.2", 2)]
-    sightings = spark.read.parquet(f"{live.folder}/state/sightings/slot=1")
-    assert sorted(r.subdomain for r in sightings.collect()) == ["s0", "s1"]
-
-
-def test_domains_seen_once_are_let_go(spark, rules):
-    live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS, idle_seconds=100)
-    sizes = []
-    for batch in range(3):
-        rows = [
-            {"query": f"a.d{batch}x{i}.com.", "ts_us": batch * 10_000_000_000 + i, "seq": batch * 50 + i}
-            for i in range(50)
-        ]
-        live.process(raw_rows(spark, rows), batch)
-        sizes.append(live._state("sightings", SIGHTING_STATE, batch).count())
-    assert sizes == [50, 50, 50]
+    feed(live, arriving, [{"query": f"s{i}.a.com."} for i in range(30)])
+    kept = {os.path.basename(live.folder), os.path.basename(arriving)}
+    assert set(os.listdir(folder)) - before == kept
+
+
+def test_a_micro_batch_reads_the_state_of_its_own_keys(spark, rules):
+    live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS)
+    folder = new_path(spark, "in")
+    arrived = []
+    process = live.process
+
+    def counted(rows, batch):
+        arrived.append(rows.where("record IS NULL").count())
+        process(rows, batch)
+
+    object.__setattr__(live, "process", counted)
+    many = [{"source_ip": f"10.1.{i % 250}.{i // 250}", "query": f"s.d{i}.com."} for i in range(400)]
+    few = [{"source_ip": "10.9.9.9", "query": "s.own.com."}]
+    feed(live, folder, few)
+    feed(live, folder, [{**r, "seq": 10 + i} for i, r in enumerate(many)])
+    feed(live, folder, [{**r, "seq": 500, "ts_us": 1_001_000_000} for r in few])
+    # Its client and its one name, though 400 clients and 400 domains are kept.
+    assert arrived == [0, 0, 2]
+
+
+def test_state_forgets_the_idle(spark, rules):
+    """After `idle_seconds` without a record a client starts anew."""
+    rows = [{"source_ip": "10.0.0.1", "query": f"{'abc' * i}.a.com.", "seq": i} for i in range(6)]
+    last = [{"source_ip": "10.0.0.1", "query": "zz.a.com.", "seq": 50}]
+    known = []
+    for idle in (None, 1):
+        live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS, idle_seconds=idle)
+        folder = new_path(spark, "in")
+        feed(live, folder, rows)
+        time.sleep(1.5)
+        feed(live, folder, last)
+        known.append(live.output().where("seq = 50").head().entropy_z_score is not None)
+    assert known == [True, False]
+
+
+def test_verdicts_inside_the_stream(spark, rules):
+    """A domain gets its verdict when it is first seen, and another once that is too old."""
+    bad = '{"query_status":"ok","url_count":"1"}'
+
+    def tables(now, *listed, cache=None):
+        answers = spark.createDataFrame([(d, bad, None) for d in listed] or [("x", None, "e")], RESPONSE_TABLE_SCHEMA)
+        return IntelTables(now=now, host_responses=answers, cache=cache, settings=IntelSettings(max_lookups=None))
+
+    cache = spark.createDataFrame([("c.com", True, "urlhaus", "from before", 900.0)], VERDICT_TABLE_SCHEMA)
+    stream, folder, seq = new_path(spark, "stream"), new_path(spark, "in"), iter(range(100))
+
+    def slice_of(intel, *domains):
+        live = LiveDetection(spark, stream, rules, SETTINGS, intel=intel)
+        numbers = [next(seq) for _ in domains]
+        feed(live, folder, [{"query": f"w.{d}.", "seq": n} for d, n in zip(domains, numbers, strict=True)])
+        found = live.output().where(F.col("seq").isin(numbers)).collect()
+        return {r.registrable_domain: (r.threat_intel.is_malicious, r.threat_intel.checked_at) for r in found}
+
+    first = slice_of(tables(1000.0, cache=cache), "a.com", "c.com")
+    assert first == {"a.com": (False, 1000.0), "c.com": (True, 900.0)}
+    # The provider lists a.com now, but the verdict still holds; b.com is new and is checked.
+    assert slice_of(tables(2000.0, "a.com", "b.com"), "a.com", "b.com") == {"a.com": (False, 1000.0), "b.com": (True, 2000.0)}
+    later = slice_of(tables(4700.0, "a.com"), "a.com", "b.com", "c.com")
+    assert later == {"a.com": (True, 4700.0), "b.com": (True, 2000.0), "c.com": (False, 4700.0)}
+
+
+def test_a_budget_is_refused(spark, rules):
+    live = LiveDetection(spark, new_path(spark, "stream"), rules, intel=IntelTables(now=0.0))
+    with pytest.raises(ValueError, match="budget"):
+        live.rows(raw_rows(spark, []))
+
+
+def test_partial_moments_add_up():
+    rng = random.Random(2)
+    values = [rng.uniform(0, 5) for _ in range(40)]
+
+    def moments(part):
+        if not part:
+            return (0, None, None, None, None, 0, 0)
+        mean = sum(part) / len(part)
+        return (len(part), mean, sum((v - mean) ** 2 for v in part), min(part), max(part), 1, 0)
+
+    total = moments([])
+    for part in ([], values[:1], values[1:17], [], values[17:]):
+        total = merged(total, moments(part))
+    assert total[:5] == pytest.approx(moments(values)[:5]) and total[5:] == (3, 0)
 
 
 def test_enrichment_alerts_and_forwarding(spark, rules, tmp_path):
     raw = traffic(spark, 90)
-    verdicts = spark.createDataFrame([("hot.com", True, "urlhaus", "1 URL", 1.0)], VERDICT_TABLE_SCHEMA)
+    answers = [("hot.com", '{"query_status":"ok","url_count":"1"}', None)]
+    given = IntelTables(
+        now=1.0,
+        host_responses=spark.createDataFrame(answers, RESPONSE_TABLE_SCHEMA),
+        settings=IntelSettings(max_lookups=None),
+    )
     sent, lines = str(tmp_path / "sent"), str(tmp_path / "lines")
 
     def alert(url, payload):
@@ -128,7 +209,7 @@ def test_enrichment_alerts_and_forwarding(spark, rules, tmp_path):
         new_path(spark, "stream"),
         rules,
         SETTINGS,
-        intel=stage(verdicts, "verdicts"),
+        intel=given,
         alerts=AlertSettings(enabled=True, webhook_url="https://alerts.test/x"),
         alert_sender=alert,
         forward=ForwardSettings(enabled=True, min_severity="info"),
@@ -151,7 +232,7 @@ def test_nothing_arrives_nothing_is_written(spark, rules):
     assert not os.path.exists(live.records_path.removeprefix("file:"))
 
 
-@pytest.mark.parametrize("idle_seconds", [None, 100])
+@pytest.mark.parametrize("idle_seconds", [None, 1000])
 def test_lagging_source_and_a_far_clock(spark, rules, idle_seconds):
     batches = []
     for batch in range(4):
@@ -166,9 +247,9 @@ def test_lagging_source_and_a_far_clock(spark, rules, idle_seconds):
     rows = [row for batch in batches for row in batch]
     raw = raw_rows(spark, [{**row, "seq": k} for k, row in enumerate(rows)]).cache()
     live = LiveDetection(spark, new_path(spark, "stream"), rules, SETTINGS, idle_seconds=idle_seconds)
-    low = 0
-    for number, batch in enumerate(batches):
-        live.process(raw.where((F.col("seq") >= low) & (F.col("seq") < low + len(batch))), number)
+    low, folder = 0, new_path(spark, "in")
+    for batch in batches:
+        feed(live, folder, [{**row, "seq": low + k} for k, row in enumerate(batch)])
         low += len(batch)
     bursts = ["seq", "subdomain_burst", "subdomain_burst_unique_count"]
     expected = live_detection(build_records(raw, rules, SETTINGS), SETTINGS)
