@@ -38,6 +38,7 @@ UPDATE = (
 )
 # What it returns: the same columns with what was stored before, or for verdicts what holds now.
 STORED = UPDATE
+_COLUMNS = [c.split()[0] for c in UPDATE.split(", ")]
 _VERDICT = ["is_malicious", "source", "detail", "checked_at"]
 # Rows handed on at once.
 _ROWS = 10_000
@@ -178,7 +179,10 @@ class KeyedState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         handler = {CLIENT: self._client, DOMAIN: self._domain, VERDICT: self._verdict}[key[0]]
         for out in handler(rows, timerValues):
-            yield _framed(out, kind=key[0], key=key[1])
+            rows_out = len(next(iter(out.values())))
+            whole = out | {"kind": [key[0]] * rows_out, "key": [key[1]] * rows_out}
+            # Plain objects: a typed column a group costs more than the state itself.
+            yield pd.DataFrame({c: whole.get(c, [None] * rows_out) for c in _COLUMNS}, dtype=object)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """Verdicts that are known before the stream starts."""
@@ -193,7 +197,7 @@ class KeyedState(StatefulProcessor):
         if stored is not None:
             yield {"side": [side], **{c: [v] for c, v in zip(names, total, strict=True)}}
         for frame in rows:
-            for part in frame[["side", *names]].itertuples(index=False):
+            for part in zip(*(frame[c].tolist() for c in ("side", *names)), strict=True):
                 side, n, *spread, responses, nxdomains = (_plain(v) for v in part)
                 new = (int(n), *spread, int(responses), int(nxdomains))
                 total = new if total is None else merged(total, new)
@@ -228,8 +232,8 @@ class KeyedState(StatefulProcessor):
             found = None
             for frame in rows:
                 if found is None and len(frame):
-                    found = frame.iloc[0]
-            held = (*(_plain(found[c]) for c in _VERDICT[:3]), float(now))
+                    found = tuple(_plain(frame[c].iat[0]) for c in _VERDICT[:3])
+            held = (*found, float(now))
             self.verdict.update(held)
         yield {c: [v] for c, v in zip(_VERDICT, held, strict=True)}
 
