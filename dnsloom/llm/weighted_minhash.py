@@ -12,11 +12,12 @@ weighted Jaccard similarity, links make components, and the smallest id of each
 
 Texts with equal words are one class first. In a bucket every class is compared with the least
 one. Where that leaves several components, a small bucket compares all classes of different
-components. Crowded ones (texts that have a common passage, and little else, in common) are
-split by rare shingles: of two texts as alike as wanted, the rarest shingles that make up a fifth
-(1 - similarity) of their weights must have one in common. What is still crowded then compares
-the classes outside its largest component with all, a few at a time. No step makes more than
-`heads` or `small` pairs per row, and none leaves out a link.
+components. Members of crowded ones (texts that have a common passage, and little else, in common;
+copies changed a little too much) are filed anew by rare shingles: of two texts as alike as
+wanted, the rarest shingles that make up a fifth (1 - similarity) of their weights must have one in
+common. There the classes outside the largest component of a bucket meet the others, `heads` at
+first and four times as many in each further round, but only where the weights that are left from
+the common shingle on allow the similarity. These bounds are exact: no link is left out.
 
 Nulls and texts without words link with nothing and stay, rows without an id too (their class
 is null). Rows that repeat an id are one document. Extra columns are ignored; an empty table
@@ -37,12 +38,15 @@ from pyspark.sql import functions as F
 
 from dnsloom.llm.common import mixed, pieces_of, word_hashes
 from dnsloom.llm.components import components
+from dnsloom.operators.lookup import lookup_join
 from dnsloom.operators.staging import stage
+from dnsloom.settings import ScaleSettings
 
 _KEY_BITS = 52
 _MOST_TEXTS = 4000
 _TABLE_BITS = 14
 _CHUNK = 4096
+_SLACK = 1e-6
 
 
 @dataclass(frozen=True)
@@ -50,7 +54,7 @@ class MinHashSettings:
     """words: of a shingle. similarity: least one of a link. bands, rows: of the samples; at
     similarity 0.8 a pair is missed with a chance of (1 - 0.8 ** rows) ** bands, 0.0006.
     cells, rare: see above. small: a bucket up to this size compares all at once; heads: a
-    crowded one compares so many classes with the rest at a time."""
+    crowded one compares so many classes with the rest in the first round."""
 
     words: int = 5
     similarity: float = 0.8
@@ -262,47 +266,70 @@ def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(whole.where("parts > 1").drop("parts"), "bucket")
 
 
-def _crossing(asking: DataFrame, members: DataFrame | None = None) -> DataFrame:
+def _crossing(asking: DataFrame, least: float, members: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of an asking row and a member of its bucket in another component; without
-    `members` all ask, and each pair is made once."""
+    `members` all ask, and each pair is made once.
+
+    Two texts share no more than what is `left` of either from their first common shingle on, and
+    texts of a similarity of `least` share `least / (1 + least)` of both weights: pairs that
+    cannot are not made. At a later common shingle less is left; the first one decides.
+    """
     apart = "x_part != y_part" if members is not None else "x_part != y_part AND x < y"
     members = asking if members is None else members
-    one = asking.select("bucket", F.col("node").alias("x"), F.col("part").alias("x_part"))
-    two = members.select("bucket", F.col("node").alias("y"), F.col("part").alias("y_part"))
-    pairs = one.join(two, "bucket").where(apart)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    share = least / (1 + least) * (1 - _SLACK)
+    enough = F.least("x_left", "y_left") >= share * (F.col("x_total") + F.col("y_total"))
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        named = {"node": name, **{c: f"{name}_{c}" for c in ("part", "total", "left")}}
+        return rows.select("bucket", *named).withColumnsRenamed(named)
 
+    pairs = side(asking, "x").join(side(members, "y"), "bucket").where(apart).where(enough)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-def rarest(keys: np.ndarray, weight: np.ndarray, df: np.ndarray, least: float) -> np.ndarray:
-    """The rarest shingles of a text, until what is left weighs less than `least` of it."""
-    order = np.lexsort([keys, df])
-    before = np.cumsum(weight[order], dtype=np.float64) - weight[order]
-    return keys[order][before <= (1 - least) * weight.sum(dtype=np.float64) * (1 + 1e-6)]
 
+def _prefixes(crowded: DataFrame, texts: DataFrame, idf, s: MinHashSettings) -> DataFrame:
+    """Members (bucket, node, done, total, left) of the buckets of rare shingles that members of
+    crowded buckets fall into: `total` is the text's weight, `left` what of it does not come
+    before this shingle.
 
-def _split(crowded: DataFrame, texts: DataFrame, shared, s: MinHashSettings) -> DataFrame:
-    """Members (bucket, node, done) of the buckets of rare shingles that members of crowded
-    buckets fall into. `shared` holds the inverse frequencies and the counts they come from."""
+    Shingles are put in order by the number of crowded texts with them, counted exactly. Those of
+    one text only come first, stand in no other text and are left out of the shuffle; a text
+    goes into the buckets of the others until less than `similarity` of its weight is left.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        idf, found = shared.value
         for batch in batches:
             rows = batch["text"].tolist()
             for a, b in _parts(rows):
-                owner, keys, weight = weights(rows[a:b], idf, s)
-                bound = np.searchsorted(owner, np.arange(b - a + 1))
-                df = found[_cell(keys, len(idf))]
-                parts = [slice(bound[i], bound[i + 1]) for i in range(b - a)]
-                chosen = [rarest(keys[x], weight[x], df[x], s.similarity) for x in parts]
-                node = np.repeat(batch["node"].to_numpy()[a:b], [len(x) for x in chosen])
-                bucket = np.concatenate([*chosen, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pd.DataFrame({"bucket": bucket, "node": node, "done": False})
+                owner, keys, weight = weights(rows[a:b], idf.value, s)
+                total = np.bincount(owner, weight, minlength=b - a)
+                node = batch["node"].to_numpy()[a:b][owner]
+                shingle = keys.view(np.int64)
+                yield pd.DataFrame(
+                    {"bucket": shingle, "node": node, "weight": weight, "total": total[owner]}
+                )
 
     wanted = texts.join(crowded.select("node").distinct(), "node", "left_semi")
-    split = wanted.mapInPandas(run, "bucket long, node long, done boolean")
-    split = stage(split, "rarest").df
-    sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return split.join(sizes.select("bucket"), "bucket", "left_semi")
+    cut = wanted.mapInPandas(run, "bucket long, node long, weight float, total double")
+    cut = stage(cut, "shingles").df
+    counts = cut.groupBy(F.col("bucket").alias("shingle")).agg(F.count(F.lit(1)).alias("rows"))
+    counts = stage(counts.where("rows > 1").withColumn("n", F.col("rows")), "shared")
+    shared = lookup_join(
+        cut,
+        counts,
+        {"shingle": F.col("bucket")},
+        spread=F.xxhash64("node", "bucket"),
+        scale=ScaleSettings(),
+        weight="rows",
+    ).where("n is not null")
+    after = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("bucket"))
+    after = after.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = shared.withColumn("left", F.sum(F.col("weight").cast("double")).over(after))
+    placed = placed.where(F.col("left") >= s.similarity * (1 - _SLACK) * F.col("total"))
+    placed = placed.select("bucket", "node", F.lit(False).alias("done"), "total", "left")
+    placed = stage(placed, "rarest").df
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return placed.join(sizes.select("bucket"), "bucket", "left_semi")
 
 
 def near_duplicates(
@@ -317,7 +344,6 @@ def near_duplicates(
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found, n = document_frequency(given, s)
     idf = spark.sparkContext.broadcast(inverse_frequency(found, n, s))
-    counted = spark.sparkContext.broadcast((idf.value, found))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -355,34 +381,34 @@ def near_duplicates(
     links = stage(_verified(pairs.distinct(), texts, idf, s), "verified").df
     parts = components(links, "a", "b").withColumnsRenamed({"component": "part"})
 
+    whole = [F.lit(0.0).alias("total"), F.lit(0.0).alias("left")]
     done = (F.col("node") == F.col("head")).alias("done")
-    state = stage(_open(members.select("bucket", "node", done), parts), "open").df
+    state = stage(_open(members.select("bucket", "node", done, *whole), parts), "open").df
     crowded = state.where(F.col("size") > s.small)
-    inner = stage(_open(_split(crowded, texts, counted, s), parts), "split").df
+    inner = stage(_open(_prefixes(crowded, texts, idf, s), parts), "split").df
     fits = F.col("size") <= s.small
-    small = state.where(fits).select("bucket", "node", "part")
-    small = small.union(inner.where(fits).select("bucket", "node", "part"))
-    pairs = _crossing(small)
-    state = stage(inner.where(~fits), "crowded")
+    pairs = _crossing(state.where(fits).union(inner.select(state.columns).where(fits)), s.similarity)
+    state, heads = stage(inner.where(~fits), "crowded"), s.heads
     while True:
         order = Window.partitionBy("bucket").orderBy("part", "node")
         outside = state.df.where(~F.col("done") & (F.col("part") != F.col("largest")))
-        asking = outside.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= s.heads)
-        crossing = pairs.union(_crossing(asking, state.df.where("not done"))).distinct()
+        turn = outside.withColumn("turn", F.row_number().over(order))
+        asking = stage(turn.where(F.col("turn") <= heads).drop("turn"), "asking")
+        made = _crossing(asking.df, s.similarity, state.df.where("not done"))
+        crossing = pairs.union(made).distinct()
         crossing = stage(crossing, "crossing")
-        if not crossing.rows:
-            break
-        more = stage(_verified(crossing.df, texts, idf, s), "verified")
-        if more.rows:
-            links = links.union(more.df)
-            parts = components(links, "a", "b").withColumnsRenamed({"component": "part"})
-        if not state.rows:
+        if crossing.rows:
+            more = stage(_verified(crossing.df, texts, idf, s), "verified")
+            if more.rows:
+                links = links.union(more.df)
+                parts = components(links, "a", "b").withColumnsRenamed({"component": "part"})
+        if not asking.rows:
             break
-        now = asking.select("bucket", "node", F.lit(True).alias("now"))
+        now = asking.df.select("bucket", "node", F.lit(True).alias("now"))
         rest = state.df.join(now, ["bucket", "node"], "left").select(
-            "bucket", "node", (F.col("done") | F.col("now").isNotNull()).alias("done")
+            "bucket", "node", (F.col("done") | F.col("now").isNotNull()).alias("done"), "total", "left"
         )
-        state, pairs = stage(_open(rest, parts), "crowded"), pairs.limit(0)
+        state, pairs, heads = stage(_open(rest, parts), "crowded"), pairs.limit(0), heads * 4
 
     known = (
         signed.join(classes.select("print", "node"), "print", "left")
