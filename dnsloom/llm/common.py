@@ -6,10 +6,19 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def short_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Hand Python workers at most `rows` rows and about `size` bytes at once: texts may be long.
+
+    Set for the session, as plans read it when they run.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def id_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as an empty text."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -22,7 +22,7 @@ from dnsloom.llm import (
     toxicity,
     weighted_minhash,
 )
-from dnsloom.llm.common import id_remainder
+from dnsloom.llm.common import id_remainder, short_batches
 from dnsloom.llm.oracle import ORACLE
 
 
@@ -115,6 +115,7 @@ def op8_language(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """The class of near-duplicate documents of each document, and whether it stays."""
+    short_batches(spark)
     return weighted_minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
