@@ -1,10 +1,15 @@
 """Capture files (pcap, pcapng) as DNS log rows.
 
-Files are cut into byte ranges so that one large capture is read by many tasks, each byte once.
-There are no sync marks: each range guesses its first packet by a chain of plausible headers,
-decodes from there, and reports where its last packet ends. The guesses of a file hold if every
-range starts where the one before ended (and, in a pcapng, knew the interfaces that hold there).
-Ranges for which that is not so are read again from where they should have started.
+Files are cut into byte ranges so that one large capture is read by many tasks. There are no sync
+marks: each range guesses its first packet by a chain of plausible headers, decodes from there,
+and reports where its last packet ends. The guesses of a file hold if every range starts where
+the one before ended (and, in a pcapng, knew the interfaces that hold there).
+
+What else a range leads to is found by walking its headers from where it should have started.
+All ranges in question are walked at once, on the assumption that a range ends where it ended
+before: chains of packets that begin at different places mostly fall into step. After a few
+such rounds the rest of a file is walked in one go. Then the ranges that were guessed wrong are
+decoded again, from the right place. So no range is decoded more than twice.
 
 Only a guess asks whether a header is plausible. Reading trusts the lengths in the file: an
 oversized or odd packet is a packet like any other. Where a length leads out of the file, the
@@ -30,10 +35,14 @@ from dnsloom.schema import RAW_SCHEMA
 DNS_PORTS = (53, 5353)
 # For guesses only: packets are hardly ever longer than this.
 _LIKELY_PACKET = 1 << 18
+# For guesses only: packets in a row are hardly ever further apart, in seconds.
+_LIKELY_GAP = 86_400
 # A UDP datagram with its headers is shorter than this; nothing behind it is read.
 _FRAME_BYTES = 1 << 17
 _MOST_RANGES = 200_000
 _CHAIN = 8
+# Rounds in which all ranges in question are walked at once.
+_WALKS = 3
 _BLOCK = 8 << 20
 _BATCH = 8192
 
@@ -142,7 +151,7 @@ def _plausible(window: _Window, form: _Format, offset: int) -> tuple[int, _Forma
     end, after = found
     if form.units:
         _, fraction, kept, full = struct.unpack(form.order + "IIII", window.read(offset, 16))
-        likely = fraction < form.units and kept <= _LIKELY_PACKET and kept <= full
+        likely = fraction < form.units and 0 < kept <= min(full, _LIKELY_PACKET)
     else:
         likely = window.read(end - 4, 4) == window.read(offset + 4, 4)
     return found if likely else None
@@ -152,9 +161,14 @@ def _first_packet(window: _Window, form: _Format, start: int, stop: int) -> int
     """First offset in [start, stop) that begins a chain of plausible packets."""
     step = 1 if form.units else 4
     for offset in range(start, min(stop, window.size - 11), step):
-        at, shape = offset, form
+        at, shape, began = offset, form, None
         for _ in range(_CHAIN):
             found = _plausible(window, shape, at)
+            if found is not None and form.units:
+                seconds = struct.unpack(form.order + "I", window.read(at, 4))[0]
+                began = seconds if began is None else began
+                if abs(seconds - began) > _LIKELY_GAP:
+                    found = None
             if found is None:
                 break
             at, shape = found
@@ -195,8 +209,20 @@ class _Range:
         self.section = False
         self.unread = 0
 
-    def packets(self) -> Iterator[tuple[int, int, int, bytes]]:
-        """(offset, ts_us, link type, frame); `unread` bytes at the end could not be read."""
+    def walk(self) -> None:
+        """Go to the end of the range from header to header."""
+        for _ in self.packets(bodies=False):
+            pass
+
+    def go_on(self, stop: int) -> None:
+        """Take up the range that ends at `stop`, with the interfaces known so far."""
+        self.stop, self.setup, self.section = stop, [], False
+
+    def packets(self, bodies: bool = True) -> Iterator[tuple[int, int, int, bytes]]:
+        """(offset, ts_us, link type, frame); `unread` bytes at the end could not be read.
+
+        Without `bodies` only setup blocks are looked into, and nothing is returned.
+        """
         window = self.window
         while self.offset < min(self.stop, window.size):
             offset = self.offset
@@ -205,6 +231,10 @@ class _Range:
                 self.unread, self.offset = window.size - offset, window.size
                 return
             self.offset, self.form = found
+            if not bodies and (
+                self.form.units or _block_kind(window, self.form, offset) not in _SETUP_BLOCKS
+            ):
+                continue
             if self.form.units:
                 packet = self._record(offset)
             else:
@@ -399,32 +429,74 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_DECODED)
 
 
-def _misread(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one file's ranges, those to be read again, and from where.
+def _section_of(assumed: list[int]) -> int:
+    """Offset of the section header in force; it decides how headers are read."""
+    return assumed[0] if assumed else -1
+
 
-    What follows a misread range is judged when that has been read again.
+def _judge(first_only: bool):
+    """Of one file's ranges, those that were not guessed right, with the place where they have
+    to start (-1: no packet begins there) and the setup that holds there.
+
+    `asked`: what that start leads to is not known yet. Ranges behind such a one are judged as if
+    it ended where it did from another start, or else as if the next one was guessed right.
+    first_only: ask for the first such range only.
     """
-    out, reached, carried, unsure = [], 0, [], True
-    for row in rows.sort_values("start").itertuples(index=False):
-        first = None if pd.isna(row.first) else int(row.first)
-        assumed, setup = list(row.assumed), list(row.setup)
-        due = reached if reached < row.stop else None
-        if not unsure and (first != due or (due is not None and assumed != carried)):
-            due_at = -1 if due is None else due
-            out.append((row.path, row.base, row.start, row.stop, row.attempt + 1, due_at, carried))
-            unsure = True
-            if due is None:  # nothing to read there: what comes next is known already
-                unsure = False
-                continue
-        else:
-            unsure = False
-        if first is not None:
-            reached = int(row.last)
-        carried = setup if row.section else carried + setup
-    return pd.DataFrame(out, columns=["path", "base", "start", "stop", "attempt", "first", "assumed"])
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        guesses, outcomes = [], {}
+        for row in rows.sort_values(["start", "attempt"]).itertuples(index=False):
+            first = -1 if pd.isna(row.first) else int(row.first)
+            if row.attempt == 0:
+                guesses.append((row, first, list(row.assumed)))
+            if first >= 0:
+                ends = int(row.last), list(row.setup), bool(row.section)
+                outcomes.setdefault(row.start, {})[first, _section_of(list(row.assumed))] = ends
+        out, reached, carried = [], None, []
+        for row, first, assumed in guesses:
+            due = first if reached is None else reached if reached < row.stop else -1
+            known = outcomes.get(row.start, {})
+            ends = known.get((due, _section_of(carried)))
+            asked = due >= 0 and ends is None
+            if asked or due != first or (due >= 0 and assumed != carried):
+                out.append((row.path, row.base, row.start, row.stop, 1, due, carried, asked))
+            if asked and first_only:
+                break
+            if due >= 0:
+                ends = ends or next(iter(known.values()), None)
+                reached = ends[0] if ends else None
+                if ends:
+                    carried = ends[1] if ends[2] else carried + ends[1]
+        return pd.DataFrame(out, columns=[*_columns(_JOB), "asked"])
+
+    return judge
+
+
+def _walk_ranges(size: int, onward: bool):
+    """What the jobs' starts lead to; onward: in all ranges of `size` bytes up to the file's end."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for job in batch.itertuples(index=False):
+                window, carried, start, out = _Window(job.path), list(job.assumed), job.start, []
+                part = _Range(window, int(job.first), int(job.stop), carried)
+                while True:
+                    first = part.offset
+                    part.walk()
+                    found = (part.offset, part.setup, part.section)
+                    out.append((job.path, job.base, start, part.stop, 1, first, carried, *found))
+                    if not onward or part.offset >= window.size:
+                        break
+                    carried = part.setup if part.section else carried + part.setup
+                    start = part.offset // size * size
+                    part.go_on(start + size)
+                yield pd.DataFrame(out, columns=_columns(_STATE))
+
+    return walk
 
 
 _JOB = "path STRING, base BIGINT, start BIGINT, stop BIGINT, attempt INT, first BIGINT, assumed ARRAY<BIGINT>"
+_STATE = f"{_JOB}, last BIGINT, setup ARRAY<BIGINT>, section BOOLEAN"
 
 
 def _read(jobs: DataFrame, tasks: int, ports: tuple[int, ...]) -> DataFrame:
@@ -479,16 +551,22 @@ def scan_captures(
     )
     first_jobs = stage(first_jobs, "capture-ranges")
     decoded = _read(first_jobs.df, first_jobs.rows, ports)
+    states = decoded.where("stop is not null").select(*_columns(_STATE))
+    many = states.groupBy("path").count().where("count > 1").select("path")
+    states, turn = states.join(many, "path", "left_semi"), 0
     while True:
-        state = decoded.where("stop is not null").select(*_columns(_JOB), "last", "setup", "section")
-        latest = state.groupBy("path", "start").agg(F.max("attempt").alias("attempt"))
-        many = latest.groupBy("path").count().where("count > 1").select("path")
-        current = state.join(latest, ["path", "start", "attempt"]).join(many, "path", "left_semi")
-        again = stage(current.groupBy("path").applyInPandas(_misread, _JOB), "capture-again")
-        if not again.rows:
+        onward = turn >= _WALKS
+        judged = states.groupBy("path").applyInPandas(_judge(onward), f"{_JOB}, asked BOOLEAN")
+        judged = stage(judged, "capture-judged").df
+        asked = stage(judged.where("asked").drop("asked"), "capture-asked")
+        if not asked.rows:
             break
-        stale = again.df.select("path", "start", (F.col("attempt") - 1).alias("attempt"))
-        kept = decoded.join(stale, ["path", "start", "attempt"], "left_anti")
+        dealt = asked.df.repartitionByRange(asked.rows, "base", "start")
+        walked = stage(dealt.mapInPandas(_walk_ranges(size, onward), _STATE), "capture-walked").df
+        states, turn = states.unionByName(walked), turn + 1
+    again = stage(judged.drop("asked"), "capture-again")
+    if again.rows:
+        kept = decoded.join(again.df.select("path", "start"), ["path", "start"], "left_anti")
         decoded = kept.select(*decoded.columns).unionByName(_read(again.df, again.rows, ports))
     seq = F.col("base") + F.col("offset")
     columns = [F.col(f.name) for f in RAW_SCHEMA if f.name != "seq"]

@@ -24,6 +24,8 @@ from dnsloom.workload.capture_writer import write_captures
 from dnsloom.workload.tables import INTEL_SETTINGS, NOW, Workload
 
 SCALE = ScaleSettings()
+# pcap_scan compares times within stretches of this length; one row a stretch is carried on.
+_CHUNK_BYTES = 1 << 22
 BUNDLE_UUID = "00000000-0000-4000-8000-000000000000"
 
 
@@ -55,7 +57,12 @@ def pcap_scan(w: Workload) -> DataFrame:
     """The messages in packet order: a message is in order if none before it in its file is later."""
     scan = captures.scan_captures(w.spark, _captures(w, mixed=False), split_bytes=1 << 18)
     read = scan.where(~F.col("skipped") & (F.col("unread_bytes") == 0))
-    before = F.lag("ts_us").over(Window.partitionBy("path").orderBy("seq"))
+    read = read.withColumn("chunk", F.floor(F.col("offset") / F.lit(_CHUNK_BYTES)))
+    ends = read.groupBy("path", "chunk").agg(F.max_by("ts_us", "seq").alias("end"))
+    carried = F.lag("end").over(Window.partitionBy("path").orderBy("chunk")).alias("carried")
+    read = read.join(ends.select("path", "chunk", carried), ["path", "chunk"])
+    within = F.lag("ts_us").over(Window.partitionBy("path", "chunk").orderBy("seq"))
+    before = F.coalesce(within, F.col("carried"))
     ordered = read.withColumn("in_order", F.coalesce(before <= F.col("ts_us"), F.lit(True)))
     return ordered.select(*[c for c in RAW_SCHEMA.fieldNames() if c != "seq"], "in_order")
 

@@ -250,3 +250,95 @@ def test_ranges_are_dealt_to_many_tasks(spark, tmp_path):
     dealt = spark.createDataFrame(jobs, captures._JOB).repartitionByRange(300, "base", "start")
     sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 100 and max(r["count"] for r in sizes) <= 10
+
+
+def count_passes(monkeypatch):
+    """Ranges per decoding pass and per walk of the scans that follow."""
+    decoded, walked = [], []
+    read, stage = captures._read, captures.stage
+
+    def reading(jobs, tasks, ports):
+        decoded.append(jobs.count())
+        return read(jobs, tasks, ports)
+
+    def staging(df, label, *args, **kwargs):
+        out = stage(df, label, *args, **kwargs)
+        if label == "capture-asked" and out.rows:
+            walked.append(out.rows)
+        return out
+
+    monkeypatch.setattr(captures, "_read", reading)
+    monkeypatch.setattr(captures, "stage", staging)
+    return decoded, walked
+
+
+def test_a_misled_file_is_decoded_twice_at_most(spark, tmp_path, monkeypatch):
+    """Many packets that carry fake chains: two decoding passes, few walks, whole results."""
+    fake = b"".join(writer.packet(1_600_000_000_000_000, bytes(40)) for _ in range(200))
+    frames = []
+    for i in range(60):
+        frames.append((1_700_000_000_000_000 + i, writer.frame(message(query=f"q{i}.com."))))
+        frames.append((1_700_000_000_000_000 + i, bytes(12) + b"\x12\x34" + fake))
+    save(tmp_path / "a.pcap", frames)
+    decoded, walked = count_passes(monkeypatch)
+    rows = scan(spark, tmp_path, split_bytes=4096).collect()
+    assert sorted(r.query for r in rows) == sorted(f"q{i}.com." for i in range(60))
+    assert len(decoded) == 2 and decoded[1] <= decoded[0]
+    assert 1 <= len(walked) <= captures._WALKS + 1
+
+
+def test_runs_of_zeros_mislead_no_guess(spark, tmp_path, monkeypatch):
+    """A range that begins in zeros takes the packet behind them."""
+    packets = [
+        writer.packet(1_700_000_000_000_000 + i, writer.frame(message(query=f"z{i}.example.com.")))
+        for i in range(200)
+    ]
+    packets.insert(100, writer.packet(1_700_000_000_000_100, bytes(50_000)))
+    (tmp_path / "a.pcap").write_bytes(writer.PCAP_HEADER + b"".join(packets))
+    decoded, walked = count_passes(monkeypatch)
+    rows = captures.captured_messages(scan(spark, tmp_path, split_bytes=2048)).orderBy("seq").collect()
+    assert [r.query for r in rows] == [f"z{i}.example.com." for i in range(200)]
+    assert walked == [] and len(decoded) <= 2
+
+
+def range_states(rows):
+    """(start, attempt, first, last) of ranges of 100 bytes as `_judge` takes them."""
+    return captures.pd.DataFrame(
+        [("f", 0, s, s + 100, n, first, [], last, [], False) for s, n, first, last in rows],
+        columns=captures._columns(captures._STATE),
+    )
+
+
+def test_judged_ranges():
+    # the second range guessed wrong; the third begins where either start leads to
+    guesses = [(0, 0, 24, 120), (100, 0, 150, 210), (200, 0, 210, 300), (300, 0, 300, 400)]
+    judged = captures._judge(False)(range_states(guesses))
+    assert judged[["start", "first", "asked"]].values.tolist() == [[100, 120, True]]
+    # walked: it ends as assumed, and only it is decoded again
+    judged = captures._judge(False)(range_states([*guesses, (100, 1, 120, 210)]))
+    assert judged[["start", "first", "asked"]].values.tolist() == [[100, 120, False]]
+    # walked: one packet reaches to 350, so no packet begins in the third range
+    judged = captures._judge(False)(range_states([*guesses, (100, 1, 120, 350)]))
+    expected = [[100, 120, False], [200, -1, False], [300, 350, True]]
+    assert judged[["start", "first", "asked"]].values.tolist() == expected
+    # a range without a guess tells nothing about its end: the next one is taken as guessed
+    silent = [(0, 0, 24, 120), (100, 0, None, None), (200, 0, 250, 300), (300, 0, 310, 400)]
+    judged = captures._judge(False)(range_states(silent))
+    assert judged[["start", "first"]].values.tolist() == [[100, 120], [300, 300]]
+    judged = captures._judge(True)(range_states(silent))
+    assert judged[["start", "first"]].values.tolist() == [[100, 120]]
+
+
+def test_walking_on_to_the_end_of_the_file(spark, tmp_path):
+    frame = writer.frame(message(query="w.example.com."))
+    data = b"".join(section() + interface() + stamped(frame, NG_US + i) for i in range(40))
+    path = str(tmp_path / "f.pcapng")
+    (tmp_path / "f.pcapng").write_bytes(data)
+    job = captures.pd.DataFrame([(path, 0, 0, 256, 1, 0, [])], columns=captures._columns(captures._JOB))
+    walked = captures.pd.concat(captures._walk_ranges(256, True)(iter([job])))
+    assert walked["last"].iloc[-1] == len(data)
+    assert (walked["first"].iloc[1:].to_numpy() == walked["last"].iloc[:-1].to_numpy()).all()
+    for row in walked.itertuples(index=False):
+        part = captures._Range(captures._Window(path), row.first, row.stop, list(row.assumed))
+        part.walk()
+        assert (part.offset, part.setup, part.section) == (row.last, row.setup, row.section)
