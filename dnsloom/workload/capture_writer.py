@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dnsloom.functions.flags import HEADER_BITS
@@ -14,6 +14,30 @@ from dnsloom.sources.captures import location
 PCAP_HEADER = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1)
 
 
+# Client n of the log is 10.0.<n // 256>.<n % 256>, which is no address from n = 65,536 on. Such a
+# client goes out as address 10.0.0.0 + n; the log has no others from 10.1.0.0 on.
+_CLIENTS = (10, 0)
+
+
+def wire_address(address: str) -> bytes:
+    """The four bytes of an address of the log."""
+    first, second, third, fourth = map(int, address.split("."))
+    if third < 256 or (first, second) != _CLIENTS:
+        return bytes((first, second, third, fourth))
+    high, low = divmod(third, 256)
+    return bytes((first + high // 256, high % 256, low, fourth))
+
+
+def log_address(address: Column) -> Column:
+    """An address read from a capture as the log has it: undoes `wire_address`."""
+    first, second, third, fourth = (
+        F.split(address, r"\.").getItem(i).cast("int") for i in range(4)
+    )
+    high = (first - _CLIENTS[0]) * 256 + second
+    client = F.concat_ws(".", *map(F.lit, _CLIENTS), high * 256 + third, fourth)
+    return F.when((first >= _CLIENTS[0]) & (high > 0), client).otherwise(address)
+
+
 def dns_message(row) -> bytes:
     """Header and first question of a RAW_SCHEMA row; no question when qdcount is 0."""
     word = 0
@@ -36,7 +60,7 @@ def frame(row, *, ipv6: bool = False, tcp: bool = False, port: int = 53) -> byte
     if ipv6:
         network = struct.pack(">IHBB", 6 << 28, len(transport), protocol, 64) + bytes(32)
         return bytes(12) + b"\x86\xdd" + network + transport
-    addresses = b"".join(bytes(map(int, ip.split("."))) for ip in (row.source_ip, row.destination_ip))
+    addresses = wire_address(row.source_ip) + wire_address(row.destination_ip)
     head = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(transport), 0, 0, 64, protocol, 0)
     return bytes(12) + b"\x08\x00" + head + addresses + transport
 

@@ -20,7 +20,7 @@ from dnsloom.settings import AlertSettings, ScaleSettings
 from dnsloom.sources import captures, feeds
 from dnsloom.sources.logs import read_dns_log, stream_dns_log
 from dnsloom.streaming.live import LiveDetection
-from dnsloom.workload.capture_writer import write_captures
+from dnsloom.workload.capture_writer import log_address, write_captures
 from dnsloom.workload.tables import INTEL_SETTINGS, NOW, Workload
 
 SCALE = ScaleSettings()
@@ -64,6 +64,7 @@ def pcap_scan(w: Workload) -> DataFrame:
     within = F.lag("ts_us").over(Window.partitionBy("path", "chunk").orderBy("seq"))
     before = F.coalesce(within, F.col("carried"))
     ordered = read.withColumn("in_order", F.coalesce(before <= F.col("ts_us"), F.lit(True)))
+    ordered = ordered.withColumns({c: log_address(F.col(c)) for c in ("source_ip", "destination_ip")})
     return ordered.select(*[c for c in RAW_SCHEMA.fieldNames() if c != "seq"], "in_order")
 
 

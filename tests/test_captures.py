@@ -59,6 +59,25 @@ def test_rows_come_back_from_many_small_ranges(spark, tmp_path):
     assert times == sorted(times)
 
 
+def test_clients_beyond_one_byte_come_back(spark, tmp_path):
+    """The log numbers its clients on past 10.0.255.255."""
+    clients = [f"10.0.{n // 256}.{n % 256}" for n in (0, 65_535, 65_536, 90_001, 900_000, 1 << 24, (1 << 31) + 7)]
+    rows = raw_rows(
+        spark,
+        [{"ts_us": 1_700_000_000_000_000 + i, "source_ip": c} for i, c in enumerate(clients)]
+        + [{"ts_us": 1_700_000_000_000_100, "source_ip": "8.8.8.8", "destination_ip": c, "qr": 1} for c in clients],
+    )
+    writer.write_captures(rows, str(tmp_path), files=1)
+    read = captures.captured_messages(scan(spark, tmp_path))
+    read = read.withColumns({c: writer.log_address(F.col(c)) for c in ("source_ip", "destination_ip")})
+    pairs = ["source_ip", "destination_ip"]
+    assert sorted(read.select(pairs).collect()) == sorted(rows.select(pairs).collect())
+    sent = {writer.wire_address(c) for c in clients}
+    assert len(sent) == len(clients) and bytes((10, 0, 255, 255)) in sent
+    with pytest.raises(ValueError):
+        writer.wire_address("10.1.256.1")
+
+
 def test_wrong_guesses_are_found_and_walked_again(spark, tmp_path):
     """Packets that carry whole fake packet chains mislead the guess, not the result."""
     fake = b"".join(writer.packet(1_600_000_000_000_000, bytes(40)) for _ in range(200))
