@@ -59,7 +59,8 @@ class LiveDetection:
 
     intel: provider tables and verdicts known before; a domain gets its verdict in the micro-batch
     in which it is first seen, and again once that is too old. A lookup budget is not kept here.
-    alert_sender(url, payload) and forward_sender(line) run on the executors.
+    alert_sender(url, payload) and forward_sender(line) run on the executors; those that are context
+    managers are entered once per task.
     """
 
     spark: SparkSession
@@ -147,9 +148,8 @@ class LiveDetection:
 
     def _send(self, written: DataFrame) -> None:
         if self.alerts is not None and self.alert_sender is not None and self.alerts.webhook_url:
-            url, sender = self.alerts.webhook_url, self.alert_sender
             payloads = exports.alerts(written, self.alerts).select("payload")
-            deliver(payloads, lambda payload: sender(url, payload))
+            deliver(payloads, self.alert_sender, self.alerts.webhook_url)
         if self.forward is not None and self.forward_sender is not None:
             deliver(exports.cef_lines(written, self.forward).select("line"), self.forward_sender)
 

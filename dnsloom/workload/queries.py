@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -26,6 +27,8 @@ from dnsloom.workload.tables import INTEL_SETTINGS, NOW, Workload
 SCALE = ScaleSettings()
 # pcap_scan compares times within stretches of this length; one row a stretch is carried on.
 _CHUNK_BYTES = 1 << 22
+# A slice of the arriving log is one file per so many rows, or one file.
+_ROWS_A_FILE = 1 << 15
 BUNDLE_UUID = "00000000-0000-4000-8000-000000000000"
 
 
@@ -182,7 +185,7 @@ def live_detection(w: Workload) -> DataFrame:
 
 
 def _stream(w: Workload, enriched: bool, parts: int = 4, **sending) -> LiveDetection:
-    """The DNS log arriving in `parts` time slices of one file each, one file per micro-batch.
+    """The DNS log arriving in `parts` time slices, one per micro-batch, of as many files each.
 
     The stream is started after every second slice, and takes up the state that the run before
     left in the stream's folder.
@@ -193,12 +196,17 @@ def _stream(w: Workload, enriched: bool, parts: int = 4, **sending) -> LiveDetec
     folder = new_path(w.spark, "arriving")
     log = w.stored_log
     cuts = log.approxQuantile("ts_us", [i / parts for i in range(1, parts)], 0.01)
-    for turn, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True), 1):
-        part = log if low is None else log.where(F.col("ts_us") >= int(low))
-        part = part if high is None else part.where(F.col("ts_us") < int(high))
-        part.repartition(1).write.mode("append").parquet(folder)
+    slices = []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        inside = F.lit(True) if low is None else F.col("ts_us") >= int(low)
+        slices.append(inside if high is None else inside & (F.col("ts_us") < int(high)))
+    sizes = log.agg(*[F.count_if(inside) for inside in slices]).first()
+    # Dealt out in turn, so many rows leave no file of a slice empty.
+    files = max(1, min(sizes) // _ROWS_A_FILE)
+    for turn, inside in enumerate(slices, 1):
+        log.where(inside).repartition(files).write.mode("append").parquet(folder)
         if turn % 2 == 0 or turn == parts:
-            log_stream = stream_dns_log(w.spark, folder, max_files_per_trigger=1)
+            log_stream = stream_dns_log(w.spark, folder, max_files_per_trigger=files)
             live.start(log_stream).awaitTermination()
     return live
 
@@ -211,20 +219,33 @@ def stream_enriched(w: Workload) -> DataFrame:
     return _flat(_stream(w, enriched=True).output())
 
 
+class _Inbox:
+    """A sender that keeps what a task sends in one file of the shared folder."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def __enter__(self) -> None:
+        self.sink = None
+
+    def __call__(self, url: str, payload: str) -> None:
+        if self.sink is None:
+            filesystem, inner = captures.location(self.folder)
+            filesystem.create_dir(inner)
+            self.sink = filesystem.open_output_stream(f"{inner}/{uuid.uuid4().hex}.json")
+        self.sink.write(json.dumps({"payload": payload}).encode() + b"\n")
+
+    def __exit__(self, *error) -> None:
+        if self.sink is not None:
+            self.sink.close()
+
+
 def stream_alerts(w: Workload) -> DataFrame:
     """What an injected sender was handed while the stream ran, through the shared folder."""
     inbox = new_path(w.spark, "inbox")
-
-    def keep(url: str, payload: str) -> None:
-        filesystem, inner = captures.location(inbox)
-        filesystem.create_dir(inner)
-        with filesystem.open_output_stream(f"{inner}/{uuid.uuid4().hex}.txt") as sink:
-            sink.write(payload.encode())
-
     settings = AlertSettings(enabled=True, webhook_url="https://alerts.test/hook")
-    _stream(w, enriched=True, alerts=settings, alert_sender=keep)
-    sent = w.spark.read.text(inbox, wholetext=True)
-    return sent.select(F.col("value").alias("payload"))
+    _stream(w, enriched=True, alerts=settings, alert_sender=_Inbox(inbox))
+    return w.spark.read.schema("payload STRING").json(inbox)
 
 
 def phish_feed_domains(w: Workload) -> DataFrame:
