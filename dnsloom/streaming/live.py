@@ -5,8 +5,8 @@ Spark's state store (`streaming.state`). Each micro-batch is the parsed records
 what was stored for the keys that they touch, and runs the causal operators of
 `operators.replay` on the two. Its output goes to a folder of its own: a micro-batch that is run
 again after a failure starts from the same version of the state and overwrites the same files, so
-every record comes out exactly once. What a micro-batch reads of the state does not grow with the
-clients and domains kept.
+every record comes out exactly once. A micro-batch reads the state of the keys it touches: of a
+domain its sightings, of clients and verdicts whole buckets, which `buckets` keeps small.
 
 A client or domain with more than `group_rows` rows in a micro-batch is cut into time chunks
 like in a stored table. A domain's sightings that left its own window are let go: no other domain
