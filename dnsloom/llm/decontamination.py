@@ -11,6 +11,7 @@ for containment the necessary prefix of a window, in order of rarity, is its rar
    document (length and position bounds);
 5. the words of the stretch, as long as the window, are compared with those of the window.
 
+The words of a document are matched once and stored, joined by spaces, for the passes over them.
 Benchmark tables are broadcast in blocks of a checked size, the documents are never shuffled by
 shingle, and a document's words travel in stretches of a few dozen. What is shuffled are the
 windows found, by document.
@@ -52,6 +53,27 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(lowered, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def _stored_words(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
+    """doc_col, key, key2, n_words, joined: a document's words once, with a space between them
+    (no word has one)."""
+    text = F.col(text_col)
+    matched = docs.select(
+        F.col(doc_col),
+        F.xxhash64(F.col(doc_col), text).alias("key"),
+        F.xxhash64(F.lit(1), F.col(doc_col), text).alias("key2"),
+        words_of(text).alias("words"),
+    )
+    counted = F.size("words").cast("long").alias("n_words")
+    return stage(
+        matched.select(doc_col, "key", "key2", counted, F.array_join("words", " ").alias("joined")), "document-words"
+    ).df
+
+
+def _words_again() -> Column:
+    """The words of a row of `_stored_words`."""
+    return F.when(F.col("n_words") > 0, F.split("joined", " ")).otherwise(F.array().cast("array<string>"))
+
+
 def windows_of(items: DataFrame, s: ContaminationSettings, item_col: str, text_col: str) -> DataFrame:
     """Distinct windows: passage, words, size, and the items (as texts, sorted) that have it.
 
@@ -110,9 +132,8 @@ def _in_blocks(table: DataFrame, key: str, text: Column | None, most: int) -> li
     return [table.where(part == i) for i in range(blocks)]
 
 
-def rarities(docs: DataFrame, shingles: DataFrame, sizes: list[int], s: ContaminationSettings, text_col: str) -> DataFrame:
-    """(shingle, times): occurrences in all documents of the shingles that occur at all."""
-    words = docs.select(words_of(F.col(text_col)).alias("words"))
+def rarities(words: DataFrame, shingles: DataFrame, sizes: list[int], s: ContaminationSettings) -> DataFrame:
+    """(shingle, times): occurrences in all documents' `words` of the shingles that occur at all."""
     placed = _placed_shingles(words, sizes, s, F.size("words"))
     wanted = stage(shingles.select("shingle").distinct(), "benchmark-shingles").df
     counts = [
@@ -184,16 +205,10 @@ def contamination(
     smallest = F.least("size", F.lit(s.shingle_words)).alias("n")
     sizes = sorted(r["n"] for r in windows.select(smallest).distinct().collect()) or [s.shingle_words]
 
-    text = F.col(text_col)
-    named = docs.select(
-        F.col(doc_col),
-        F.xxhash64(F.col(doc_col), text).alias("key"),
-        F.xxhash64(F.lit(1), F.col(doc_col), text).alias("key2"),
-        text.alias("__text"),
-    )
-    counts = rarities(docs, shingles, sizes, s, text_col)
+    named = _stored_words(docs, doc_col, text_col)
+    counts = rarities(named.select(_words_again().alias("words")), shingles, sizes, s)
     prefix = stage(prefixes(windows, shingles, counts), "prefixes").df
-    rows = named.select("key", "key2", words_of(F.col("__text")).alias("words"))
+    rows = named.select("key", "key2", _words_again().alias("words"))
     # Repeated rows repeat their windows: the same stretch again adds no word and no item.
     before = Window.partitionBy("key", "key2").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("end").over(before), F.lit(0))
@@ -211,7 +226,7 @@ def contamination(
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     )
     whole = hit.select("key", "key2", "n_hit").join(listed, ["key", "key2"])
-    sized = named.select(doc_col, "key", "key2", F.size(words_of(F.col("__text"))).cast("long").alias("n_words"))
+    sized = named.select(doc_col, "key", "key2", "n_words")
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     return sized.join(whole, ["key", "key2"], "left").select(
         doc_col,

@@ -114,3 +114,18 @@ def test_no_python_on_the_main_path(spark, messy, passages):
     found = decontamination.contamination(messy, items)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_the_words_of_a_document_are_matched_once(spark, monkeypatch):
+    """Passes over the documents read stored words; empty and null texts have none of them."""
+    texts = ["", None, " ,. ", "A  b\u00c4\u0130 \u00a0c-d", "one", "one two three four five six seven eight nine ten " * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    items = spark.createDataFrame([("i", texts[-1]), ("j", "one")], "item_id STRING, text STRING")
+    matched, plain = [], decontamination.words_of
+    monkeypatch.setattr(decontamination, "words_of", lambda text: matched.append(1) or plain(text))
+    found = decontamination.contamination(docs, items).orderBy("doc_id").collect()
+    # Once for the items, once for the documents.
+    assert len(matched) == 2
+    expected = [len(r.words) for r in docs.select("doc_id", plain(F.col("text")).alias("words")).orderBy("doc_id").collect()]
+    assert [r.n_words for r in found] == expected == [0, 0, 0, 4, 1, 20]
+    assert [r.n_hit for r in found] == [0, 0, 0, 0, 1, 20]
