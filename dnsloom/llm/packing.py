@@ -13,6 +13,7 @@ ties in length go by id and start, extra columns are ignored, an empty table giv
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -74,7 +75,9 @@ def first_fit(lengths: Sequence[int], length: int) -> tuple[list[int], list[int]
     return sequences, offsets
 
 
-_MARKS = (".", ",", ";", ":", "!", "?")
+# Marks that may end a word, one or a run of them.
+_MARKS = string.punctuation
+_MARK = "."
 _tokenizers: dict = {}
 
 
@@ -91,6 +94,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.entries = max(1, cached_words // 2)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -116,17 +120,18 @@ class WordEncoder:
         ]
         unknown = self._missing(set().union(*cut))
         plain = {word for word in unknown if word.isalpha() and word == word.lower()}
-        marked = [
-            w
-            for w in unknown
-            if w[-1:] in _MARKS and w[:-1].isalpha() and w == w.lower()
-        ]
-        plain.update(self._missing({w[:-1] for w in marked}))
-        rest = set(unknown).difference(plain, marked).union(self._missing(set(_MARKS)))
+        marked = []
+        for word in unknown:
+            stem = word.rstrip(_MARKS)
+            if stem != word and stem.isalpha() and word == word.lower():
+                marked.append((word, stem, word[len(stem) :]))
+        plain.update(self._missing({stem for _, stem, _ in marked}))
+        rest = set(unknown).difference(plain, [word for word, _, _ in marked])
+        rest.update(self._missing({marks for _, _, marks in marked}))
         self._look_up(list(plain), 1000)
         self._look_up(list(rest), 1)
-        for word in marked:
-            known[word] = known[word[:-1]] + known[word[-1]]
+        for word, stem, marks in marked:
+            known[word] = known[stem] + known[marks]
         found = [b"".join(map(known.__getitem__, words)) for words in cut]
         for i, ids in whole.items():
             found[i] = ids
@@ -149,22 +154,26 @@ class WordEncoder:
         return unknown
 
     def _look_up(self, words: list[str], joined: int) -> None:
-        """Encodes words; words of letters only may be `joined` in one text by spaces."""
+        """Encodes words; words of letters only may be `joined` in one text by a mark, at whose id
+        the ids are parted again. Offsets, which cost the most, are not asked for."""
         for k in range(0, len(words), 20_000):
             parts = [words[i : i + joined] for i in range(k, min(len(words), k + 20_000), joined)]
-            texts = [" ".join(part) for part in parts]
+            texts = [_MARK.join(part) for part in parts]
             for part, found in zip(
-                parts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True
+                parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True
             ):
-                stored = np.array(found.ids, "<u4").tobytes()
+                ids = np.array(found.ids, "<u4")
+                stored = ids.tobytes()
                 if joined == 1:
                     self.new[part[0]] = stored
                     continue
-                sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part))
-                if len(sizes) != len(part):
-                    raise ValueError("the tokenizer does not keep words of letters whole")
-                ends = 4 * np.cumsum(sizes)
-                for word, start, end in zip(part, (ends - 4 * sizes).tolist(), ends.tolist(), strict=True):
+                marks = (4 * np.flatnonzero(ids == self.mark)).tolist()
+                if len(marks) != len(part) - 1:
+                    # A letter to Python is none to the tokenizer: it took a mark together with it.
+                    self._look_up(part, 1)
+                    continue
+                starts = [0, *(at + 4 for at in marks)]
+                for word, start, end in zip(part, starts, [*marks, len(stored)], strict=True):
                     self.new[word] = stored[start:end]
 
 

@@ -100,3 +100,18 @@ def test_query_pads_little(spark, tokenizer):
     texts = {r.doc_id: [r.text] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     filled = check(queries.op10_packing(spark, folder).collect(), texts, tokenizer)
     assert sum(filled) / (2048 * len(filled)) > 0.98
+
+
+def test_words_with_runs_of_marks_are_parted(tokenizer):
+    """Ids are the library's, and only the runs of marks are encoded one by one."""
+    encoder = packing.WordEncoder(PATH, 1000)
+    stems = ["alpha", "\u00e9t\u00e9", "cioness", "\u00f1andu", "\U0002ebf0", "\u0130z"]
+    texts = [" ".join(f"{stem}{marks}" for stem in stems) for marks in ("", "&&&", "...", "!?", "'", "\"", ".,;")]
+    texts += ["it's 'quoted' a.b x1! 3.5% ---", "\u03a3\u03a3!! \u03c3\u03c2&&", "= \u0338 a<\u0338"]
+    single, look_up = [], encoder._look_up
+    encoder._look_up = lambda words, joined: (single.extend(words) if joined == 1 else None, look_up(words, joined))
+    found = encoder.encode(texts)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == [
+        tokenizer.encode(t, add_special_tokens=False).ids for t in texts
+    ]
+    assert "&&&" in single and "alpha&&&" not in single and "alpha" not in single
