@@ -206,15 +206,18 @@ def lexicon(counts: DataFrame, s: LmSettings) -> Lexicon:
 
 
 class Network:
-    """The gated recurrent unit and its class-factored output; all weights in one flat array."""
+    """The gated recurrent unit and its class-factored output; all weights in one flat array.
+
+    Gates stand in front (update, reset, new state), so that those of a step lie together.
+    """
 
     def __init__(self, s: LmSettings, shares: np.ndarray):
         self.s = s
         h, n = s.state, s.symbols
         self.shapes = {
-            "enter": (n, 3 * h),
-            "carry": (h, 3 * h),
-            "carry_bias": (3 * h,),
+            "enter": (3, n, h),
+            "carry": (3, h, h),
+            "carry_bias": (3, h),
             "to_class": (h, s.classes),
             "class_bias": (s.classes,),
             "to_symbol": (s.classes, h, s.per_class),
@@ -223,12 +226,12 @@ class Network:
         self.flat = np.zeros(sum(int(np.prod(x)) for x in self.shapes.values()), np.float32)
         w = self.views(self.flat)
         random = np.random.default_rng(11)
-        w["enter"][:] = random.normal(0, 0.1, w["enter"].shape)
-        w["carry"][:] = random.normal(0, 0.5 / np.sqrt(h), w["carry"].shape)
+        w["enter"][:] = random.normal(0, 0.1, (n, 3, h)).transpose(1, 0, 2)
+        w["carry"][:] = random.normal(0, 0.5 / np.sqrt(h), (h, 3, h)).transpose(1, 0, 2)
         # Slow forgetting at the start: the update gate mostly keeps the state.
-        w["carry_bias"][:h] = 2.0
+        w["carry_bias"][0] = 2.0
         order = np.argsort(-shares, kind="stable")
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int16)
         place[order] = np.arange(n)
         self.class_of, self.within = place // s.per_class, place % s.per_class
         by_class = shares[order].reshape(s.classes, s.per_class)
@@ -243,94 +246,184 @@ class Network:
             at += size
         return out
 
-    def steps(self, w, symbols: np.ndarray, fresh: np.ndarray, h: np.ndarray):
+    def steps(self, w, symbols: np.ndarray, fresh: np.ndarray, h: np.ndarray, back: bool = False):
         """Runs a window. symbols, fresh: (steps, lanes); fresh cells start a document.
 
-        Returns the states before each step, what backpropagation needs, and the last state.
+        Returns the states before each step, what backpropagation needs (if `back`), and the last
+        state.
         """
-        size, kept, saved = self.s.state, [], []
-        for x, new in zip(symbols, fresh, strict=True):
-            h = np.where(new[:, None], np.float32(0), h)
-            kept.append(h)
-            inner = h @ w["carry"] + w["carry_bias"]
-            outer = w["enter"][x]
-            gates = 1 / (1 + np.exp(-(inner[:, : 2 * size] + outer[:, : 2 * size])))
-            z, r = gates[:, :size], gates[:, size:]
-            q = inner[:, 2 * size :]
-            n = np.tanh(outer[:, 2 * size :] + r * q)
-            saved.append((z, r, q, n))
-            h = n + z * (h - n)
-        return np.stack(kept), saved, h
+        (steps, lanes), size = symbols.shape, self.s.state
+        carry, kind, new = w["carry"], w["carry"].dtype, fresh.any(axis=1).tolist()
+        states, kept = np.empty((steps + 1, lanes, size), kind), steps if back else 1
+        gates = np.empty((kept, 2, lanes, size), kind)
+        q, n = np.empty((2, kept, lanes, size), kind)
+        inner, outer = np.empty((2, 3, lanes, size), kind)
+        outer_bias, inner_bias = w["carry_bias"][:2, None], w["carry_bias"][2]
+        states[0] = h
+        for t, x in enumerate(symbols):
+            at = t if back else 0
+            gate, qt, nt, h, after = gates[at], q[at], n[at], states[t], states[t + 1]
+            if new[t]:
+                h[fresh[t]] = 0
+            np.matmul(h, carry, out=inner)
+            np.take(w["enter"], x, axis=1, out=outer, mode="clip")
+            np.add(inner[:2], outer[:2], out=gate)
+            gate += outer_bias
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            np.add(inner[2], inner_bias, out=qt)
+            np.multiply(gate[1], qt, out=nt)
+            nt += outer[2]
+            np.tanh(nt, out=nt)
+            np.subtract(h, nt, out=after)
+            after *= gate[0]
+            after += nt
+        return states[:steps], (gates, q, n), states[steps]
 
     def log_chance(self, w, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log-probability of each symbol, given the state before it (flat arrays)."""
-        kind, place = self.class_of[symbols], self.within[symbols]
-        scores = states @ w["to_class"] + w["class_bias"]
-        rows = np.arange(len(symbols))
-        out = scores[rows, kind] - _log_sum(scores)
+        kind = self.class_of[symbols]
         order = np.argsort(kind, kind="stable")
-        bound = np.searchsorted(kind[order], np.arange(self.s.classes + 1))
+        states, kind, place = states[order], kind[order], self.within[symbols][order]
+        rows = np.arange(len(symbols))
+        scores = states @ w["to_class"]
+        scores += w["class_bias"]
+        found = scores[rows, kind]
+        found -= _log_sum(scores)
+        inner = np.empty((len(symbols), self.s.per_class), scores.dtype)
+        bound = np.searchsorted(kind, np.arange(self.s.classes + 1)).tolist()
         for c in range(self.s.classes):
-            at = order[bound[c] : bound[c + 1]]
-            if len(at):
-                inner = states[at] @ w["to_symbol"][c] + w["symbol_bias"][c]
-                out[at] += inner[np.arange(len(at)), place[at]] - _log_sum(inner)
+            a, b = bound[c], bound[c + 1]
+            if a < b:
+                np.matmul(states[a:b], w["to_symbol"][c], out=inner[a:b])
+                inner[a:b] += w["symbol_bias"][c]
+        found += inner[rows, place]
+        found -= _log_sum(inner)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradient(self, w, symbols, fresh, active, h):
         """(gradient of the mean loss of a window, state after it)."""
-        s, size = self.s, self.s.state
-        states, saved, last = self.steps(w, symbols, fresh, h)
-        g = self.views(np.zeros_like(self.flat))
-        flat = states.reshape(-1, size)
-        target, weight = symbols.ravel(), (active.ravel() / max(1, active.sum())).astype(np.float32)
-        kind, place = self.class_of[target], self.within[target]
-        chance = _softmax(flat @ w["to_class"] + w["class_bias"])
-        chance[np.arange(len(target)), kind] -= 1
+        size = self.s.state
+        states, (gates, q, n), last = self.steps(w, symbols, fresh, h, back=True)
+        flat = np.zeros_like(self.flat)
+        g = self.views(flat)
+        before = states.reshape(-1, size)
+        weight = (active.ravel() / max(1, active.sum())).astype(flat.dtype)
+        back = self._output_gradient(w, g, before, symbols.ravel(), weight).reshape(states.shape)
+        # What a step passes on, but for the factor that comes from later steps.
+        z, r = gates[:, 0], gates[:, 1]
+        rest = 1 - z
+        through = np.empty((3, *states.shape), flat.dtype)
+        np.subtract(states, n, out=through[0])
+        through[0] *= z
+        through[0] *= rest
+        np.multiply(n, n, out=through[2])
+        np.subtract(1, through[2], out=through[2])
+        through[2] *= rest
+        np.subtract(1, r, out=through[1])
+        through[1] *= r
+        through[1] *= q
+        through[1] *= through[2]
+        # Gradients of the gates before their bends, the last one as the state carries it (3)
+        # and as the symbol enters it (2).
+        to = np.empty((4, *states.shape), flat.dtype)
+        later, turned = np.zeros_like(states[0]), w["carry"].transpose(0, 2, 1)
+        carried, new = np.empty((3, *later.shape), flat.dtype), fresh.any(axis=1).tolist()
+        inner = np.concatenate([through[:2], through[2:] * r])
+        for t in range(len(symbols) - 1, -1, -1):
+            np.multiply(through[:, t], later, out=to[:3, t])
+            np.multiply(inner[:, t], later, out=carried)
+            to[3, t] = carried[2]
+            later *= z[t]
+            later += np.matmul(carried, turned).sum(axis=0)
+            later += back[t]
+            if new[t]:
+                later[fresh[t]] = 0
+        to = to.reshape(4, -1, size)
+        by_carry = to[[0, 1, 3]]
+        g["carry"][:] = before.T @ by_carry
+        g["carry_bias"][:] = np.ones(len(before), flat.dtype) @ by_carry
+        used = symbols.ravel()
+        order = np.argsort(used, kind="stable")
+        ordered = used[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        g["enter"][:, ordered[first]] = np.add.reduceat(to[:3].take(order, axis=1), first, axis=1)
+        return flat, last
+
+    def _output_gradient(self, w, g, states, symbols, weight) -> np.ndarray:
+        """Adds the gradients of the output weights to `g`; returns that of the states.
+
+        Symbols are put into blocks of `_BLOCK` rows of one class, with empty rows at the end of a
+        class, so that all classes are multiplied in one go.
+        """
+        s, kind = self.s, self.class_of[symbols]
+        rows = np.arange(len(symbols))
+        chance = states @ w["to_class"]
+        chance += w["class_bias"]
+        _softmax(chance)
+        chance[rows, kind] -= 1
         chance *= weight[:, None]
-        g["to_class"] += flat.T @ chance
+        g["to_class"] += states.T @ chance
         g["class_bias"] += chance.sum(axis=0)
         back = chance @ w["to_class"].T
         order = np.argsort(kind, kind="stable")
-        bound = np.searchsorted(kind[order], np.arange(s.classes + 1))
-        for c in range(s.classes):
-            at = order[bound[c] : bound[c + 1]]
-            if len(at):
-                chance = _softmax(flat[at] @ w["to_symbol"][c] + w["symbol_bias"][c])
-                chance[np.arange(len(at)), place[at]] -= 1
-                chance *= weight[at][:, None]
-                g["to_symbol"][c] += flat[at].T @ chance
-                g["symbol_bias"][c] += chance.sum(axis=0)
-                back[at] += chance @ w["to_symbol"][c].T
-        back = back.reshape(states.shape)
-        later, entered = np.zeros_like(states[0]), []
-        for t in range(len(symbols) - 1, -1, -1):
-            z, r, q, n = saved[t]
-            before = states[t]
-            to_n = later * (1 - z) * (1 - n * n)
-            to_z = later * (before - n) * z * (1 - z)
-            to_r = to_n * q * r * (1 - r)
-            inner = np.concatenate([to_z, to_r, to_n * r], axis=1)
-            g["carry"] += before.T @ inner
-            g["carry_bias"] += inner.sum(axis=0)
-            entered.append(np.concatenate([to_z, to_r, to_n], axis=1))
-            later = later * z + inner @ w["carry"].T + back[t]
-            later[fresh[t]] = 0
-        used = symbols[::-1].ravel()
-        order = np.argsort(used, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(used[order]) != 0))
-        g["enter"][used[order][first]] = np.add.reduceat(np.concatenate(entered)[order], first)
-        return np.concatenate([x.ravel() for x in g.values()]), last
+        in_class = np.bincount(kind, minlength=s.classes)
+        blocks = -(-in_class // _BLOCK)
+        block, row = np.cumsum(blocks) - blocks, np.cumsum(in_class) - in_class
+        slot = rows + np.repeat(block * _BLOCK - row, in_class)
+        owner = np.repeat(np.arange(s.classes), blocks)
+        x = np.zeros((len(owner) * _BLOCK, s.state), states.dtype)
+        x[slot] = states[order]
+        part = np.zeros((len(x), 1), states.dtype)
+        part[slot, 0] = weight[order]
+        x, weights = x.reshape(-1, _BLOCK, s.state), w["to_symbol"][owner]
+        chance = x @ weights
+        chance += w["symbol_bias"][owner][:, None]
+        flat = chance.reshape(-1, s.per_class)
+        _softmax(flat)
+        flat[slot, self.within[symbols[order]]] -= 1
+        flat *= part
+        x, block = x.reshape(-1, s.state), (block * _BLOCK).tolist()
+        for c, n in enumerate(in_class.tolist()):
+            if n:
+                part = slice(block[c], block[c] + n)
+                g["to_symbol"][c] = x[part].T @ flat[part]
+                g["symbol_bias"][c] = flat[part].sum(axis=0)
+        back[order] += (chance @ weights.transpose(0, 2, 1)).reshape(-1, s.state)[slot]
+        return back
+
+
+# Rows of one class that the output gradient multiplies at once.
+_BLOCK = 16
+# Scores within this range can be exponentiated as they are.
+_PLAIN = 60.0
+
+
+def _exponents(x: np.ndarray) -> np.ndarray | None:
+    """Takes exp of `x` in place, less what it returns for each row (None: nothing)."""
+    top = None
+    if x.max(initial=0) > _PLAIN or x.min(initial=0) < -_PLAIN:
+        top = x.max(axis=1)
+        x -= top[:, None]
+    np.exp(x, out=x)
+    return top
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return np.log(np.exp(x - top[:, None]).sum(axis=1)) + top
+    """Log of the sum of exp of each row; `x` is used up."""
+    top = _exponents(x)
+    total = np.log(x @ np.ones(x.shape[1], x.dtype))
+    return total if top is None else total + top
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _softmax(x: np.ndarray) -> None:
+    """Shares of exp within each row, in place."""
+    _exponents(x)
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
 
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -385,20 +478,28 @@ def _train_locally(network: Network, symbols: np.ndarray, lengths: np.ndarray) -
     """Adam over windows of truncated backpropagation, at least `least_updates` of them."""
     s = network.s
     grid, text, fresh = _laid_out(symbols, lengths, s.lanes)
-    mean, square, step = np.zeros_like(network.flat), np.zeros_like(network.flat), 0
+    mean, square, change = np.zeros((3, len(network.flat)), network.flat.dtype)
+    step = 0
     w = network.views(network.flat)
     while True:
         h = np.zeros((grid.shape[1], s.state), np.float32)
         for at in range(0, len(grid), s.window):
             part = slice(at, at + s.window)
             grad, h = network.gradient(w, grid[part], fresh[part], text[part] >= 0, h)
-            size = float(np.sqrt((grad * grad).sum()))
-            grad *= min(1.0, 1.0 / max(size, 1e-9))
+            lift = min(1.0, 1.0 / max(float(np.sqrt(grad @ grad)), 1e-9))
             step += 1
-            mean += 0.1 * (grad - mean)
-            square += 0.01 * (grad * grad - square)
-            lift = mean / (1 - 0.9**step)
-            network.flat -= s.rate * lift / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
+            mean *= 0.9
+            np.multiply(grad, 0.1 * lift, out=change)
+            mean += change
+            grad *= grad
+            grad *= 0.01 * lift * lift
+            square *= 0.99
+            square += grad
+            np.sqrt(square, out=grad)
+            grad += 1e-6 * np.sqrt(1 - 0.99**step)
+            np.divide(mean, grad, out=change)
+            change *= s.rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+            network.flat -= change
         if step >= s.least_updates:
             return
 

@@ -48,6 +48,31 @@ def test_chances_add_up_to_one(network):
     assert total == pytest.approx(1.0)
 
 
+def test_output_gradient_of_all_classes_at_once(network):
+    """Blocks of a class, with one that is full, one that is not and one class left out."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.flatnonzero(network.class_of == 0)[rng.integers(0, 4, 40)], np.flatnonzero(network.class_of == 2)[:1]])
+    states, weight = rng.normal(size=(41, 5)), rng.random(41)
+    w, g = network.views(network.flat), network.views(np.zeros_like(network.flat))
+    back = network._output_gradient(w, g, states, x, weight)
+    for i in range(41):
+        for j in range(5):
+            moved = np.repeat(states[[i]], 2, axis=0)
+            moved[:, j] += (1e-5, -1e-5)
+            up, down = network.log_chance(w, moved, x[[i, i]])
+            assert back[i, j] == pytest.approx(-weight[i] * (up - down) / 2e-5, abs=1e-6)
+    assert not g["to_symbol"][1].any() and g["to_symbol"][0].any() and g["to_symbol"][2].any()
+
+
+def test_great_scores_stay_finite(network):
+    w, state = network.views(network.flat), np.zeros((1, 5))
+    w["symbol_bias"][0] = (0, 500, 1000, -1000)
+    w["class_bias"][:] = (1000, 0, -1000)
+    first = np.argsort(network.class_of * 4 + network.within)
+    found = [network.log_chance(w, state, first[[k]])[0] for k in range(4)]
+    assert found == pytest.approx([-1000, -500, 0, -2000])
+
+
 def test_state_goes_through_whole_texts(network):
     rng = np.random.default_rng(3)
     lengths = np.array([1, 9, 30, 2, 17, 5, 5])
