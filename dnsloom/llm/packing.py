@@ -17,13 +17,15 @@ import string
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import pieces_of
+from dnsloom.llm.common import pieces_of, span_hashes, word_spans
 from dnsloom.operators.staging import stage
 
 
@@ -78,12 +80,71 @@ def first_fit(lengths: Sequence[int], length: int) -> tuple[list[int], list[int]
 # Marks that may end a word, one or a run of them.
 _MARKS = string.punctuation
 _MARK = "."
+# Kinds of code points below _KINDS; all above are of no kind.
+_LETTER, _PUNCTUATION, _KINDS = 1, 2, 0x30000
+# Longer words are known by a digest: running sums do not tell all long texts apart.
+_LONG = 256
 _tokenizers: dict = {}
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """For each code point whether it is a folded letter or a mark; made once per Python worker."""
+    kinds = np.fromiter((c.isalpha() and c == c.lower() for c in map(chr, range(_KINDS))), np.uint8, _KINDS)
+    kinds[[ord(c) for c in _MARKS]] = _PUNCTUATION
+    return np.append(kinds, np.uint8(0))
+
+
+@lru_cache(maxsize=1)
+def _gaps() -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    table[[ord(c) for c in " \n\t"]] = True
+    return table
+
+
+def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs that have these starts and sizes, one run after the other."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+class _Words:
+    """Ids of words by the words' hashes, which are in order."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros((2, 0), np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Puts in new words, in any order; `ids` are those of all of them."""
+        order = np.argsort(keys)
+        start = len(self.ids) + np.cumsum(size) - size
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.start = np.insert(self.start, at, start[order])
+        self.size = np.insert(self.size, at, size[order])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the words at these places, one after the other."""
+        return self.ids[_ragged(self.start[at], self.size[at])]
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that folds case, drops white space and keeps runs of letters
-    apart from marks: words are encoded once and kept. (Capital sigma folds by its context in
+    apart from marks: words and the marks behind them are encoded once and kept, by 64-bit hashes
+    that are made for all words of many texts at once. (Capital sigma folds by its context in
     Python, so texts that hold one are folded by the tokenizer alone.) A text that spells out a
     special token is encoded as a whole, as only there it stands for that token's id."""
 
@@ -96,8 +157,8 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.entries = max(1, cached_words // 2)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new, self.old = _Words(), _Words()
+        self.fresh: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str, cached_words: int) -> WordEncoder:
@@ -109,50 +170,71 @@ class WordEncoder:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         whole = {i: self._whole(t) for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        if whole:
-            texts = ["" if i in whole else t for i, t in enumerate(texts)]
+        folded = ["" if i in whole else t if "\u03a3" in t else t.lower() for i, t in enumerate(texts)]
+        joined = f" {' '.join(folded)} "
+        codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        begin, end, plain = self._units(codes)
+        keys = span_hashes(codes, begin, end)
+        for i in np.flatnonzero(end - begin > _LONG):
+            word = joined[begin[i] : end[i]].encode()
+            keys[i] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        # The distinct words, and which of them each one is.
+        order = np.argsort(keys)
+        ordered = keys[order]
+        first = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+        which = np.empty(len(keys), np.int64)
+        which[order] = np.cumsum(first) - 1
+        keys, shown = ordered[first], order[first]
         if len(self.new) >= self.entries:
-            self.old, self.new = self.new, {}
-        known = self.new
-        cut = [
-            (t if "\u03a3" in t else t.lower()).replace("\n", " ").replace("\t", " ").split(" ")
-            for t in texts
-        ]
-        unknown = self._missing(set().union(*cut))
-        plain = {word for word in unknown if word.isalpha() and word == word.lower()}
-        marked = []
-        for word in unknown:
-            stem = word.rstrip(_MARKS)
-            if stem != word and stem.isalpha() and word == word.lower():
-                marked.append((word, stem, word[len(stem) :]))
-        plain.update(self._missing({stem for _, stem, _ in marked}))
-        rest = set(unknown).difference(plain, [word for word, _, _ in marked])
-        rest.update(self._missing({marks for _, _, marks in marked}))
-        self._look_up(list(plain), 1000)
-        self._look_up(list(rest), 1)
-        for word, stem, marks in marked:
-            known[word] = known[stem] + known[marks]
-        found = [b"".join(map(known.__getitem__, words)) for words in cut]
+            self.old, self.new = self.new, _Words()
+        missing = self.new.find(keys) < 0
+        kept = self.old.find(keys[missing])
+        known = kept[kept >= 0]
+        unknown = shown[missing][kept < 0]
+        spans = zip(begin[unknown].tolist(), end[unknown].tolist(), strict=True)
+        words, self.fresh = [joined[a:b] for a, b in spans], {}
+        self._look_up([w for w, p in zip(words, plain[unknown].tolist(), strict=True) if p], 1000)
+        self._look_up([w for w, p in zip(words, plain[unknown].tolist(), strict=True) if not p], 1)
+        data = [self.fresh[word] for word in words]
+        self.new.add(
+            np.concatenate([self.old.keys[known], keys[missing][kept < 0]]),
+            np.concatenate([self.old.size[known], np.array([len(d) // 4 for d in data], np.int64)]),
+            np.concatenate([self.old.of(known), np.frombuffer(b"".join(data), "<u4")]),
+        )
+        at = self.new.find(keys)[which]
+        data = self.new.of(at).tobytes()
+        ends = np.append(0, 4 * np.cumsum(self.new.size[at]))
+        starts = np.cumsum([1, *(len(t) + 1 for t in folded)])
+        bound = ends[np.searchsorted(begin, starts)].tolist()
+        found = [data[a:b] for a, b in zip(bound, bound[1:], strict=False)]
         for i, ids in whole.items():
             found[i] = ids
         return found
 
+    def _units(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, whether it is of folded letters only) of what is encoded by itself: words,
+        but for those of folded letters with marks behind them the letters, then the marks."""
+        begin, end = word_spans(codes, _gaps())
+        kinds = _kinds().take(codes, mode="clip")
+        letters = np.cumsum(kinds == _LETTER)
+        other = np.where(kinds == _PUNCTUATION, 0, np.arange(len(codes)))
+        stem = np.maximum.accumulate(other)[end - 1] + 1
+        plain = (stem > begin) & (letters[stem - 1] - letters[begin - 1] == stem - begin)
+        marked = plain & (stem < end)
+        at = np.arange(len(begin)) + np.cumsum(marked) - marked
+        starts, stops = np.empty((2, len(begin) + int(marked.sum())), np.int64)
+        alone = np.zeros(len(starts), bool)
+        starts[at], stops[at], alone[at] = begin, np.where(plain, stem, end), plain
+        behind = at[marked] + 1
+        starts[behind], stops[behind] = stem[marked], end[marked]
+        return starts, stops, alone
+
     def _whole(self, text: str) -> bytes:
         self.tokenizer.encode_special_tokens = False
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         self.tokenizer.encode_special_tokens = True
         return np.array(ids, "<u4").tobytes()
 
-    def _missing(self, words: set[str]) -> list[str]:
-        unknown = []
-        for word in words - self.new.keys():
-            ids = self.old.get(word)
-            if ids is None:
-                unknown.append(word)
-            else:
-                self.new[word] = ids
-        return unknown
-
     def _look_up(self, words: list[str], joined: int) -> None:
         """Encodes words; words of letters only may be `joined` in one text by a mark, at whose id
         the ids are parted again. Offsets, which cost the most, are not asked for."""
@@ -165,7 +247,7 @@ class WordEncoder:
                 ids = np.array(found.ids, "<u4")
                 stored = ids.tobytes()
                 if joined == 1:
-                    self.new[part[0]] = stored
+                    self.fresh[part[0]] = stored
                     continue
                 marks = (4 * np.flatnonzero(ids == self.mark)).tolist()
                 if len(marks) != len(part) - 1:
@@ -174,7 +256,7 @@ class WordEncoder:
                     continue
                 starts = [0, *(at + 4 for at in marks)]
                 for word, start, end in zip(part, starts, [*marks, len(stored)], strict=True):
-                    self.new[word] = stored[start:end]
+                    self.fresh[word] = stored[start:end]
 
 
 def token_pieces(

@@ -115,3 +115,16 @@ def test_words_with_runs_of_marks_are_parted(tokenizer):
         tokenizer.encode(t, add_special_tokens=False).ids for t in texts
     ]
     assert "&&&" in single and "alpha&&&" not in single and "alpha" not in single
+
+
+def test_words_are_kept_without_their_marks(tokenizer):
+    """A word is kept once whatever marks follow it; long words that hash alike are told apart."""
+    encoder = packing.WordEncoder(PATH, 1000)
+    encoder.encode([" ".join(f"{stem}{marks}" for stem in ("alpha", "beta") for marks in ("", ".", "!?", "&&&"))])
+    assert len(encoder.new) == 5
+    even = "a"
+    for _ in range(11):
+        even += even.translate({97: 98, 98: 97})
+    texts = [even, even.translate({97: 98, 98: 97})]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
