@@ -22,14 +22,21 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dnsloom.llm.common import blank_table, code_points, labelled_sample, letter_table, pieces_of
+from dnsloom.llm.common import (
+    blank_table,
+    code_points,
+    labelled_sample,
+    letter_table,
+    pieces_of,
+    word_spans,
+)
 from dnsloom.operators.staging import stage
 
 # Look-alikes of letters.
@@ -54,6 +61,7 @@ LOOK_ALIKES = {
 _LATIN = [*range(ord("a"), ord("z") + 1), *range(0xDF, 0x100)]
 _EDGE, _OTHER = 0, len(_LATIN) + 1
 SYMBOLS = len(_LATIN) + 2
+_STATES = SYMBOLS * SYMBOLS
 _WORD = re.compile(r"[^\W\d_]+")
 _DOUBLED = re.compile(r"([^\W\d_])\1")
 _SPACED = re.compile(r"(?<!\S)[^\w\s]*?(\S(?:\s+\S){2,})[^\w\s]*(?!\S)")
@@ -159,24 +167,29 @@ class Restorer:
         """The likeliest reading of a span."""
         return _restored(self, span)
 
+    @cached_property
+    def listed(self) -> list[float]:
+        """The costs in one list, which is faster to look into one by one."""
+        return self.costs.ravel().tolist()
+
     def search(self, span: str) -> str:
-        """Viterbi over the lattice; a state is the last two symbols."""
-        costs = self.costs
-        symbol = _symbol_of
-        states: dict[tuple[int, int], tuple[float, tuple]] = {(_EDGE, _EDGE): (0.0, ())}
+        """Viterbi over the lattice; a state is the last two symbols, as one number."""
+        costs, symbol = self.listed, _symbol_of
+        states: dict[int, tuple[float, tuple]] = {_EDGE: (0.0, ())}
         for ways in [*self.readings(span), [(" ", 0.0)]]:
-            following: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for (a, b), (cost, path) in states.items():
-                for text, extra in ways:
-                    x, y, total = a, b, cost + extra
-                    for char in text:
-                        c = symbol(char)
-                        if c != _EDGE or y != _EDGE:
-                            total += float(costs[x, y, c])
-                            x, y = y, c
-                    known = following.get((x, y))
+            steps = [(text, extra, [symbol(char) for char in text]) for text, extra in ways]
+            following: dict[int, tuple[float, tuple]] = {}
+            for state, (cost, path) in states.items():
+                for text, extra, found in steps:
+                    at, total = state, cost + extra
+                    for c in found:
+                        if c != _EDGE or at % SYMBOLS != _EDGE:
+                            cell = at * SYMBOLS + c
+                            total += costs[cell]
+                            at = cell % _STATES
+                    known = following.get(at)
                     if known is None or total < known[0]:
-                        following[x, y] = (total, (path, text))
+                        following[at] = (total, (path, text))
             states = following
         path, parts = min(states.values(), key=lambda state: state[0])[1], []
         while path:
@@ -224,15 +237,56 @@ def _spans_of(token: str) -> tuple[str, ...]:
     return tuple(sorted(spans))
 
 
+# Kinds of code points within a token.
+_LETTER, _HARMLESS, _NOISY = 1, 2, 3
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """For each code point whether it is a letter, a mark that is only ever stripped, or neither;
+    made once per Python worker. Marks above 0x2FFFF count as neither."""
+    kinds = np.where(letter_table(), np.uint8(_LETTER), np.uint8(_NOISY))
+    low = range(0x30000)
+    kinds[[i for i in low if not chr(i).isalnum() and chr(i) not in LOOK_ALIKES]] = _HARMLESS
+    kinds[blank_table()] = 0
+    return kinds
+
+
+def _noisy_tokens(texts: Sequence[str], codes: np.ndarray) -> list[set[str]]:
+    """Of each text, the tokens that may have such spans; `codes`: of the texts, a blank behind each.
+
+    Not those of at most one run of letters, none doubled, and else marks that are stripped.
+    """
+    kinds = _kinds()[codes]
+    letter = kinds == _LETTER
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    doubled = np.zeros(len(codes), bool)
+    doubled[1:] = letter[1:] & (codes[1:] == codes[:-1])
+    sure = doubled | (kinds == _NOISY)
+    begin, end = word_spans(codes, blank_table())
+    signs = np.cumsum(first + 2 * sure, dtype=np.int64)
+    noisy = signs[end - 1] - signs[begin] + (first + 2 * sure)[begin] > 1
+    begin, end = begin[noisy], end[noisy]
+    starts = np.cumsum([0, *(len(text) + 1 for text in texts)])
+    bound = np.searchsorted(begin, starts)
+    out = []
+    for i, text in enumerate(texts):
+        part = slice(bound[i], bound[i + 1])
+        spans = zip((begin[part] - starts[i]).tolist(), (end[part] - starts[i]).tolist(), strict=True)
+        out.append({text[a:b] for a, b in spans})
+    return out
+
+
 def noisy_spans(texts: Sequence[str]) -> list[list[str]]:
     """Of each lower-case text, the spans that have more than one reading."""
-    codes, starts = code_points(texts)
+    codes, starts = code_points([text + " " for text in texts])
     blank = blank_table()[codes]
     apart = blank[:-2] & ~blank[1:-1] & blank[2:]
     spaced = np.bincount(np.searchsorted(starts, np.flatnonzero(apart) + 1, "right") - 1, minlength=len(texts))
     out = []
-    for text, single in zip(texts, spaced.tolist(), strict=True):
-        spans = [span for token in set(text.split()) for span in _spans_of(token)]
+    for text, tokens, single in zip(texts, _noisy_tokens(texts, codes), spaced.tolist(), strict=True):
+        spans = [span for token in tokens for span in _spans_of(token)]
         if single:
             spans += [_BLANKS.sub("·", m.group(1)) for m in _SPACED.finditer(text)]
         out.append(spans)
@@ -271,13 +325,13 @@ class Toxicity:
 
     def chances(self, texts: Sequence[str | None]) -> list[list[float]]:
         """The chances of all toxic words of each text."""
-        table, out = self._tables(), []
+        table, out, least = self._tables(), [], min(_BEGINNINGS)
+        first = {start[:least] for n in _BEGINNINGS for start in table[n]}
         for words in words_of(texts, self.restorer):
             hits = words & table[0]
+            near = [w for w in words if w[:least] in first]
             for n in _BEGINNINGS:
-                starts = {w[:n] for w in words} & table[n]
-                if starts:
-                    hits = hits | {w for w in words if len(w) > n and w[:n] in starts}
+                hits |= {w for w in near if len(w) > n and w[:n] in table[n]}
             out.append([self._chance(word) for word in sorted(hits)])
         return out
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -123,3 +125,16 @@ def test_spans_beside_marks_and_blanks(text, spans):
 )
 def test_sentences_with_obfuscated_words(model, text):
     assert model.score([text])[0] >= 0.5
+
+
+def test_only_noisy_tokens_are_looked_at_one_by_one():
+    rng = random.Random(6)
+    alphabet = "aabbcdeßé ..,,!!''  \t\n\x1c0134@$|+(€_-·²́\U0002ebf0"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    codes, _ = toxicity.code_points([text + " " for text in texts])
+    for text, found in zip(texts, toxicity._noisy_tokens(texts, codes), strict=True):
+        tokens = set(text.split())
+        assert found <= tokens
+        assert not [token for token in tokens - found if toxicity._spans_of(token)]
+    plain = ["the «cat» sat, on_ the... mat. it's d0ne, seen"]
+    assert toxicity._noisy_tokens(plain, toxicity.code_points([plain[0] + " "])[0]) == [{"it's", "d0ne,", "seen"}]
