@@ -21,6 +21,7 @@ all words are unknown.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -81,8 +82,8 @@ def tokens_of(texts: Sequence[str | None], rare: int) -> tuple[np.ndarray, np.nd
     if _table is None:
         _table = _blank()
     codes, starts = code_points([(text or "") + " " for text in texts])
-    codes = codes.astype(np.uint32)
-    codes[(codes >= 65) & (codes <= 90)] += np.uint32(32)
+    codes = codes.view(np.uint32)
+    codes |= (codes - np.uint32(65) < 26).astype(np.uint32) << np.uint32(5)
     begin, end = word_spans(codes, _table)
     hashes = span_hashes(codes, begin, end)
     ending = codes[end - 1] * np.uint32(31) + np.where(end - 1 > begin, codes[end - 2], 0) * np.uint32(7)
@@ -93,28 +94,32 @@ def tokens_of(texts: Sequence[str | None], rare: int) -> tuple[np.ndarray, np.nd
 
 
 class _Counts:
-    """Token counts of a task, merged now and then."""
+    """Token counts of a task: each piece's tokens are counted, the pieces merged now and then."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows = 0
 
-    def add(self, hashes: np.ndarray, group: np.ndarray, n: np.ndarray | None = None) -> None:
-        self.parts.append((hashes, group, np.ones(len(hashes), np.int64) if n is None else n))
-        self.rows += len(hashes)
+    def add(self, hashes: np.ndarray, group: np.ndarray) -> None:
+        self.parts.append(_counted(hashes, group, np.ones(len(hashes), np.int64)))
+        self.rows += len(self.parts[-1][0])
         if self.rows > 3_000_000:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        hashes, group, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(hashes)
-        hashes, group, n = hashes[order], group[order], n[order]
-        first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        merged = hashes[first], group[first], np.add.reduceat(n, first)
+        merged = _counted(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))
         self.parts, self.rows = [merged], 0
         return merged
 
 
+def _counted(hashes: np.ndarray, group: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens, sorted, with their counts added up."""
+    order = np.argsort(hashes)
+    hashes, group, n = hashes[order], group[order], n[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    return hashes[first], group[first], np.add.reduceat(n, first)
+
+
 def count_tokens(docs: DataFrame, s: LmSettings) -> DataFrame:
     """(token, symbol_group, n) over all texts of `docs`."""
 
@@ -139,16 +144,38 @@ def count_tokens(docs: DataFrame, s: LmSettings) -> DataFrame:
     return counted.groupBy("token").agg(F.min("symbol_group").alias("symbol_group"), F.sum("n").alias("n"))
 
 
+class HashTable:
+    """Positions of hashes in a sorted table; leading bits tell where to begin, so a few steps do."""
+
+    def __init__(self, table: np.ndarray):
+        bits = len(table).bit_length() + 3
+        self.size, self.shift = len(table), np.uint64(64 - bits)
+        self.table = np.append(table, ~np.uint64(0))
+        begin = np.arange(1 << bits, dtype=np.uint64) << self.shift
+        self.begin = np.searchsorted(table, begin).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, or -1."""
+        at = self.begin[keys >> self.shift]
+        at += self.table[at] < keys
+        late = np.flatnonzero(self.table[at] < keys)
+        while len(late):
+            at[late] += 1
+            late = late[self.table[at[late]] < keys[late]]
+        at[(self.table[at] != keys) | (at == self.size)] = -1
+        return at
+
+
 @dataclass
 class Lexicon:
     """What scoring knows of the corpus. words: hashes of the symbols that are words, sorted,
-    with their symbols. frequent, frequent_count: tokens looked up in the task, sorted.
-    log_rest: for each rare symbol log10 of its smoothed total."""
+    with their symbols. frequent: tokens looked up in the task, sorted; frequent_gain: log10 of
+    their count plus one. log_rest: for each rare symbol log10 of its smoothed total."""
 
-    words: np.ndarray
+    words: HashTable
     symbols: np.ndarray
-    frequent: np.ndarray
-    frequent_count: np.ndarray
+    frequent: HashTable
+    frequent_gain: np.ndarray
     log_rest: np.ndarray
     shares: np.ndarray
     tokens: int
@@ -156,31 +183,22 @@ class Lexicon:
 
     def symbol_of(self, hashes: np.ndarray, group: np.ndarray, rare_first: int) -> np.ndarray:
         """Symbol of each token: its own, or the rare symbol of its group."""
-        found = _find(self.words, hashes)
+        found = self.words.find(hashes)
         own = self.symbols[np.maximum(found, 0)] if len(self.symbols) else 0
         return np.where(found >= 0, own, rare_first + group).astype(np.int16)
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Position of each key in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
 def lexicon(counts: DataFrame, s: LmSettings) -> Lexicon:
     """Totals, the symbols and the table of frequent tokens from all token counts."""
-    total = counts.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct")).head()
-    tokens, distinct = int(total["tokens"] or 0), int(total["distinct"])
+    groups = counts.groupBy("symbol_group").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    groups = groups.toPandas().set_index("symbol_group").reindex(range(s.rare), fill_value=0)
+    rest_n, rest_v = groups["n"].to_numpy(np.int64).copy(), groups["v"].to_numpy(np.int64).copy()
+    tokens, distinct = int(rest_n.sum()), int(rest_v.sum())
     chosen = counts.where(F.col("token") != _END_ID).orderBy(F.desc("n"), "token")
     chosen = chosen.limit(s.symbols - s.rare - 1).toPandas()
     ends = counts.where(F.col("token") == _END_ID).toPandas()
     own = pd.concat([ends, chosen], ignore_index=True)
     frequent = counts.where(F.col("n") * s.frequent >= tokens).select("token", "n").toPandas()
-    groups = counts.groupBy("symbol_group").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
-    groups = groups.toPandas().set_index("symbol_group").reindex(range(s.rare), fill_value=0)
-    rest_n, rest_v = groups["n"].to_numpy(np.int64).copy(), groups["v"].to_numpy(np.int64).copy()
     group = own["symbol_group"].to_numpy(np.int64)
     n = own["n"].to_numpy(np.int64)
     np.subtract.at(rest_n, group, n)
@@ -194,10 +212,10 @@ def lexicon(counts: DataFrame, s: LmSettings) -> Lexicon:
     table = frequent["token"].to_numpy(np.int64).view(np.uint64)
     sort = np.argsort(table)
     return Lexicon(
-        words=hashes[order],
+        words=HashTable(hashes[order]),
         symbols=(s.rare + np.arange(len(n)))[order].astype(np.int16),
-        frequent=table[sort],
-        frequent_count=frequent["n"].to_numpy(np.int64)[sort],
+        frequent=HashTable(table[sort]),
+        frequent_gain=np.log10(frequent["n"].to_numpy(np.int64)[sort] + 1.0),
         log_rest=np.log10(rest_n + rest_v + 1.0),
         shares=(count + 1.0) / (count.sum() + s.symbols),
         tokens=tokens,
@@ -208,7 +226,8 @@ def lexicon(counts: DataFrame, s: LmSettings) -> Lexicon:
 class Network:
     """The gated recurrent unit and its class-factored output; all weights in one flat array.
 
-    Gates stand in front (update, reset, new state), so that those of a step lie together.
+    Gates stand in front (update, reset, new state), so that those of a step lie together. The
+    first two open as the sum before them falls: 1 / (1 + exp(sum)).
     """
 
     def __init__(self, s: LmSettings, shares: np.ndarray):
@@ -223,13 +242,17 @@ class Network:
             "to_symbol": (s.classes, h, s.per_class),
             "symbol_bias": (s.classes, s.per_class),
         }
-        self.flat = np.zeros(sum(int(np.prod(x)) for x in self.shapes.values()), np.float32)
+        ends = np.cumsum([math.prod(x) for x in self.shapes.values()]).tolist()
+        self.places = dict(zip(self.shapes, map(slice, [0, *ends], ends), strict=False))
+        self.flat = np.zeros(ends[-1], np.float32)
         w = self.views(self.flat)
         random = np.random.default_rng(11)
         w["enter"][:] = random.normal(0, 0.1, (n, 3, h)).transpose(1, 0, 2)
         w["carry"][:] = random.normal(0, 0.5 / np.sqrt(h), (h, 3, h)).transpose(1, 0, 2)
         # Slow forgetting at the start: the update gate mostly keeps the state.
         w["carry_bias"][0] = 2.0
+        for name in ("enter", "carry", "carry_bias"):
+            np.negative(w[name][:2], out=w[name][:2])
         order = np.argsort(-shares, kind="stable")
         place = np.empty(n, np.int16)
         place[order] = np.arange(n)
@@ -239,12 +262,7 @@ class Network:
         w["symbol_bias"][:] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
 
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
-        out, at = {}, 0
-        for name, shape in self.shapes.items():
-            size = int(np.prod(shape))
-            out[name] = flat[at : at + size].reshape(shape)
-            at += size
-        return out
+        return {name: flat[at].reshape(self.shapes[name]) for name, at in self.places.items()}
 
     def steps(self, w, symbols: np.ndarray, fresh: np.ndarray, h: np.ndarray, back: bool = False):
         """Runs a window. symbols, fresh: (steps, lanes); fresh cells start a document.
@@ -257,173 +275,179 @@ class Network:
         states, kept = np.empty((steps + 1, lanes, size), kind), steps if back else 1
         gates = np.empty((kept, 2, lanes, size), kind)
         q, n = np.empty((2, kept, lanes, size), kind)
-        inner, outer = np.empty((2, 3, lanes, size), kind)
-        outer_bias, inner_bias = w["carry_bias"][:2, None], w["carry_bias"][2]
+        inner, bias = np.empty((2, 3, lanes, size), kind)
+        bias[:] = w["carry_bias"][:, None]
+        gate_inner, new_inner, gate_bias, new_bias = inner[:2], inner[2], bias[:2], bias[2]
+        symbols, some = symbols.astype(np.intp), max(1, _CELLS // max(lanes, 1))
         states[0] = h
-        for t, x in enumerate(symbols):
-            at = t if back else 0
+        for t in range(steps):
+            if t % some == 0:
+                outer = w["enter"].take(symbols[t : t + some], 1, mode="clip")
+            at, entered = t if back else 0, outer[:, t % some]
             gate, qt, nt, h, after = gates[at], q[at], n[at], states[t], states[t + 1]
             if new[t]:
                 h[fresh[t]] = 0
             np.matmul(h, carry, out=inner)
-            np.take(w["enter"], x, axis=1, out=outer, mode="clip")
-            np.add(inner[:2], outer[:2], out=gate)
-            gate += outer_bias
-            np.negative(gate, out=gate)
+            np.add(gate_inner, entered[:2], out=gate)
+            np.add(gate, gate_bias, out=gate)
             np.exp(gate, out=gate)
-            gate += 1
+            np.add(gate, 1, out=gate)
             np.reciprocal(gate, out=gate)
-            np.add(inner[2], inner_bias, out=qt)
+            np.add(new_inner, new_bias, out=qt)
             np.multiply(gate[1], qt, out=nt)
-            nt += outer[2]
+            np.add(nt, entered[2], out=nt)
             np.tanh(nt, out=nt)
             np.subtract(h, nt, out=after)
-            after *= gate[0]
-            after += nt
+            np.multiply(after, gate[0], out=after)
+            np.add(after, nt, out=after)
         return states[:steps], (gates, q, n), states[steps]
 
     def log_chance(self, w, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log-probability of each symbol, given the state before it (flat arrays)."""
         kind = self.class_of[symbols]
         order = np.argsort(kind, kind="stable")
-        states, kind, place = states[order], kind[order], self.within[symbols][order]
+        states, kind, place = states.take(order, 0), kind[order], self.within[symbols[order]]
         rows = np.arange(len(symbols))
         scores = states @ w["to_class"]
-        scores += w["class_bias"]
-        found = scores[rows, kind]
-        found -= _log_sum(scores)
         inner = np.empty((len(symbols), self.s.per_class), scores.dtype)
-        bound = np.searchsorted(kind, np.arange(self.s.classes + 1)).tolist()
-        for c in range(self.s.classes):
-            a, b = bound[c], bound[c + 1]
-            if a < b:
-                np.matmul(states[a:b], w["to_symbol"][c], out=inner[a:b])
-                inner[a:b] += w["symbol_bias"][c]
+        spans = self._spans(kind)
+        for c, a, b in spans:
+            np.matmul(states[a:b], w["to_symbol"][c], out=inner[a:b])
+        found = scores[rows, kind] + w["class_bias"][kind]
         found += inner[rows, place]
-        found -= _log_sum(inner)
+        found += w["symbol_bias"][kind, place]
+        found -= _log_sum(scores, w["class_bias"][None], [(0, 0, len(symbols))])
+        found -= _log_sum(inner, w["symbol_bias"], spans)
         out = np.empty_like(found)
         out[order] = found
         return out
 
-    def gradient(self, w, symbols, fresh, active, h):
-        """(gradient of the mean loss of a window, state after it)."""
+    def _spans(self, kind: np.ndarray) -> list[tuple[int, int, int]]:
+        """(class, begin, end) of the classes that occur in a sorted list."""
+        bound = np.searchsorted(kind, np.arange(self.s.classes + 1)).tolist()
+        return [(c, a, b) for c, (a, b) in enumerate(zip(bound, bound[1:], strict=False)) if a < b]
+
+    def gradient(self, w, symbols, fresh, active, h, into: np.ndarray | None = None):
+        """(gradient of the mean loss of a window, state after it); `into`: array to be used."""
         size = self.s.state
         states, (gates, q, n), last = self.steps(w, symbols, fresh, h, back=True)
-        flat = np.zeros_like(self.flat)
+        flat = np.empty_like(self.flat) if into is None else into
+        flat[:] = 0
         g = self.views(flat)
         before = states.reshape(-1, size)
         weight = (active.ravel() / max(1, active.sum())).astype(flat.dtype)
         back = self._output_gradient(w, g, before, symbols.ravel(), weight).reshape(states.shape)
-        # What a step passes on, but for the factor that comes from later steps.
+        # What a step passes on, but for the factor that comes from later steps: the new state as
+        # the state carries it, both gates, the new state as the symbol enters it.
         z, r = gates[:, 0], gates[:, 1]
         rest = 1 - z
-        through = np.empty((3, *states.shape), flat.dtype)
-        np.subtract(states, n, out=through[0])
-        through[0] *= z
-        through[0] *= rest
-        np.multiply(n, n, out=through[2])
-        np.subtract(1, through[2], out=through[2])
-        through[2] *= rest
-        np.subtract(1, r, out=through[1])
-        through[1] *= r
-        through[1] *= q
-        through[1] *= through[2]
-        # Gradients of the gates before their bends, the last one as the state carries it (3)
-        # and as the symbol enters it (2).
-        to = np.empty((4, *states.shape), flat.dtype)
-        later, turned = np.zeros_like(states[0]), w["carry"].transpose(0, 2, 1)
+        through, to = np.empty((2, 4, *states.shape), flat.dtype)
+        np.multiply(n, n, out=through[3])
+        np.subtract(1, through[3], out=through[3])
+        through[3] *= rest
+        np.multiply(through[3], r, out=through[0])
+        np.subtract(n, states, out=through[1])
+        through[1] *= z
+        through[1] *= rest
+        np.subtract(r, 1, out=through[2])
+        through[2] *= q
+        through[2] *= through[0]
+        later, turned = np.zeros_like(states[0]), w["carry"][[2, 0, 1]].transpose(0, 2, 1)
         carried, new = np.empty((3, *later.shape), flat.dtype), fresh.any(axis=1).tolist()
-        inner = np.concatenate([through[:2], through[2:] * r])
+        total, second, third = carried
         for t in range(len(symbols) - 1, -1, -1):
-            np.multiply(through[:, t], later, out=to[:3, t])
-            np.multiply(inner[:, t], later, out=carried)
-            to[3, t] = carried[2]
-            later *= z[t]
-            later += np.matmul(carried, turned).sum(axis=0)
-            later += back[t]
+            np.multiply(through[:, t], later, out=to[:, t])
+            np.matmul(to[:3, t], turned, out=carried)
+            np.multiply(later, z[t], out=later)
+            np.add(total, second, out=total)
+            np.add(total, third, out=total)
+            np.add(later, total, out=later)
+            np.add(later, back[t], out=later)
             if new[t]:
                 later[fresh[t]] = 0
         to = to.reshape(4, -1, size)
-        by_carry = to[[0, 1, 3]]
-        g["carry"][:] = before.T @ by_carry
-        g["carry_bias"][:] = np.ones(len(before), flat.dtype) @ by_carry
+        np.matmul(before.T, to[1:3], out=g["carry"][:2])
+        np.matmul(before.T, to[0], out=g["carry"][2])
+        one = np.ones(len(before), flat.dtype)
+        np.matmul(one, to[1:3], out=g["carry_bias"][:2])
+        np.matmul(one, to[0], out=g["carry_bias"][2])
         used = symbols.ravel()
         order = np.argsort(used, kind="stable")
         ordered = used[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        g["enter"][:, ordered[first]] = np.add.reduceat(to[:3].take(order, axis=1), first, axis=1)
+        g["enter"][:, ordered[first]] = np.add.reduceat(to[1:].take(order, 1), first, axis=1)
         return flat, last
 
     def _output_gradient(self, w, g, states, symbols, weight) -> np.ndarray:
-        """Adds the gradients of the output weights to `g`; returns that of the states.
+        """Sets the gradients of the output weights in `g`; returns that of the states.
 
-        Symbols are put into blocks of `_BLOCK` rows of one class, with empty rows at the end of a
-        class, so that all classes are multiplied in one go.
+        Rows are sorted by class, so that those of a class are multiplied in one go.
         """
-        s, kind = self.s, self.class_of[symbols]
-        rows = np.arange(len(symbols))
+        kind = self.class_of[symbols]
+        order = np.argsort(kind, kind="stable")
+        kind, place, weight = kind[order], self.within[symbols[order]], weight[order]
+        states, rows, spans = states.take(order, 0), np.arange(len(symbols)), self._spans(kind)
         chance = states @ w["to_class"]
         chance += w["class_bias"]
-        _softmax(chance)
-        chance[rows, kind] -= 1
-        chance *= weight[:, None]
-        g["to_class"] += states.T @ chance
-        g["class_bias"] += chance.sum(axis=0)
+        _chances_less_found(chance, rows, kind, weight)
+        np.matmul(states.T, chance, out=g["to_class"])
+        np.add.reduce(chance, axis=0, out=g["class_bias"])
         back = chance @ w["to_class"].T
-        order = np.argsort(kind, kind="stable")
-        in_class = np.bincount(kind, minlength=s.classes)
-        blocks = -(-in_class // _BLOCK)
-        block, row = np.cumsum(blocks) - blocks, np.cumsum(in_class) - in_class
-        slot = rows + np.repeat(block * _BLOCK - row, in_class)
-        owner = np.repeat(np.arange(s.classes), blocks)
-        x = np.zeros((len(owner) * _BLOCK, s.state), states.dtype)
-        x[slot] = states[order]
-        part = np.zeros((len(x), 1), states.dtype)
-        part[slot, 0] = weight[order]
-        x, weights = x.reshape(-1, _BLOCK, s.state), w["to_symbol"][owner]
-        chance = x @ weights
-        chance += w["symbol_bias"][owner][:, None]
-        flat = chance.reshape(-1, s.per_class)
-        _softmax(flat)
-        flat[slot, self.within[symbols[order]]] -= 1
-        flat *= part
-        x, block = x.reshape(-1, s.state), (block * _BLOCK).tolist()
-        for c, n in enumerate(in_class.tolist()):
-            if n:
-                part = slice(block[c], block[c] + n)
-                g["to_symbol"][c] = x[part].T @ flat[part]
-                g["symbol_bias"][c] = flat[part].sum(axis=0)
-        back[order] += (chance @ weights.transpose(0, 2, 1)).reshape(-1, s.state)[slot]
-        return back
-
-
-# Rows of one class that the output gradient multiplies at once.
-_BLOCK = 16
-# Scores within this range can be exponentiated as they are.
-_PLAIN = 60.0
-
-
-def _exponents(x: np.ndarray) -> np.ndarray | None:
-    """Takes exp of `x` in place, less what it returns for each row (None: nothing)."""
-    top = None
-    if x.max(initial=0) > _PLAIN or x.min(initial=0) < -_PLAIN:
+        inner, part = np.empty((len(rows), self.s.per_class), states.dtype), np.empty_like(back)
+        for c, a, b in spans:
+            np.matmul(states[a:b], w["to_symbol"][c], out=inner[a:b])
+        inner += w["symbol_bias"].take(kind, 0)
+        _chances_less_found(inner, rows, place, weight)
+        turned = w["to_symbol"].transpose(0, 2, 1)
+        for c, a, b in spans:
+            np.matmul(states[a:b].T, inner[a:b], out=g["to_symbol"][c])
+            np.matmul(inner[a:b], turned[c], out=part[a:b])
+        if spans:
+            g["symbol_bias"][[c for c, _, _ in spans]] = np.add.reduceat(inner, [a for _, a, _ in spans])
+        back += part
+        out = np.empty_like(back)
+        out[order] = back
+        return out
+
+
+# Lanes times steps whose symbols are looked up at once.
+_CELLS = 1024
+# Scores and biases within this range can be exponentiated and multiplied as they are.
+_PLAIN = 40.0
+
+
+def _is_plain(x: np.ndarray) -> bool:
+    return x.max(initial=0) <= _PLAIN and x.min(initial=0) >= -_PLAIN
+
+
+def _log_sum(x: np.ndarray, bias: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Log of the sum of exp(x + bias) of each row; `x` is used up.
+
+    spans: (row of `bias`, begin, end) of the rows of `x`.
+    """
+    total, top = np.empty(len(x), x.dtype), None
+    if _is_plain(x) and _is_plain(bias):
+        factor = np.exp(bias)
+    else:
+        for c, a, b in spans:
+            x[a:b] += bias[c]
         top = x.max(axis=1)
         x -= top[:, None]
+        factor = np.ones_like(bias)
     np.exp(x, out=x)
-    return top
-
-
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Log of the sum of exp of each row; `x` is used up."""
-    top = _exponents(x)
-    total = np.log(x @ np.ones(x.shape[1], x.dtype))
+    for c, a, b in spans:
+        np.matmul(x[a:b], factor[c], out=total[a:b])
+    np.log(total, out=total)
     return total if top is None else total + top
 
 
-def _softmax(x: np.ndarray) -> None:
-    """Shares of exp within each row, in place."""
-    _exponents(x)
-    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
+def _chances_less_found(x: np.ndarray, rows: np.ndarray, found: np.ndarray, weight: np.ndarray) -> None:
+    """Shares of exp within each row less 1 for what was found, times the row's weight, in place."""
+    if not _is_plain(x):
+        x -= x.max(axis=1)[:, None]
+    np.exp(x, out=x)
+    x *= (weight / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
+    x[rows, found] -= weight
 
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -478,28 +502,30 @@ def _train_locally(network: Network, symbols: np.ndarray, lengths: np.ndarray) -
     """Adam over windows of truncated backpropagation, at least `least_updates` of them."""
     s = network.s
     grid, text, fresh = _laid_out(symbols, lengths, s.lanes)
-    mean, square, change = np.zeros((3, len(network.flat)), network.flat.dtype)
+    # Adam's averages of gradients and of their squares, ten and a hundred times as great.
+    mean, square, grad = np.zeros((3, len(network.flat)), network.flat.dtype)
     step = 0
     w = network.views(network.flat)
     while True:
         h = np.zeros((grid.shape[1], s.state), np.float32)
         for at in range(0, len(grid), s.window):
             part = slice(at, at + s.window)
-            grad, h = network.gradient(w, grid[part], fresh[part], text[part] >= 0, h)
-            lift = min(1.0, 1.0 / max(float(np.sqrt(grad @ grad)), 1e-9))
+            grad, h = network.gradient(w, grid[part], fresh[part], text[part] >= 0, h, grad)
+            size = math.sqrt(float(grad @ grad))
+            if size > 1:
+                grad *= 1 / size
             step += 1
             mean *= 0.9
-            np.multiply(grad, 0.1 * lift, out=change)
-            mean += change
-            grad *= grad
-            grad *= 0.01 * lift * lift
+            mean += grad
+            np.multiply(grad, grad, out=grad)
             square *= 0.99
             square += grad
             np.sqrt(square, out=grad)
-            grad += 1e-6 * np.sqrt(1 - 0.99**step)
-            np.divide(mean, grad, out=change)
-            change *= s.rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            network.flat -= change
+            bent = math.sqrt(1 - 0.99**step)
+            grad += 1e-5 * bent
+            np.divide(mean, grad, out=grad)
+            grad *= s.rate * bent / (1 - 0.9**step)
+            network.flat -= grad
         if step >= s.least_updates:
             return
 
@@ -587,6 +613,9 @@ def score(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = known.value
+        # The last gain is that of tokens not found; symbols that are words have no rest.
+        gains = np.append(lex.frequent_gain, 0.0)
+        rest = np.append(lex.log_rest, np.zeros(s.symbols - s.rare))
         for batch in batches:
             texts = batch["text"].tolist()
             symbols, base, model, seen, other, lengths = [], [], [], [], [], []
@@ -594,13 +623,10 @@ def score(
                 hashes, group, count = tokens_of(texts[a:b], s.rare)
                 symbol = lex.symbol_of(hashes, group, 0)
                 owner = np.repeat(np.arange(b - a), count)
-                found = _find(lex.frequent, hashes)
+                found = lex.frequent.find(hashes)
                 held = found >= 0
-                gain = np.zeros(len(hashes))
-                gain[held] = np.log10(lex.frequent_count[found[held]] + 1.0)
-                rare = symbol < s.rare
-                within = np.where(rare, gain, 0.0)
-                within[rare] -= lex.log_rest[symbol[rare]]
+                gain = gains[found]
+                within = np.where(symbol < s.rare, gain, 0.0) - rest[symbol]
                 base.append(np.bincount(owner, gain, b - a))
                 model.append(np.bincount(owner, within, b - a))
                 seen.append(np.bincount(owner, held, b - a))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import math
 import re
 from collections import Counter
@@ -88,6 +89,65 @@ def test_state_goes_through_whole_texts(network):
         assert got[k] == pytest.approx(total, abs=1e-4)
 
 
+def test_training_against_plain_adam():
+    s = dataclasses.replace(SMALL, lanes=2, window=4, least_updates=12)
+    rng = np.random.default_rng(5)
+    lengths = np.array([7, 3, 9, 1])
+    symbols = rng.integers(0, 12, lengths.sum()).astype(np.int16)
+    made = lm.Network(s, np.arange(1, 13) / 78)
+    made.flat = made.flat.astype(np.float64)
+    weights, w = made.flat.copy(), lm.Network(s, np.arange(1, 13) / 78)
+    grid, text, fresh = lm._laid_out(symbols, lengths, 2)
+    mean, square, step = 0.0, 0.0, 0
+    while step < 12:
+        h = np.zeros((2, 5))
+        for at in range(0, len(grid), 4):
+            part = slice(at, at + 4)
+            w.flat = weights
+            grad, h = w.gradient(w.views(weights), grid[part], fresh[part], text[part] >= 0, h)
+            grad *= min(1, 1 / np.linalg.norm(grad))
+            step += 1
+            mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
+            bent = np.sqrt(square / (1 - 0.99**step)) + 1e-6
+            weights = weights - s.rate * mean / (1 - 0.9**step) / bent
+    lm._train_locally(made, symbols, lengths)
+    assert made.flat == pytest.approx(weights, abs=1e-9)
+
+
+def test_gradient_in_an_array_used_before(network):
+    rng = np.random.default_rng(6)
+    x, h = rng.integers(0, 12, (6, 4)).astype(np.int16), rng.normal(size=(4, 5))
+    fresh, active = rng.random((6, 4)) < 0.2, rng.random((6, 4)) < 0.9
+    w, used = network.views(network.flat), rng.normal(size=len(network.flat))
+    found, _ = network.gradient(w, x, fresh, active, h, used)
+    assert found is used and (found == network.gradient(w, x, fresh, active, h)[0]).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 900])
+def test_hash_table_against_a_search(n):
+    """Hashes spread evenly, crowded ones, the least and the greatest."""
+    rng, last = np.random.default_rng(7), ~np.uint64(0)
+    crowded = np.uint64(7 << 60) + np.arange(0, n, 3, dtype=np.uint64)
+    spread = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    table = np.unique(np.concatenate([crowded, spread, np.array([0, last], np.uint64)[: n % 7]]))
+    keys = np.concatenate([table, table + np.uint64(1), spread >> np.uint64(1), [np.uint64(0), last]])
+    place = {k: i for i, k in enumerate(table.tolist())}
+    assert lm.HashTable(table).find(keys).tolist() == [place.get(k, -1) for k in keys.tolist()]
+
+
+def test_counts_are_held_by_distinct_token():
+    counts, rng = lm._Counts(), np.random.default_rng(8)
+    plain = Counter()
+    for _ in range(3):
+        hashes = rng.integers(0, 50, 10_000).astype(np.uint64)
+        counts.add(hashes, (hashes % np.uint64(8)).astype(np.int16))
+        plain.update(hashes.tolist())
+    assert counts.rows == 150
+    hashes, group, n = counts.merge()
+    assert dict(zip(hashes.tolist(), n.tolist(), strict=True)) == plain
+    assert (group == hashes % np.uint64(8)).all()
+
+
 def tokens(text: str | None) -> list[str]:
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), "\0"]
 
