@@ -36,6 +36,8 @@ from dnsloom.operators.staging import stage
 
 END = np.uint64(0x0E0D)
 _END_ID = int(END)
+# Characters of texts that are split at once: their arrays stay in a core's cache.
+_PIECE = 100_000
 
 
 @dataclass(frozen=True)
@@ -127,7 +129,7 @@ def count_tokens(docs: DataFrame, s: LmSettings) -> DataFrame:
         counts = _Counts()
         for batch in batches:
             texts = batch["text"].tolist()
-            for a, b in pieces_of(texts):
+            for a, b in pieces_of(texts, _PIECE):
                 hashes, group, _ = tokens_of(texts[a:b], s.rare)
                 counts.add(hashes, group)
                 if len(counts.parts) == 1 and len(counts.parts[0][0]) > 2_000_000:
@@ -157,12 +159,13 @@ class HashTable:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Position of each key, or -1."""
         at = self.begin[keys >> self.shift]
-        at += self.table[at] < keys
-        late = np.flatnonzero(self.table[at] < keys)
+        value = self.table[at]
+        late = np.flatnonzero(value < keys)
         while len(late):
             at[late] += 1
-            late = late[self.table[at[late]] < keys[late]]
-        at[(self.table[at] != keys) | (at == self.size)] = -1
+            value[late] = self.table[at[late]]
+            late = late[value[late] < keys[late]]
+        at[(value != keys) | (at == self.size)] = -1
         return at
 
 
@@ -491,10 +494,11 @@ def score_symbols(network: Network, symbols: np.ndarray, lengths: np.ndarray) ->
         width = int((text[at] >= 0).sum())  # lanes are sorted: the running ones stand in front
         x, owner = grid[part, :width], text[part, :width]
         states, _, h = network.steps(w, x, fresh[part, :width], h[:width])
-        live = owner.ravel() >= 0
-        flat = states.reshape(-1, s.state)[live]
-        found = network.log_chance(w, flat, x.ravel()[live])
-        out += np.bincount(owner.ravel()[live], found, len(lengths))
+        flat, x, owner = states.reshape(-1, s.state), x.ravel(), owner.ravel()
+        if owner.min() < 0:
+            live = owner >= 0
+            flat, x, owner = flat[live], x[live], owner[live]
+        out += np.bincount(owner, network.log_chance(w, flat, x), len(lengths))
     return out
 
 
@@ -531,9 +535,9 @@ def _train_locally(network: Network, symbols: np.ndarray, lengths: np.ndarray) -
 
 
 def _symbols_of_batch(texts: Sequence[str | None], words: Lexicon, s: LmSettings):
-    """(symbols, tokens per text) of many texts, a few million characters at a time."""
+    """(symbols, tokens per text) of many texts, some pieces of them at a time."""
     symbols, lengths = [np.zeros(0, np.int16)], [np.zeros(0, np.int64)]
-    for a, b in pieces_of(texts):
+    for a, b in pieces_of(texts, _PIECE):
         hashes, group, count = tokens_of(texts[a:b], s.rare)
         symbols.append(words.symbol_of(hashes, group, 0))
         lengths.append(count)
@@ -619,7 +623,7 @@ def score(
         for batch in batches:
             texts = batch["text"].tolist()
             symbols, base, model, seen, other, lengths = [], [], [], [], [], []
-            for a, b in pieces_of(texts):
+            for a, b in pieces_of(texts, _PIECE):
                 hashes, group, count = tokens_of(texts[a:b], s.rare)
                 symbol = lex.symbol_of(hashes, group, 0)
                 owner = np.repeat(np.arange(b - a), count)
